@@ -5,7 +5,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, packing, quality, sharding, simhash, substring, toxicity
+from . import cws, mixing, packing, posting_lists, quality, sharding, simhash, substring, token_counts, toxicity
+
+#: Margins of the mix: present shares to these powers; and the share of tokens that stays, as far as no document is doubled.
+TEMPERATURES = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+KEEP = 0.8
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +27,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.calibrate(_table(spark, sf_dir, "documents"), TEMPERATURES, KEEP)
+    return rows.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, hashes=1, max_bits=2, key_bytes=6, keys=None)
     return rows.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -40,6 +53,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), token_counts.piece_scores(tokenizer_file("piece_bpe_32k.model")))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprint_documents(_table(spark, sf_dir, "documents"), samples=64)
 
@@ -48,5 +65,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_quality_classifier, op4_sharding, op5_toxicity, op7_document_fingerprints, op9_simhash_near_dedup, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_posting_lists,
+        op3_quality_classifier,
+        op4_sharding,
+        op5_toxicity,
+        op6_token_counts,
+        op7_document_fingerprints,
+        op8_mixing,
+        op9_simhash_near_dedup,
+        op10_best_fit_packing,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle_sql(TEMPERATURES, KEEP)}
