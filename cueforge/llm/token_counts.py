@@ -14,18 +14,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import Remembered
+
 _UNKNOWN_PENALTY = 10.0
 _MARK = "▁"
 
 
-class Counter(dict):
-    """Tokens of a word (white space stands as one mark before it); emptied when it holds `most` words."""
+class Counter(Remembered):
+    """Tokens of a word (white space stands as one mark before it)."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], most: int = 500_000):
+    def __init__(self, vocabulary: list[tuple[str, float]], most: int = 300_000):
         import ahocorasick
 
-        super().__init__()
-        self.most, self.automaton = most, ahocorasick.Automaton()
+        super().__init__(most)
+        self.automaton = ahocorasick.Automaton()
         self.unknown = min(s for _, s in vocabulary) - _UNKNOWN_PENALTY
         pieces = {}
         for piece, score in vocabulary:
@@ -37,11 +39,8 @@ class Counter(dict):
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        n = self[word] = self.count(_MARK + word.decode())
-        return n
+    def made(self, word: bytes) -> int:
+        return self.count(_MARK + word.decode())
 
     def count(self, text: str) -> int:
         n = len(text)
