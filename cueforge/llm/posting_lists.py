@@ -86,12 +86,13 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, list_size: int = 128, sample: int = 40_000, most_lists: int = 8192, closure: float = 0.15, replicas: int = 6, ratio: float = 0.3, beam: int = 96, part: int = 256) -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, list_size: int = 128, sample: int = 40_000, most_lists: int = 8192, closure: float = 0.3, replicas: int = 6, ratio: float = 0.3, least: int = 16, beam: int = 96, part: int = 256) -> DataFrame:
     """vectors(vec_id, embedding, ...) -> (query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by `every`, among all other rows, by Euclidean distance in double precision; ties to the smaller vec_id.
 
     Centroids: one for `list_size` vectors, `most_lists` at most, from the first `sample` vectors by hash; all vectors
     are indexed. closure, replicas: how much farther a further list of a vector may be, and how many it has at most.
-    ratio: lists within (1 + ratio) of the nearest list's distance are read, and as many more as hold k vectors. Vectors
+    ratio: lists within (1 + ratio) of the nearest list's distance are read, `least` of them at least (a query close to a
+    centroid would read one alone), and as many more as hold k vectors. Vectors
     that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do null
     vec_ids. Rows that repeat a vec_id and its vector count once, and with different vectors the nearer one counts.
     Fewer candidates than k give them all; no rows give none.
@@ -139,7 +140,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, list_size: int = 1
             which, where = [], []
             for i, q in enumerate(_vectors(batch.column("embedding"), dim)):
                 lists, d = graph.nearest(q, beam)
-                n = int((d <= d[0] * (1 + ratio)).sum())
+                n = max(int((d <= d[0] * (1 + ratio)).sum()), min(least, len(lists)))
                 while own[lists[:n]].sum() <= k and n < len(centroids):
                     if n == len(lists):
                         lists, d = graph.nearest(q, 2 * len(lists)) if len(lists) < len(centroids) // 2 else (np.argsort(_squared(q[None], centroids)[0], kind="stable"), d)

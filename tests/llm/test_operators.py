@@ -1,0 +1,309 @@
+"""Each operator against brute force over a table with nulls, empty and long texts, ties, repeated rows and clashing columns; and over an empty one."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+from cueforge.llm import components, cws, mixing, packing, posting_lists, quality, queries, sharding, simhash, substring, token_counts, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mark string, node int, link string, size string, rank string"
+
+
+def corpus() -> list[tuple]:
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, base = text(70), text(120)
+    texts = [text(rng.randint(1, 160)) for _ in range(30)]
+    texts += [text(20) + " " + passage + "\n" + text(15) for _ in range(4)] + [base] * 4
+    texts += [base.rsplit(" ", 1)[0] + " " + rng.choice(words) for _ in range(6)]
+    texts += [None, None, "", "", "  \t\n ", "one", "One", "one two", text(9000), passage, " ".join(["again"] * 130), "i d i o t"]
+    rows = [(i * 3 + 1, t, rng.choice(["en", "de", None]), rng.choice(["a", "a", "b", None])) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, texts[7], "en", "a"), (None, None, None, None)]
+    return [(*r, len(r[1] or ""), "x", 1, "y", "z", "w") for r in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def parts(text):
+    return (text or "").encode().split()
+
+
+def test_substring_dedup(docs, none):
+    out, cut = substring.remove_repeats(docs)
+    least = {}
+    for d, t, *_ in corpus():
+        w = parts(t)
+        for i in range(len(w) - 49):
+            if d is not None:
+                least[tuple(w[i : i + 50])] = min(d, least.get(tuple(w[i : i + 50]), d))
+    want = []
+    for d, t, *_ in corpus():
+        w = parts(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if d is not None and least[tuple(w[i : i + 50])] < d:
+                gone[i : i + 50] = [True] * 50
+        want.append((d, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()))
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(r.n_removed for r in cut.collect()) > 500
+    doubled, _ = substring.remove_repeats(docs, window=48, start=12)  # two doublings
+    assert doubled.agg({"n_removed": "sum"}).first()[0] >= sum(w[2] for w in want)
+    assert substring.remove_repeats(none)[0].count() == 0
+    with pytest.raises(ValueError):
+        substring.remove_repeats(docs, window=50, start=20)
+
+
+def root_of(n, pairs):
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[find(a)] = find(b)
+    return [find(i) for i in range(n)]
+
+
+def test_simhash(docs, none):
+    rows = corpus()
+    prints = []
+    for _, t, *_ in rows:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        prints.append(sum(1 << k for k in range(64) if sum(x >> k & 1 for x in h) * 2 > len(h)))
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    roots, least = root_of(len(rows), pairs), {}
+    for i, r in enumerate(roots):
+        if rows[i][0] is not None:
+            least[r] = min(rows[i][0], least.get(r, rows[i][0]))
+    got = simhash.near_duplicates(docs, words=3, hashes=1, max_bits=2, key_bytes=6, keys=None).collect()
+    want = [(rows[i][0], prints[i], least.get(r)) for i, r in enumerate(roots)]
+    assert sorted(((r.doc_id, r.fp[0] % 2**64, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_simhash_forest_and_components(spark):
+    rng = np.random.default_rng(2)
+    fp = rng.integers(0, 2**12, (60, 1), dtype=np.uint64)
+    want = root_of(60, [(i, j) for i in range(60) for j in range(i) if int(fp[i, 0] ^ fp[j, 0]).bit_count() <= 2])
+    got = root_of(60, simhash.forest(fp, 2, 6))
+    assert len({*zip(want, got, strict=True)}) == len(set(want)) == len(set(got))
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (None, 3), (101, 100)]
+    out = components.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {(r.node, r.root) for r in out.collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
+def test_posting_lists(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 8)) + rng.integers(0, 6, (1500, 1))
+    rows = [(i, [float(v) for v in r], "l") for i, r in enumerate(x)] + [(5000 + i, [0.5] * 8, "l") for i in range(300)]
+    bad = [(9000, None, ""), (9100, [0.0] * 8, ""), (9200, [1.0, None] * 4, ""), (9300, [float("nan")] * 8, ""), (9400, [1.0], ""), (None, [1.0] * 8, ""), (9500, [float("inf")] * 8, "")]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, list string")
+    got = defaultdict(list)
+    for r in posting_lists.search(df, list_size=32).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    hits = 0
+    assert set(got) == {int(i) for i in ids if i % 100 == 0}
+    for q, found in got.items():
+        d = np.sqrt(((v - v[ids == q]) ** 2).sum(axis=1))
+        best = [int(ids[j]) for j in np.lexsort((ids, d)) if ids[j] != q][:10]
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 11)) and found == sorted(found, key=lambda f: (f[2], f[1]))
+        assert all(abs(s - d[ids == i][0]) < 1e-12 for _, i, s in found)
+        hits += len({f[1] for f in found} & set(best))
+    assert hits / (10 * len(got)) >= 0.9
+    few = posting_lists.search(df.filter("vec_id in (0, 1, 2)"))
+    assert sorted(r.vec_id for r in few.collect()) == [1, 2]
+    assert posting_lists.search(df.filter("vec_id < 0")).count() == 0
+
+
+def test_sharding(docs, none):
+    rows = sharding.shard_documents(docs).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    sizes = [len(by[s]) for s in range(24)]
+    assert sum(sizes) == len(corpus()) and max(sizes) - min(sizes) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    want = Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, *_ in corpus())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    assert sharding.shard_documents(none).count() == 0
+
+
+def test_sharding_keeps_groups(spark):
+    df = spark.createDataFrame([(i, f"text {i % 300}" if i < 900 else f"own {i}") for i in range(4000)], "doc_id long, text string")
+    shards = defaultdict(set)
+    for r in sharding.shard_documents(df).collect():
+        shards[r.text_crc32].add(r.shard)
+    assert sum(len(s) > 1 for s in shards.values()) < 15
+
+
+def test_fingerprints(docs, none):
+    rows = sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    texts = [r[1] or "" for r in rows]
+    got = cws.fingerprint_documents(docs).collect()
+    want = Counter()
+    for i, (r, t) in enumerate(zip(rows, texts, strict=True)):
+        n = texts[(i + 1) % len(texts)]
+        want[(r[0], len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    assert cws.fingerprint_documents(none).count() == 0
+
+
+def test_fingerprint_likeness():
+    rng = random.Random(3)
+    import pyarrow as pa
+
+    for _ in range(3):
+        a, b = Counter(rng.choices("abcdefghij", k=30)), Counter(rng.choices("abcdefgklm", k=40))
+        s = cws.sample(pa.array([" ".join(a.elements()), " ".join(b.elements()), " ".join(a.elements())]), 3000)
+        assert (s[0] == s[2]).all()
+        assert abs((s[0] == s[1]).mean() - sum((a & b).values()) / sum((a | b).values())) < 0.04
+
+
+def test_token_counts(docs, none):
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    vocabulary = [("<unk>", 0.0)] + [(p, -float(i % 4)) for i, p in enumerate(["▁", "a", "b", "c", "ab", "bc", "▁a", "abc", "cd", "de", "bcd"])]
+    model = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=False))
+    model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex("[ \t\n\x0b\x0c\r]+"), "removed"), pre_tokenizers.Metaspace(prepend_scheme="always", split=False)])
+    want = Counter((d, len(parts(t)), len(model.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in corpus())
+    assert Counter(map(tuple, token_counts.count_tokens(docs, vocabulary).collect())) == want
+    assert token_counts.count_tokens(none, vocabulary).count() == 0
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    rows = packing.pack(docs, path).collect()
+    want = Counter()
+    for d, t, *_ in corpus():
+        ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.update((d, k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for s in by.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(by) == -(-sum(r.length for r in rows) // 2048)
+    assert packing.pack(none, path).count() == 0
+
+
+@pytest.mark.parametrize("low,high,n", [(1, 12, 30), (5, 20, 60), (3, 9, 25), (20, 20, 5)])
+def test_completion(low, high, n):
+    rng = np.random.default_rng(low)
+    counts = np.bincount(rng.integers(low, high + 1, n), minlength=21)
+    plan = packing.complete(counts, 20)
+    used = np.zeros(21, np.int64)
+    for filling, times in plan:
+        assert sum(x * k for x, k in filling) <= 20
+        for x, k in filling:
+            used[x] += k * times
+    assert (used == counts).all()
+    assert packing.lower_bound(counts, 20) <= sum(t for _, t in plan) <= sum(t for _, t in packing.best_fit(counts, 20))
+
+
+def test_mixing(docs, none):
+    rows = mixing.calibrate(docs, queries.TEMPERATURES, queries.KEEP)
+    got = sorted(((r["doc_id"], r["_topic"], r["_tokens"], round(r["_probability"], 6), r["_kept"]) for r in rows.collect()), key=repr)
+    import pandas as pd
+
+    db = duckdb.connect()
+    frame = pd.DataFrame([(*r[:4],) for r in corpus()], columns=["doc_id", "text", "lang", "source"]).astype({"doc_id": "Int64"})
+    db.register("documents", frame)
+    assert got == sorted(db.execute(mixing.oracle_sql(queries.TEMPERATURES, queries.KEEP)).fetchall(), key=repr)
+    assert mixing.calibrate(none, queries.TEMPERATURES, queries.KEEP).count() == 0
+
+
+def test_raking_reaches_margins(spark):
+    cells = spark.createDataFrame([(s, la, t, (i + 1) * 10) for i, (s, la, t) in enumerate((s, la, t) for s in "ab" for la in "xy" for t in "pq")], "source string, lang string, topic string, tokens long")
+    out = mixing.rake(cells.coalesce(1), {"source": 0.0, "lang": 0.0, "topic": 1.0}, 20).toPandas()
+    assert np.allclose(out.groupby("source").weight.sum(), out.tokens.sum() / 2) and np.allclose(out.groupby("lang").weight.sum(), out.tokens.sum() / 2)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice(["th", "er", "on", "an", "re"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    rows, marks = [], []
+    for i in range(700):
+        w = rng.choices(words, k=rng.randint(20, 80))
+        bad, toxic = i % 5 == 0, i % 7 == 0
+        if bad:
+            w = [x.upper() + "!!" for x in w]
+        if toxic:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(["idiot", "scum", "moron", "loser"]))
+        rows.append((i, " ".join(w), "en"))
+        marks.append((i, int(not bad), int(toxic)))
+    extra = [(10_000, None, None), (10_001, "", None), (None, "the on", None), (3, rows[3][1], None)]
+    labels = [(5, None, None), (None, 1, 1), (6, 7, 7)]
+    return spark.createDataFrame(rows + extra, "doc_id long, text string, label string"), spark.createDataFrame(marks + labels, "doc_id long, quality int, toxic int"), marks
+
+
+def test_quality(labelled, none):
+    docs, labels, marks = labelled
+    rows = quality.classify(docs, labels).collect()
+    truth = {i: q for i, q, _ in marks}
+    held = [r for r in rows if r.held_out and r.doc_id in truth]
+    assert len(rows) == 704 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    assert quality.classify(none, labels.limit(0)).count() == 0
+
+
+def test_toxicity(labelled, none):
+    docs, labels, marks = labelled
+    rows = toxicity.classify(docs, labels).collect()
+    truth = {i: t for i, _, t in marks}
+    held = [r for r in rows if r.held_out and r.doc_id in truth]
+    assert len(rows) == 704 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    assert toxicity.classify(none, labels.limit(0)).count() == 0
+
+
+def test_pipeline(spark, tmp_path, docs):
+    import corpus_pipeline
+
+    path = str(tmp_path)
+    docs.drop("mark", "node", "link", "size", "rank").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(d, 1) for d, *_ in corpus() if d is not None][:20], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    columns = spark.read.parquet(f"{path}/documents.parquet").columns
+    now = spark.read.parquet(f"{path}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        after = stage(spark, now, path)
+        assert after.count() <= now.count() or i == 4
+        if i < 4:
+            assert after.columns == columns
+        after.write.parquet(f"{path}/{i}")
+        now = spark.read.parquet(f"{path}/{i}")
+    assert now.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    same = corpus_pipeline.run(spark, path).select("doc_id", "piece", "length", "ids_crc32").collect()
+    assert Counter(map(tuple, same)) == Counter(map(tuple, now.select("doc_id", "piece", "length", "ids_crc32").collect()))
