@@ -33,7 +33,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, hashes=1, max_bits=2, key_bytes=6, keys=None)
+    rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, hashes=1, max_bits=2, key_bytes=6, keys=None, similarity=None)
     return rows.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 

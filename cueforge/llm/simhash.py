@@ -5,9 +5,12 @@ The index is keyed by several positional bytes together, as a single byte has on
 would grow with the square of the corpus. With 64 bits and d = 2 the 28 choices of 6 positions form the keys: a pair
 reaches the guaranteed 6 matches exactly if it meets in a posting list. Inside a list shared bytes are tallied, pairs
 below the minimum fall, the rest is verified by their differing bits, and only a spanning forest is emitted.
+Where a similarity of shingle sets is asked for, bits alone are an estimate: pairs of few differing bits are linked by
+these, and the others that join what is still apart are verified by their shingles.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -18,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import staged
-from .words import LOWER, Block, blocks, mix, whole_groups
+from .words import LOWER, Block, blocks, lists, mix, whole_groups
 
+_RUN = 96
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
@@ -68,7 +72,7 @@ def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int, hashes: int) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp array<long> of `hashes` times 64 bits). Null and empty texts have all bits zero."""
+    """docs(doc_id, text) -> (doc_id, mark: xxhash64 of the text, fp array<long> of `hashes` times 64 bits). Null and empty texts have all bits zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,9 +82,24 @@ def fingerprints(docs: DataFrame, words: int, hashes: int) -> DataFrame:
                 made.append(np.stack([majority(h if k == 0 else mix(h + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)), first) for k in range(hashes)], axis=1))
             flat = np.concatenate(made).reshape(-1).view(np.int64) if made else np.zeros(0, np.int64)
             fp = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * hashes, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), fp], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("mark"), fp], ["doc_id", "mark", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, fp array<long>")
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """texts(node, text) -> (node, shingles array<long>): hashes of the distinct shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                h, first = shingle_hashes(block, words)
+                sets = [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                flat = np.concatenate(sets).view(np.int64) if len(row) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(block.lo, len(sets)), lists(flat, row, len(sets), pa.int64())], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def byte_keys(hashes: int, key_bytes: int, keys: int | None) -> list[tuple[int, ...]]:
@@ -133,43 +152,74 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from table.filter(pa.array(keep)).to_batches()
 
 
-def links(nodes: DataFrame, hashes: int, max_bits: int, key_bytes: int, keys: int | None) -> DataFrame:
-    """nodes(node long, fp), one row a fingerprint -> (a, b), edges that connect what is within max_bits."""
+def links(nodes: DataFrame, hashes: int, limits: tuple[int, ...], key_bytes: int, keys: int | None) -> DataFrame:
+    """nodes(node long, fp), one row a fingerprint -> (a, b, bits), edges that connect what is within each of the limits, in bits."""
     chosen = byte_keys(hashes, key_bytes, keys)
     # fewer matches than the guaranteed minimum can't be within max_bits; what met in the index shares key_bytes anyway
-    min_bytes = max(key_bytes if keys is not None else 0, 8 * hashes - max_bits)
+    min_bytes = max(key_bytes if keys is not None else 0, 8 * hashes - max(limits))
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key"):
             key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
             fp = table.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, hashes)
             cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            pairs = [(lo + i, lo + j) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if hi - lo > 1 for i, j in forest(fp[lo:hi], max_bits, min_bytes)]
+            pairs = [(lo + i, lo + j) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if hi - lo > 1 for most in limits for i, j in forest(fp[lo:hi], most, min_bytes)]
             if pairs:
                 p = np.array(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(node[p[:, 0]]), pa.array(node[p[:, 1]])], ["a", "b"])
-
-    postings = nodes.select("node", F.explode(F.array(*[_key(c, i) for i, c in enumerate(chosen)])).alias("key"))
+                bits = np.bitwise_count(fp[p[:, 0]] ^ fp[p[:, 1]]).sum(axis=1, dtype=np.int32)
+                ends = np.sort(node[p], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(bits)], ["a", "b", "bits"])
+
+    columns = [_key(c, i) for i, c in enumerate(chosen)]
+    # in runs, as the code of more keys is too long for one compiled method
+    runs = [nodes.select("node", F.explode(F.array(*columns[i : i + _RUN])).alias("key")) for i in range(0, len(columns), _RUN)]
+    postings = reduce(DataFrame.union, runs)
     met = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "node long, key long")
     full = met.withColumn("fp", F.array("node")) if hashes == 1 else met.join(nodes.select("node", "fp"), "node")
-    return full.repartition("key").sortWithinPartitions("key").mapInArrow(grouped, "a long, b long").distinct()
+    return full.repartition("key").sortWithinPartitions("key").mapInArrow(grouped, "a long, b long, bits int").distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) whose texts have a Jaccard similarity of shingle sets of `similarity` or more; nodes(node, some) names a text of each node by doc_id and mark."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "some"), "node")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    same = F.col("some.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("some.mark") == F.col("mark"))
+    sets = staged(shingle_sets(ends.join(marked, same).dropDuplicates(["node"]), words), "shingles")
+    one, two = (sets.select(F.col("node").alias(e), F.col("shingles").alias(f"of_{e}")) for e in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
+    return both.filter(F.col("shared") >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - F.col("shared")) - F.lit(1e-9)).select("a", "b")
+
+
+def _similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, sure_bits: int, similarity: float) -> DataFrame:
+    """Edges of at most sure_bits, as node and root of what they connect, and the verified ones among the others."""
+    roots = staged(components(edges.filter(F.col("bits") <= sure_bits)), "sure")
+    of = lambda e: roots.select(F.col("node").alias(e), F.col("root").alias(f"of_{e}"))
+    apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+    rest = edges.filter(F.col("bits") > sure_bits).join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart)
+    rest = staged(rest.select("a", "b"), "unsure")
+    return verified(rest, nodes, docs, words, similarity).union(roots.select("node", "root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, hashes: int = 4, max_bits: int = 38, key_bytes: int = 3, keys: int | None = 96) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, hashes: int = 4, max_bits: int = 54, key_bytes: int = 3, keys: int | None = 192, similarity: float | None = 0.8, sure_bits: int = 24) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, fp array<long>, component_id): one row a row of docs.
 
     words: of a shingle. Fingerprints of 64 x hashes bits link at max_bits differing bits or fewer; component_id is the
-    smallest doc_id that links reach. With hashes=1, max_bits=2, key_bytes=6, keys=None every link is found. The defaults
-    stand for five words and a similarity of 0.8: 38 of 256 bits is the angle of sets with that Jaccard similarity; 96
-    keys of 3 bytes then find such pairs with a chance of 0.8 at the threshold and over 0.99 from 0.9 on.
+    smallest doc_id that links reach. With hashes=1, max_bits=2, key_bytes=6, keys=None, similarity=None every link is
+    found. With a similarity, links of over sure_bits are kept only where the shingle sets are as similar as that. The
+    defaults stand for five words and 0.8: sets of that Jaccard similarity differ in 39 of 256 bits, in 54 or fewer with
+    a chance of 0.996, in 24 or fewer with one of 0.005; 192 keys of 3 bytes find such a pair with a chance of 0.98.
     Equal fingerprints are one node, so copies cost one index entry. Null text: as empty; no words: all bits zero, linked
     like any other. Null doc_id: its row stays, and it never names a component unless all of it has none (then null).
     Repeated rows stay repeated. Other columns are ignored. Empty tables give empty tables.
     """
     fps = staged(fingerprints(docs, words, hashes), "fingerprints")
     fps = fps.withColumn("node", F.col("fp")[0] if hashes == 1 else F.xxhash64("fp"))
-    nodes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "nodes")
-    roots = components(links(nodes, hashes, max_bits, key_bytes, keys))
+    nodes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min(F.struct("doc_id", "mark")).alias("some")), "nodes")
+    if similarity is None:
+        roots = components(links(nodes, hashes, (max_bits,), key_bytes, keys))
+    else:
+        edges = staged(links(nodes, hashes, (sure_bits, max_bits), key_bytes, keys), "edges")
+        roots = components(_similar(edges, nodes, docs, words, sure_bits, similarity).toDF("a", "b"))
     linked = roots.join(nodes.select("node", "least"), "node")
     names = linked.groupBy("root").agg(F.min("least").alias("named"))
     named = roots.join(names, "root").select("node", "named")

@@ -94,12 +94,39 @@ def test_simhash(docs, none):
     for i, r in enumerate(roots):
         if rows[i][0] is not None:
             least[r] = min(rows[i][0], least.get(r, rows[i][0]))
-    got = simhash.near_duplicates(docs, words=3, hashes=1, max_bits=2, key_bytes=6, keys=None).collect()
+    got = simhash.near_duplicates(docs, words=3, hashes=1, max_bits=2, key_bytes=6, keys=None, similarity=None).collect()
     want = [(rows[i][0], prints[i], least.get(r)) for i, r in enumerate(roots)]
     assert sorted(((r.doc_id, r.fp[0] % 2**64, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_are_verified(spark):
+    """Texts that differ in the words of one to three places, brute force at 0.8 over five-word shingles."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(30):
+        base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+        for k in range(4):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(120)] = f"x{rng.randrange(4000)}"
+            rows.append((len(rows), " ".join(w), g))
+    rows += [(None, None, 0), (None, "", 0), (900, None, 0), (901, "one", 0), (902, "ONE", 0), (0, rows[0][1], 1)]
+    sets = []
+    for _, t, _ in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    roots, least = root_of(len(rows), pairs), {}
+    for i, r in enumerate(roots):
+        if rows[i][0] is not None:
+            least[r] = min(rows[i][0], least.get(r, rows[i][0]))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, a int"))
+    want = sorted(((rows[i][0], least.get(r)) for i, r in enumerate(roots)), key=repr)
+    same = sum(a == b for a, b in zip(sorted(((r.doc_id, r.component_id) for r in got.collect()), key=repr), want, strict=True))
+    assert same >= len(want) - 2  # the index finds a pair at the threshold with a chance
+
+
 def test_simhash_forest_and_components(spark):
     rng = np.random.default_rng(2)
     fp = rng.integers(0, 2**12, (60, 1), dtype=np.uint64)
