@@ -2,8 +2,9 @@
 
 Centroids are fitted on a bounded sample by k-means with oversized clusters split, and kept in memory with a graph of
 their neighbours. Every vector goes into the list of its nearest centroid; one near a boundary is replicated into the
-lists of further centroids about as near, unless these lie nearer to a list already chosen than to the vector. A query
-searches the graph for its nearest centroids and reads the lists whose distance is within a ratio of the nearest one's.
+lists of further centroids about as near, unless these lie much nearer to a list already chosen than to the vector. A query
+searches the graph for its nearest centroids and reads the lists whose distance is within a ratio of the nearest one's, and
+at least as many as reach the recall asked for: how many that takes is found against brute force over the whole table.
 Lists are cut into parts of bounded size, which are the groups that tasks work on.
 """
 
@@ -86,13 +87,89 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, list_size: int = 128, sample: int = 40_000, most_lists: int = 8192, closure: float = 0.3, replicas: int = 6, ratio: float = 0.3, least: int = 16, beam: int = 96, part: int = 256) -> DataFrame:
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best rows of each query; a repeated id counts once."""
+    order = np.lexsort((score, ids, query))
+    order = order[np.r_[True, (query[order][1:] != query[order][:-1]) | (ids[order][1:] != ids[order][:-1])][: len(order)]]
+    order = order[np.lexsort((ids[order], score[order], query[order]))]
+    new = np.flatnonzero(np.r_[True, query[order][1:] != query[order][:-1]][: len(order)])
+    rank = np.arange(len(order)) - np.repeat(new, np.diff(np.r_[new, len(order)]))
+    return order[rank < k]
+
+
+def truth(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> pa.Table:
+    """(query: place in `ids`, vec_id, embedding): the exact k nearest of each query over all of rows. A task passes on k rows a query."""
+    dim = queries.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, i, s, v = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, dim))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                piece = batch.slice(at, 4096)
+                x, own = _vectors(piece.column("embedding"), dim), piece.column("vec_id").to_numpy()
+                d = _squared(queries, x)
+                d[ids[:, None] == own[None]] = np.inf
+                n = min(2 * k, len(x))
+                near = np.argpartition(d, n - 1, axis=1)[:, :n].ravel()
+                which = np.repeat(np.arange(len(ids)), n)
+                ok = np.isfinite(d[which, near])
+                which, near = which[ok], near[ok]
+                q, i, s, v = np.r_[q, which], np.r_[i, own[near]], np.r_[s, d[which, near]], np.r_[v, x[near]]
+                best = _best(q, i, s, k)
+                q, i, s, v = q[best], i[best], s[best], v[best]
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), dim).cast(pa.list_(pa.float64()))], ["query", "vec_id", "score", "embedding"])
+
+    near = rows.mapInArrow(run, "query long, vec_id long, score double, embedding array<double>")
+    near = near.groupBy("query", "vec_id").agg(F.min(F.struct("score", "embedding")).alias("of"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("of.score", "vec_id"))
+    return near.withColumn("place", place).filter(F.col("place") <= k).select("query", "vec_id", F.col("of.embedding").alias("embedding")).toArrow()
+
+
+def lists_of(x: np.ndarray, centroids: np.ndarray, closure: float, replicas: int, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """The lists that each row of x goes into, nearest first, and which of these columns hold."""
+    d = np.sqrt(_squared(x, centroids))
+    take = min(replicas, d.shape[1])
+    near = np.argpartition(d, take - 1, axis=1)[:, :take]
+    near = np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(axis=1, kind="stable"), 1)
+    dist = np.take_along_axis(d, near, 1)
+    keep = dist <= dist[:, :1] * (1 + closure)
+    for j in range(1, take):
+        for i in range(j):
+            apart = np.sqrt(((centroids[near[:, j]] - centroids[near[:, i]]) ** 2).sum(axis=1))
+            keep[:, j] &= ~keep[:, i] | (apart >= spread * dist[:, j])
+    keep[:, 0] = True
+    return near, keep
+
+
+def lists_needed(graph: Graph, queries: np.ndarray, query: np.ndarray, near: np.ndarray, keep: np.ndarray, target: float, beam: int) -> int:
+    """How many lists a query reads so that the share `target` of the true neighbours lie in them. query: of each neighbour; near, keep: the neighbour's lists."""
+    n = len(graph.c)
+    if not len(query):
+        return 1
+    rank = _squared(queries, graph.c).argsort(axis=1, kind="stable").argsort(axis=1)
+    first = np.where(keep, rank[query[:, None], near], n).min(axis=1)
+    need = int(np.sort(first)[max(0, int(np.ceil(target * len(first))) - 1)]) + 1
+    while 4 * need < n:  # the graph is searched: what it misses counts too
+        seen = np.zeros((len(queries), n), bool)
+        for i, q in enumerate(queries):
+            seen[i, graph.nearest(q, max(beam, need))[0][:need]] = True
+        if (seen[query[:, None], near] & keep).any(axis=1).mean() >= target:
+            break
+        need = 2 * need
+    return min(need, n)
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10, list_size: int = 128, sample: int = 40_000, most_lists: int = 8192, closure: float = 0.3, replicas: int = 6, ratio: float = 0.3, least: int = 16, beam: int = 96, part: int = 256, spread: float = 0.8, target: float = 0.99, trials: int = 256) -> DataFrame:
     """vectors(vec_id, embedding, ...) -> (query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by `every`, among all other rows, by Euclidean distance in double precision; ties to the smaller vec_id.
 
     Centroids: one for `list_size` vectors, `most_lists` at most, from the first `sample` vectors by hash; all vectors
     are indexed. closure, replicas: how much farther a further list of a vector may be, and how many it has at most.
+    spread: a further list is left out where it is nearer to one already chosen than this part of its distance to the
+    vector. target, trials: as many lists are read as hold this share of the true neighbours of so many queries, which
+    are compared with the whole table; vectors without structure take most of the lists for 0.99.
     ratio: lists within (1 + ratio) of the nearest list's distance are read, `least` of them at least (a query close to a
-    centroid would read one alone), and as many more as hold k vectors. Vectors
+    centroid would read one alone), among the `beam` nearest, and as many more as hold k vectors. Vectors
     that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do null
     vec_ids. Rows that repeat a vec_id and its vector count once, and with different vectors the nearer one counts.
     Fewer candidates than k give them all; no rows give none.
@@ -111,21 +188,18 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, list_size: int = 1
     graph = Graph(balanced_centroids(x, min(most_lists, max(1, len(x) // 4), -(-total // list_size))))
     centroids = graph.c
 
+    tried = rows.filter(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(trials).toArrow()
+    asking = _vectors(tried["embedding"].combine_chunks(), dim)
+    need = 1
+    if len(asking):
+        exact = truth(rows, tried["vec_id"].to_numpy(), asking, k)
+        need = lists_needed(graph, asking, exact["query"].to_numpy(), *lists_of(_vectors(exact["embedding"].combine_chunks(), dim), centroids, closure, replicas, spread), target, beam)
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apart = np.sqrt(_squared(centroids, centroids))
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 piece = batch.slice(at, 2048)
-                d = np.sqrt(_squared(_vectors(piece.column("embedding"), dim), centroids))
-                take = min(replicas, d.shape[1])
-                near = np.argpartition(d, take - 1, axis=1)[:, :take]
-                near = np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(axis=1, kind="stable"), 1)
-                dist = np.take_along_axis(d, near, 1)
-                keep = dist <= dist[:, :1] * (1 + closure)
-                for j in range(1, take):
-                    for i in range(j):
-                        keep[:, j] &= ~keep[:, i] | (apart[near[:, j], near[:, i]] >= dist[:, j])
-                keep[:, 0] = True
+                near, keep = lists_of(_vectors(piece.column("embedding"), dim), centroids, closure, replicas, spread)
                 r, j = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(near[r, j].astype(np.int32)), pa.array(j == 0), piece.column("vec_id").take(pa.array(r)), piece.column("embedding").take(pa.array(r))], ["list", "own", "vec_id", "embedding"])
 
@@ -139,8 +213,13 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, list_size: int = 1
         for batch in batches:
             which, where = [], []
             for i, q in enumerate(_vectors(batch.column("embedding"), dim)):
-                lists, d = graph.nearest(q, beam)
-                n = max(int((d <= d[0] * (1 + ratio)).sum()), min(least, len(lists)))
+                if 4 * need < len(centroids):
+                    lists, d = graph.nearest(q, max(beam, need))
+                else:
+                    all_d = np.sqrt(_squared(q[None], centroids)[0])
+                    lists = np.argsort(all_d, kind="stable")[: max(beam, need)]
+                    d = all_d[lists]
+                n = max(int((d[:beam] <= d[0] * (1 + ratio)).sum()), min(max(least, need), len(lists)))
                 while own[lists[:n]].sum() <= k and n < len(centroids):
                     if n == len(lists):
                         lists, d = graph.nearest(q, 2 * len(lists)) if len(lists) < len(centroids) // 2 else (np.argsort(_squared(q[None], centroids)[0], kind="stable"), d)
@@ -162,11 +241,13 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, list_size: int = 1
     asked = rows.filter(F.col("vec_id") % every == 0).mapInArrow(probe, placed)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        merged = lambda: [np.concatenate([o[i] for o in out]) for i in range(3)]
+        batch_of = lambda o: pa.RecordBatch.from_arrays([*map(pa.array, o)], ["query_id", "vec_id", "score"])
         for table in whole_groups(batches, "place"):
             place, kind, ids = (table.column(c).to_numpy() for c in ("place", "kind", "id"))
             v = _vectors(table.column("embedding").combine_chunks(), dim)
             cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
-            out = []
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 mid = lo + int((kind[lo:hi] == 0).sum())
                 for q in range(lo, mid):
@@ -174,8 +255,17 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, list_size: int = 1
                     ok = ids[mid:hi] != ids[q]
                     best = np.lexsort((ids[mid:hi][ok], score[ok]))[:k]
                     out.append((np.full(len(best), ids[q]), ids[mid:hi][ok][best], score[ok][best]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["query_id", "vec_id", "score"])
+            if sum(len(o[0]) for o in out) > 500_000:  # one query's lists in this task are merged; what many queries fill is passed on
+                q, i, score = merged()
+                best = _best(q, i, score, k)
+                out = [(q[best], i[best], score[best])]
+                if len(best) > 250_000:
+                    yield batch_of(out[0])
+                    out = []
+        if out:
+            q, i, score = merged()
+            best = _best(q, i, score, k)
+            yield batch_of((q[best], i[best], score[best]))
 
     found = held.unionByName(asked).repartition("place").sortWithinPartitions("place", "kind").mapInArrow(scan, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -163,6 +163,20 @@ def test_posting_lists(spark):
     assert posting_lists.search(df.filter("vec_id < 0")).count() == 0
 
 
+def test_posting_lists_recall_without_structure(spark):
+    """More lists than the beam, unit vectors without structure: the number read follows from brute force."""
+    x = np.random.default_rng(5).normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = posting_lists.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), list_size=16).collect()
+    found, hits = defaultdict(set), 0
+    for r in got:
+        found[r.query_id].add(r.vec_id)
+    for q in range(0, 6000, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        hits += len(found[q] & {int(j) for j in np.argsort(d)[1:11]})
+    assert hits / 600 >= 0.98
+
+
 def test_sharding(docs, none):
     rows = sharding.shard_documents(docs).collect()
     by = defaultdict(list)
