@@ -5,8 +5,10 @@ The index is keyed by several positional bytes together, as a single byte has on
 would grow with the square of the corpus. With 64 bits and d = 2 the 28 choices of 6 positions form the keys: a pair
 reaches the guaranteed 6 matches exactly if it meets in a posting list. Inside a list shared bytes are tallied, pairs
 below the minimum fall, the rest is verified by their differing bits, and only a spanning forest is emitted.
-Where a similarity of shingle sets is asked for, bits alone are an estimate: pairs of few differing bits are linked by
-these, and the others that join what is still apart are verified by their shingles.
+Where a similarity of shingle sets is asked for, bits are an estimate only, and links are found on the sets themselves:
+two sets of n and m shingles and a similarity t share ceil(t * max(n, m)) at least, so in any common order of all shingles
+they share one among the first n - ceil(t * n) + 1 and m - ceil(t * m) + 1. These prefixes are indexed, and each link is
+verified. The order puts what is frequent in a sample last; that keeps lists short and has no part in what is found.
 """
 
 from collections.abc import Iterator
@@ -179,47 +181,152 @@ def links(nodes: DataFrame, hashes: int, limits: tuple[int, ...], key_bytes: int
     return full.repartition("key").sortWithinPartitions("key").mapInArrow(grouped, "a long, b long, bits int").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of pairs(a, b) whose texts have a Jaccard similarity of shingle sets of `similarity` or more; nodes(node, some) names a text of each node by doc_id and mark."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "some"), "node")
+def frequent(docs: DataFrame, words: int, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, that at least three of about `sample` texts have, and in how many; `most` of them."""
+    rate = max(1, docs.count() // sample)
+    some = docs.select("text", F.xxhash64("doc_id", "text").alias("node")).filter(F.pmod("node", F.lit(rate)) == 0)
+    counts = shingle_sets(some, words).select(F.explode("shingles").alias("key")).groupBy("key").count().filter("count >= 3")
+    table = counts.orderBy(F.desc("count"), "key").limit(most).toArrow()
+    keys, n = table["key"].to_numpy().view(np.uint64), table["count"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def _prefixes(docs: DataFrame, words: int, hashes: int, similarity: float) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, mark, fp of the distinct shingles, node: hash of their set, prefix array<long>)."""
+    known, often = frequent(docs, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                rows = block.hi - block.lo
+                h, first = shingle_hashes(block, words)
+                row = np.repeat(np.arange(rows), np.diff(first))
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
+                h, row = h[new], row[new]
+                first = np.searchsorted(row, np.arange(rows + 1))
+                n = np.diff(first)
+                fp = np.stack([majority(h if k == 0 else mix(h + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)), first) for k in range(hashes)], axis=1)
+                node = np.zeros(rows, np.uint64)
+                if len(h):
+                    node[n > 0] = mix(np.add.reduceat(mix(h), first[:-1][n > 0]) + n[n > 0].astype(np.uint64))
+                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                times = np.where(known[at] == h, often[at], 0) if len(known) else np.zeros(len(h), np.int64)
+                order = np.lexsort((h, times, row))
+                take = np.arange(len(h)) - first[row] <= (n - np.ceil(similarity * n - 1e-6).astype(np.int64))[row]
+                prefix = lists(h[order][take].view(np.int64), row[take], rows, pa.int64())
+                doc, mark = (batch.column(c).slice(block.lo, rows) for c in ("doc_id", "mark"))
+                yield pa.RecordBatch.from_arrays([doc, mark, lists(fp.reshape(-1).view(np.int64), np.repeat(np.arange(rows), hashes), rows, pa.int64()), pa.array(node.view(np.int64)), prefix], ["doc_id", "mark", "fp", "node", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, fp array<long>, node long, prefix array<long>")
+
+
+def set_forest(flat: np.ndarray, offs: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Spanning edges of the graph that links sets (flat[offs[i]:offs[i + 1]]) of this Jaccard similarity or more; each set found is compared with those not yet reached only."""
+    sizes = np.diff(offs)
+    _, token = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    by = np.argsort(token, kind="stable")
+    holders, tokens = owner[by], token[by]
+    start = np.searchsorted(tokens, np.arange(tokens[-1] + 2 if len(tokens) else 1))
+    open_, indexed, edges = np.ones(len(sizes), bool), len(sizes), []
+    for seed in range(len(sizes)):
+        if not open_[seed]:
+            continue
+        todo, open_[seed] = [seed], False
+        while todo:
+            remain = int(open_.sum())
+            if not remain:
+                return edges
+            if 2 * remain < indexed:  # only what is not reached stays in the index
+                keep = open_[holders]
+                holders, tokens, indexed = holders[keep], tokens[keep], remain
+                start = np.searchsorted(tokens, np.arange(len(start)))
+            at = todo.pop()
+            mine = token[offs[at] : offs[at + 1]]
+            lo, n = start[mine], start[mine + 1] - start[mine]
+            place = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            shared = np.bincount(holders[place], minlength=len(sizes))
+            found = np.flatnonzero(open_ & (shared > 0) & (shared >= similarity * (sizes[at] + sizes - shared) - 1e-9))
+            edges += [(at, int(x)) for x in found]
+            open_[found] = False
+            todo += found.tolist()
+    return edges
+
+
+def similar(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, short: int = 16) -> DataFrame:
+    """nodes(node, some, prefix) -> (a, b), links that connect just what sets of this similarity or more connect.
+
+    some: doc_id and mark of a text of the node. Of lists of `short` nodes or fewer every pair is verified once; in longer
+    ones the forest of verified links is found with the sets at hand.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key"):
+            key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            n = np.diff(cut)
+            ones, twos = [], []
+            for size in range(2, short + 1):
+                at = cut[:-1][n == size]
+                i, j = np.triu_indices(size, 1)
+                ones.append(node[at[:, None] + i].ravel())
+                twos.append(node[at[:, None] + j].ravel())
+            a, b = np.concatenate(ones), np.concatenate(twos)
+            long = np.repeat(n > short, n)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none], ["a", "b", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(key[long])], ["a", "b", "key"])
+
+    def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key"):
+            key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                sets = table.column("shingles").slice(lo, hi - lo).combine_chunks()
+                sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+                offs = np.r_[0, np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))]
+                edges = np.array(set_forest(sets.flatten().to_numpy(zero_copy_only=False), offs, similarity), np.int64).reshape(-1, 2)
+                ends = np.sort(node[lo:hi][edges], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    postings = nodes.select("node", F.explode("prefix").alias("key"))
+    found = staged(postings.repartition("key").sortWithinPartitions("key").mapInArrow(met, "a long, b long, key long"), "met")
+    pairs = staged(found.filter("key is null").select("a", "b").distinct(), "pairs")
+    listed = found.filter("key is not null").select(F.col("a").alias("node"), "key")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(listed.select("node")).distinct().join(nodes.select("node", "some"), "node")
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    same = F.col("some.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("some.mark") == F.col("mark"))
+    same = F.col("some.doc_id").eqNullSafe(F.col("doc_id")) & F.col("some.mark").eqNullSafe(F.col("mark"))
     sets = staged(shingle_sets(ends.join(marked, same).dropDuplicates(["node"]), words), "shingles")
     one, two = (sets.select(F.col("node").alias(e), F.col("shingles").alias(f"of_{e}")) for e in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
-    return both.filter(F.col("shared") >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - F.col("shared")) - F.lit(1e-9)).select("a", "b")
-
-
-def _similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, sure_bits: int, similarity: float) -> DataFrame:
-    """Edges of at most sure_bits, as node and root of what they connect, and the verified ones among the others."""
-    roots = staged(components(edges.filter(F.col("bits") <= sure_bits)), "sure")
-    of = lambda e: roots.select(F.col("node").alias(e), F.col("root").alias(f"of_{e}"))
-    apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
-    rest = edges.filter(F.col("bits") > sure_bits).join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart)
-    rest = staged(rest.select("a", "b"), "unsure")
-    return verified(rest, nodes, docs, words, similarity).union(roots.select("node", "root"))
+    true = both.filter(F.col("shared") >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - F.col("shared")) - F.lit(1e-9)).select("a", "b")
+    return true.union(listed.join(sets, "node").repartition("key").sortWithinPartitions("key").mapInArrow(spanned, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, hashes: int = 4, max_bits: int = 54, key_bytes: int = 3, keys: int | None = 192, similarity: float | None = 0.8, sure_bits: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, hashes: int = 4, max_bits: int = 54, key_bytes: int = 3, keys: int | None = 192, similarity: float | None = 0.8) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, fp array<long>, component_id): one row a row of docs.
 
-    words: of a shingle. Fingerprints of 64 x hashes bits link at max_bits differing bits or fewer; component_id is the
-    smallest doc_id that links reach. With hashes=1, max_bits=2, key_bytes=6, keys=None, similarity=None every link is
-    found. With a similarity, links of over sure_bits are kept only where the shingle sets are as similar as that. The
-    defaults stand for five words and 0.8: sets of that Jaccard similarity differ in 39 of 256 bits, in 54 or fewer with
-    a chance of 0.996, in 24 or fewer with one of 0.005; 192 keys of 3 bytes find such a pair with a chance of 0.98.
-    Equal fingerprints are one node, so copies cost one index entry. Null text: as empty; no words: all bits zero, linked
-    like any other. Null doc_id: its row stays, and it never names a component unless all of it has none (then null).
+    words: of a shingle. component_id is the smallest doc_id that links reach. With a similarity, texts link whose sets of
+    distinct shingles (by 64-bit hashes) have that Jaccard similarity or more, all of them; fp is made of the distinct
+    shingles, and max_bits, key_bytes and keys have no part. Without one, fingerprints of 64 x hashes bits, in which
+    repeated shingles count, link at max_bits differing bits or fewer; with hashes=1, max_bits=2, key_bytes=6, keys=None
+    every such link is found.
+    Equal sets, or fingerprints, are one node, so copies cost one index entry. Null text: as empty; texts without words
+    are equal to each other. Null doc_id: its row stays, and it never names a component unless all of it has none (then null).
     Repeated rows stay repeated. Other columns are ignored. Empty tables give empty tables.
     """
-    fps = staged(fingerprints(docs, words, hashes), "fingerprints")
-    fps = fps.withColumn("node", F.col("fp")[0] if hashes == 1 else F.xxhash64("fp"))
-    nodes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min(F.struct("doc_id", "mark")).alias("some")), "nodes")
     if similarity is None:
+        fps = staged(fingerprints(docs, words, hashes), "fingerprints")
+        fps = fps.withColumn("node", F.col("fp")[0] if hashes == 1 else F.xxhash64("fp"))
+        nodes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "nodes")
         roots = components(links(nodes, hashes, (max_bits,), key_bytes, keys))
     else:
-        edges = staged(links(nodes, hashes, (sure_bits, max_bits), key_bytes, keys), "edges")
-        roots = components(_similar(edges, nodes, docs, words, sure_bits, similarity).toDF("a", "b"))
+        fps = staged(_prefixes(docs, words, hashes, similarity), "fingerprints")
+        nodes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("some"), F.first("prefix").alias("prefix")), "nodes")
+        roots = components(similar(nodes, docs, words, similarity))
     linked = roots.join(nodes.select("node", "least"), "node")
     names = linked.groupBy("root").agg(F.min("least").alias("named"))
     named = roots.join(names, "root").select("node", "named")

@@ -127,6 +127,40 @@ def test_near_duplicates_are_verified(spark):
     assert same >= len(want) - 2  # the index finds a pair at the threshold with a chance
 
 
+def near_groups(texts):
+    """The least place of each text's group, brute force at 0.8 over five-word shingles."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    roots = root_of(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    least = {}
+    for i, r in enumerate(roots):
+        least.setdefault(r, i)
+    return [least[r] for r in roots]
+
+
+def found_groups(spark, texts):
+    got = simhash.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    return [r.component_id for r in got.orderBy("doc_id").collect()]
+
+
+def test_near_duplicates_at_the_limit(spark):
+    """Pairs of 0.80 to 0.83: each is found."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(150):
+        base = [f"w{rng.randrange(90000)}" for _ in range(204)]
+        w = list(base)
+        for i in rng.sample(range(5, 196, 10), rng.choice((4, 4, 3))):
+            w[i] = f"x{rng.randrange(90000)}"
+        for i in rng.sample(range(200, 204), 1):
+            w[i] = "tail"
+        texts += [" ".join(base), " ".join(w)]
+    want = near_groups(texts)
+    assert len(set(want)) < 250 and found_groups(spark, texts) == want
+
+
 def test_simhash_forest_and_components(spark):
     rng = np.random.default_rng(2)
     fp = rng.integers(0, 2**12, (60, 1), dtype=np.uint64)
