@@ -161,6 +161,34 @@ def test_near_duplicates_at_the_limit(spark):
     assert len(set(want)) < 250 and found_groups(spark, texts) == want
 
 
+def test_near_duplicates_in_a_family(spark):
+    """Texts of one template, less than similar among each other, with a similar pair each: a rejected link to a hub hides none."""
+    rng = random.Random(8)
+    template, texts = [f"t{i}" for i in range(400)], []
+    for g in range(120):
+        base, at = list(template), rng.sample(range(5, 396, 6), 14)
+        for i in at[:7]:
+            base[i] = f"a{g}.{i}"
+        other = list(base)
+        for i in at[7:]:
+            other[i] = f"b{g}.{i}"
+        texts += [" ".join(base), " ".join(other)]
+    want = near_groups(texts)
+    assert len(set(want)) == 120 and found_groups(spark, texts) == want
+
+
+@pytest.mark.parametrize("limit", [0.3, 0.6, 0.8, 1.0])
+def test_set_forest(limit):
+    rng = np.random.default_rng(6)
+    sets = [rng.choice(14, rng.integers(0, 12), replace=False) + 100 * rng.integers(0, 2) for _ in range(70)]
+    flat, offs = np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])]
+    own = [set(x.tolist()) for x in sets]
+    want = root_of(70, [(i, j) for i in range(70) for j in range(i) if own[i] & own[j] and len(own[i] & own[j]) >= limit * len(own[i] | own[j]) - 1e-9])
+    edges = simhash.set_forest(flat, offs, limit)
+    got = root_of(70, edges)
+    assert len({*zip(want, got, strict=True)}) == len(set(want)) == len(set(got)) and len(edges) == 70 - len(set(want))
+
+
 def test_simhash_forest_and_components(spark):
     rng = np.random.default_rng(2)
     fp = rng.integers(0, 2**12, (60, 1), dtype=np.uint64)
