@@ -189,6 +189,14 @@ def test_set_forest(limit):
     assert len({*zip(want, got, strict=True)}) == len(set(want)) == len(set(got)) and len(edges) == 70 - len(set(want))
 
 
+def test_near_duplicates_of_repeated_shingles(spark):
+    """Lines repeated 2 and 20 times over equal words are one set; a line repeated 50 times makes no likeness of different words."""
+    own = lambda p: " ".join(f"{p}{i}" for i in range(300))
+    line = " ".join(f"line{i}" for i in range(20))
+    texts = [own("a") + f" {line}" * 2, own("a") + f" {line}" * 20, own("b") + f" {line}" * 50, own("c") + f" {line}" * 50]
+    assert near_groups(texts) == [0, 0, 2, 3] and found_groups(spark, texts) == [0, 0, 2, 3]
+
+
 def test_simhash_forest_and_components(spark):
     rng = np.random.default_rng(2)
     fp = rng.integers(0, 2**12, (60, 1), dtype=np.uint64)
