@@ -256,13 +256,24 @@ def set_forest(flat: np.ndarray, offs: np.ndarray, similarity: float) -> list[tu
     return edges
 
 
-def similar(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, short: int = 16) -> DataFrame:
+def similar(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, short: int = 16, together: tuple[int, int] = (20_000, 800_000)) -> DataFrame:
     """nodes(node, some, prefix) -> (a, b), links that connect just what sets of this similarity or more connect.
 
-    some: doc_id and mark of a text of the node. Of lists of `short` nodes or fewer every pair is verified once; in longer
-    ones the forest of verified links is found with the sets at hand.
+    some: doc_id and mark of a text of the node. What lists connect is a candidate group; where it has no more nodes and
+    prefix entries than `together`, each of its sets is sent once and the forest of verified links is found over all of
+    it. Larger groups go list by list: of `short` nodes or fewer every pair is verified once, in longer ones the forest
+    is found with the sets sent to each list.
     """
 
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key"):
+            key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            n = np.diff(cut)
+            keep = np.repeat(n > 1, n)
+            hub = np.repeat(node[cut[:-1]], n)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (hub, node, key)], ["hub", "node", "key"])
+
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key"):
             key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
@@ -293,17 +304,25 @@ def similar(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, sh
                 yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
     postings = nodes.select("node", F.explode("prefix").alias("key"))
-    found = staged(postings.repartition("key").sortWithinPartitions("key").mapInArrow(met, "a long, b long, key long"), "met")
-    pairs = staged(found.filter("key is null").select("a", "b").distinct(), "pairs")
-    listed = found.filter("key is not null").select(F.col("a").alias("node"), "key")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(listed.select("node")).distinct().join(nodes.select("node", "some"), "node")
+    lists_ = staged(postings.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "hub long, node long, key long"), "lists")
+    groups = staged(components(lists_.select("hub", "node").distinct().toDF("a", "b")).join(nodes.select("node", "some", F.size("prefix").alias("entries")), "node"), "groups")
+    sizes = groups.groupBy("root").agg((F.count("*") > together[0]).alias("many"), (F.sum("entries") > together[1]).alias("wide"))
+    large = staged(sizes.filter("many or wide").select("root"), "large")
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     same = F.col("some.doc_id").eqNullSafe(F.col("doc_id")) & F.col("some.mark").eqNullSafe(F.col("mark"))
-    sets = staged(shingle_sets(ends.join(marked, same).dropDuplicates(["node"]), words), "shingles")
+    sets = staged(shingle_sets(groups.join(marked, same).dropDuplicates(["node"]), words), "shingles")
+    grouped = groups.join(large, "root", "left_anti").select("node", F.col("root").alias("key")).join(sets, "node")
+    whole = grouped.repartition("key").sortWithinPartitions("key").mapInArrow(spanned, "a long, b long")
+    if not large.count():
+        return whole
+    kept = lists_.select("node", "key").join(groups.join(large, "root", "left_semi").select("node"), "node")
+    found = staged(kept.repartition("key").sortWithinPartitions("key").mapInArrow(met, "a long, b long, key long"), "met")
+    pairs = staged(found.filter("key is null").select("a", "b").distinct(), "pairs")
+    listed = found.filter("key is not null").select(F.col("a").alias("node"), "key")
     one, two = (sets.select(F.col("node").alias(e), F.col("shingles").alias(f"of_{e}")) for e in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
     true = both.filter(F.col("shared") >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - F.col("shared")) - F.lit(1e-9)).select("a", "b")
-    return true.union(listed.join(sets, "node").repartition("key").sortWithinPartitions("key").mapInArrow(spanned, "a long, b long"))
+    return whole.union(true).union(listed.join(sets, "node").repartition("key").sortWithinPartitions("key").mapInArrow(spanned, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, hashes: int = 4, max_bits: int = 54, key_bytes: int = 3, keys: int | None = 192, similarity: float | None = 0.8) -> DataFrame:
