@@ -177,6 +177,19 @@ def test_near_duplicates_in_a_family(spark):
     assert len(set(want)) == 120 and found_groups(spark, texts) == want
 
 
+def test_near_duplicates_list_by_list(spark, monkeypatch):
+    """Groups too large for one task: short lists by pairs, long ones by forests."""
+    monkeypatch.setattr(simhash.similar, "__defaults__", (4, (0, 0)))
+    rng = random.Random(9)
+    template, texts = [f"t{i}" for i in range(150)], []
+    for g in range(40):
+        w = list(template)
+        for i in rng.sample(range(5, 146, 6), rng.randint(1, 6)):
+            w[i] = f"a{g % 13}.{i}"
+        texts.append(" ".join(w))
+    assert found_groups(spark, texts) == near_groups(texts)
+
+
 @pytest.mark.parametrize("limit", [0.3, 0.6, 0.8, 1.0])
 def test_set_forest(limit):
     rng = np.random.default_rng(6)
