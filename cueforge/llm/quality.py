@@ -5,7 +5,7 @@ digits and signs, with runs taken as one), each hashed into 2**bits weights. A t
 the mean weight of its n-grams.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import Block, blocks, lists, mix, powers
+from .words import Block, blocks, mix, powers
 
 _SHAPE = np.arange(256, dtype=np.int64)
 _SHAPE[65:91], _SHAPE[97:123], _SHAPE[48:58], _SHAPE[128:] = 65, 97, 48, 97
@@ -69,15 +69,6 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int, passes:
     return weights(np.arange(len(z))).astype(np.float32)
 
 
-def _example_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in blocks(batch.column("text")):
-            row, index = features(block, bits)
-            key, count = np.unique(row * np.int64(1 << 32) + index, return_counts=True)
-            row, n = key >> np.int64(32), block.hi - block.lo
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(block.lo, n), lists(key & np.int64(0xFFFFFFFF), row, n, pa.int64()), lists(count, row, n, pa.int64())], ["label", "i", "c"])
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, keep, per_class: dict[int, int]) -> DataFrame:
     """(doc_id, text, label) of the labelled rows that `keep` allows; of each class the first by hash, as many as stated."""
     rows = labels.filter(keep).filter(F.col(column).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
@@ -89,23 +80,51 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, keep, per_c
     return texts.join(F.broadcast(chosen), "doc_id")  # at most the sum of per_class rows
 
 
+def one_task(rows: DataFrame, made: Callable[[pa.Table], list[np.ndarray]]) -> list[np.ndarray]:
+    """What `made` gives of rows, a sample of bounded size, ordered by doc_id, text and label, in one task of an executor; only its arrays come to the driver."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            table = pa.Table.from_batches(parts).sort_by([("doc_id", "ascending"), ("text", "ascending"), ("label", "ascending")])
+            found = made(table)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array([x.dtype.str for x in found]), pa.array([x.tobytes() for x in found], pa.binary())], ["place", "kind", "data"])
+
+    got = rows.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "place int, kind string, data binary").collect()
+    if not got:
+        none = pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "label": pa.array([], pa.int32())})
+        return made(none.select(names))
+    return [np.frombuffer(r.data, r.kind) for r in sorted(got, key=lambda r: r.place)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, keep, bits: int = 20, per_class: int = 2000, passes: int = 3) -> np.ndarray:
-    """Weights learnt from at most per_class labelled rows of each class for which `keep`, a condition on doc_id, holds."""
-    sample = labelled_sample(docs, labels, "quality", keep, {0: per_class, 1: per_class})
-    got = sample.select("doc_id", "text", "label").mapInArrow(lambda it: _example_batches(it, bits), "label int, i array<long>, c array<long>").toArrow()
-    examples = []
-    for label, i, c in zip(got["label"].to_pylist(), got["i"], got["c"], strict=True):
-        i, c = i.values.to_numpy(), c.values.to_numpy()
-        examples.append((np.r_[i, 1 << bits], np.r_[c * (_SCALE / max(1, c.sum())), 1.0], label))
-    return train(sorted(examples, key=lambda e: (e[2], e[0].tobytes())), bits, passes)
+    """Weights learnt, in one task, from at most per_class labelled rows of each class for which `keep`, a condition on doc_id, holds."""
+
+    def learnt(rows: pa.Table) -> list[np.ndarray]:
+        examples = []
+        for block in blocks(rows["text"]):
+            row, index = features(block, bits)
+            key, count = np.unique(row * np.int64(1 << 32) + index, return_counts=True)
+            cut = np.searchsorted(key >> np.int64(32), np.arange(block.hi - block.lo + 1))
+            for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                i, c = (key[a:b] & np.int64(0xFFFFFFFF)).astype(np.int32), count[a:b]
+                examples.append((np.r_[i, np.int32(1 << bits)], np.r_[c * (_SCALE / max(1, c.sum())), 1.0].astype(np.float32), rows["label"][block.lo + k].as_py()))
+        return [train(sorted(examples, key=lambda e: (e[2], e[0].tobytes())), bits, passes)]
+
+    return one_task(labelled_sample(docs, labels, "quality", keep, {0: per_class, 1: per_class}), learnt)[0]
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """docs -> the same rows and columns with `score`, the chance of label 1. Null, empty and blank texts get the bias's score."""
     bits = int(len(weights) - 1).bit_length() - 1
+    used = np.flatnonzero(weights).astype(np.int32)
+    values = weights[used]
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.zeros((1 << bits) + 1, np.float32)
+        weights[used] = values
         for batch in batches:
             z = []
             for block in blocks(pc.struct_field(batch.column("row"), "text")):
