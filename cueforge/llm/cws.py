@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,14 +79,25 @@ def edited(texts: list[str], following: list[str]) -> list[str]:
 
 
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
-_EDGE = "first_id long, first_text string, last_id long, last_text string"
+_EDGE = "part int, first_id long, first_text string, last_id long, last_text string"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
 
 
-def _results(ids: pa.Array, texts: list[str], following: list[str], samples: int) -> list[pa.Array]:
+def _named(schema: str) -> tuple[list[str], list[pa.DataType]]:
+    fields = [f.split() for f in schema.split(", ")]
+    return [n for n, _ in fields], [_KINDS[k] for _, k in fields]
+
+
+def _signed(texts: list[str], samples: int) -> np.ndarray:
+    return sample(pa.array(texts, pa.large_string()), samples)
+
+
+def _results(ids: list, texts: list[str], own: np.ndarray, following: list[str], after: np.ndarray) -> list[pa.Array]:
+    """own, after: signatures of texts and of those that follow."""
     new = edited(texts, following)
-    own, after, next_ = (sample(pa.array(t, pa.large_string()), samples) for t in (texts, new, following))
+    changed = _signed(new, own.shape[1])
     raw = lambda s: pa.array([x.tobytes() for x in s.astype(">u2")], pa.binary())
-    return [ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new], pa.string()), raw(own), raw(after), pa.array((own == after).mean(axis=1)), pa.array((own == next_).mean(axis=1))]
+    return [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new], pa.string()), raw(own), raw(changed), pa.array((own == changed).mean(axis=1)), pa.array((own == after).mean(axis=1))]
 
 
 def fingerprint_documents(docs: DataFrame, samples: int = 64) -> DataFrame:
@@ -95,40 +107,43 @@ def fingerprint_documents(docs: DataFrame, samples: int = 64) -> DataFrame:
     document is by ascending doc_id (nulls first; equal doc_ids by text), the first after the last; an only document
     follows itself. Null text: empty; texts without words have the fingerprint of zeros and are alike. Repeated rows are
     documents of their own. Other columns are ignored; an empty table gives an empty one.
-    Texts are range-partitioned once. The last of a partition needs the first of the next one: these few rows, one a
-    partition, are finished in a second step.
+    Texts are range-partitioned once, and each is sampled once as itself, which also serves the one before, and once edited.
+    The last of a partition needs the first of the next one: these rows, one a partition, are finished in a second step.
+    Which partition is next is found by numbers alone; the texts then meet in as many tasks as there are such rows.
     """
-    n = len(_RESULT.split(", "))
+    names, kinds = _named(_RESULT + ", " + _EDGE)
+    n = len(_named(_RESULT)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = held = None
-        names = [x.split()[0] for x in (_RESULT + ", " + _EDGE).split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids = part.column("doc_id").cast(pa.int64()).to_pylist()
-                texts = pc.fill_null(part.column("text"), "").to_pylist()
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids, texts = part.column("doc_id").to_pylist(), pc.fill_null(part.column("text"), "").to_pylist()
+                signs = _signed(texts, samples)
                 first = first or (ids[0], texts[0])
                 if held:
-                    ids, texts = [held[0], *ids], [held[1], *texts]
-                held = (ids[-1], texts[-1])
+                    ids, texts, signs = [held[0], *ids], [held[1], *texts], np.r_[held[2], signs]
+                held = (ids[-1], texts[-1], signs[-1:])
                 if len(ids) > 1:
-                    done = _results(pa.array(ids[:-1], pa.int64()), texts[:-1], texts[1:], samples)
+                    done = _results(ids[:-1], texts[:-1], signs[:-1], texts[1:], signs[1:])
                     yield pa.RecordBatch.from_arrays([*done, *(pa.nulls(len(ids) - 1, k) for k in kinds[n:])], names)
         if held:
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:n]), *(pa.array([v], k) for v, k in zip((*first, *held), kinds[n:], strict=True))], names)
+            edge = (TaskContext.get().partitionId(), *first, *held[:2])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:n]), *(pa.array([v], k) for v, k in zip(edge, kinds[n:], strict=True))], names)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = _results(batch.column("last_id"), batch.column("last_text").to_pylist(), batch.column("next_text").to_pylist(), samples)
-            yield pa.RecordBatch.from_arrays(done, [x.split()[0] for x in _RESULT.split(", ")])
+            texts, following = batch.column("last_text").to_pylist(), batch.column("next_text").to_pylist()
+            done = _results(batch.column("last_id").to_pylist(), texts, _signed(texts, samples), following, _signed(following, samples))
+            yield pa.RecordBatch.from_arrays(done, names[:n])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     made = staged(texts.mapInArrow(run, _RESULT + ", " + _EDGE), "fingerprints")
-    line = Window.orderBy("first_id", "last_id")
-    edges = made.filter("last_text is not null").select("first_id", "first_text", "last_id", "last_text")
-    edges = edges.withColumn("next_text", F.coalesce(F.lead("first_text").over(line), F.first("first_text").over(line)))
+    line = Window.orderBy("first_id", "part")
+    follows = made.filter("part is not null").select("part", F.coalesce(F.lead("part").over(line), F.first("part").over(line)).alias("next"))
+    firsts = made.filter("part is not null").select(F.col("part").alias("next"), F.col("first_text").alias("next_text"))
+    edges = made.filter("part is not null").select("part", "last_id", "last_text").join(follows, "part").join(firsts, "next")
     rest = edges.select("last_id", "last_text", "next_text").mapInArrow(finish, _RESULT)
-    out = made.filter("last_text is null").select(*rest.columns).union(rest)
+    out = made.filter("part is null").select(*names[:n]).union(rest)
     return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
