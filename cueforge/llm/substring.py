@@ -7,7 +7,9 @@ none is lost, and neighbours mostly share it, so about a fourteenth of the rows
 At the last level the least doc_id of each window decides who keeps it.
 
 Before a shuffle every batch settles what repeats inside it and sends one row a window, so a passage in a third of all
-documents sends a row a batch. Windows are compared by 64-bit hashes.
+documents sends a row of 24 bytes a batch. Candidates are windows of equal 64-bit hashes; at the last level, which decides
+what is removed, windows are compared by 128 bits of two independent hashes of their words (among 10 ** 12 windows two
+different ones are taken for equal with a chance of 10 ** -14).
 """
 
 import hashlib
@@ -19,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, staged
-from .words import Block, blocks, lists, whole_groups
+from .words import Block, blocks, lists, mix, whole_groups
 
 _LAST = np.iinfo(np.int64).max
+_SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 def _least(h: np.ndarray, span: int) -> np.ndarray:
@@ -36,40 +39,40 @@ def _least(h: np.ndarray, span: int) -> np.ndarray:
     return low
 
 
-def _sorted_pairs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (hash, doc), ascending."""
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    if len(h):
-        keep = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
-        h, doc = h[keep], doc[keep]
-    return h, doc
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+    return new
 
 
-def _settle(h: np.ndarray, row: np.ndarray, ids: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of (window, row) pairs: (window, row) to ask all other batches about, and (window, row) settled here: repeated in another document, or if `last` in one with a smaller id."""
+def _settle(h: np.ndarray, second: np.ndarray, row: np.ndarray, ids: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of (window, row) pairs, a window being (h, second): (h, second, row) to ask all other batches about, and (h, row) settled here: repeated in another document, or if `last` in one with a smaller id."""
     # rows without an id come last and are no document for others
-    order = np.lexsort((row, ids[row], h))
-    h, row = h[order], row[order]
-    if not len(h):
-        return h, row, h, row
-    keep = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
-    h, row = h[keep], row[keep]
-    new = np.r_[True, h[1:] != h[:-1]]
+    order = np.lexsort((row, ids[row], second, h))
+    h, second, row = h[order], second[order], row[order]
+    keep = _changes(h, second, row)
+    h, second, row = h[keep], second[keep], row[keep]
+    new = _changes(h, second)
     group = np.cumsum(new) - 1
-    least = ids[row][new][group]
-    later = ids[row] > least
-    if last:
-        return h[new], row[new], h[later], row[later]
-    several = np.maximum.reduceat(later, np.flatnonzero(new))[group]
-    return h[new], row[new], h[several], row[several]
+    later = ids[row] > ids[row][new][group]
+    yes = later if last or not len(h) else np.maximum.reduceat(later, np.flatnonzero(new))[group]
+    return h[new], second[new], row[new], h[yes], row[yes]
 
 
 def _asked(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc_id) sorted by h: the answers that are yes."""
+    """Rows (h, second, doc_id) sorted by h: the answers that are yes."""
     for table in whole_groups(batches, "h"):
-        h, doc = _sorted_pairs(table.column("h").to_numpy(), table.column("doc_id").to_numpy())
-        new = np.r_[True, h[1:] != h[:-1]]
+        h, doc = (table.column(c).to_numpy() for c in ("h", "doc_id"))
+        second = table.column("second").to_numpy() if last else np.zeros(len(h), np.int64)
+        order = np.lexsort((doc, second, h))
+        h, second, doc = h[order], second[order], doc[order]
+        keep = _changes(h, second, doc)
+        h, second, doc = h[keep], second[keep], doc[keep]
+        new = _changes(h, second)
         group = np.cumsum(new) - 1
         later = doc > doc[new][group]
         yes = later if last else np.maximum.reduceat(later, np.flatnonzero(new))[group]
@@ -79,7 +82,11 @@ def _asked(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordB
 
 def _answers(state: DataFrame, last: bool) -> DataFrame:
     """(doc_id, found): the windows of each document that repeat elsewhere."""
-    asked = state.filter("doc_id is not null").select("doc_id", F.explode("ask").alias("h"))
+    windows = state.filter("doc_id is not null")
+    if last:
+        asked = windows.select("doc_id", F.explode(F.arrays_zip("ask", "second")).alias("w")).select("doc_id", F.col("w.ask").alias("h"), "w.second")
+    else:
+        asked = windows.select("doc_id", F.explode("ask").alias("h"))
     yes = asked.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _asked(it, last), "h long, doc_id long")
     return yes.groupBy("doc_id").agg(F.collect_list("h").alias("found"))
 
@@ -94,8 +101,9 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
 
 
-def _gather(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _gather(parts: list[tuple[np.ndarray, ...]], columns: int) -> list[np.ndarray]:
+    kinds = [np.uint64] * (columns - 1) + [np.int64]
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
 
 
 def _as_lists(h: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
@@ -114,8 +122,8 @@ def _first_level(batches: Iterator[pa.RecordBatch], start: int) -> Iterator[pa.R
             parts.append((h[new], row[new] + block.lo))
             count.append(block.counts)
             sha += [hashlib.sha256(b" ".join(block.word_bytes(r))).hexdigest() for r in range(block.hi - block.lo)]
-        h, row = _gather(parts)
-        ask_h, ask_row, yes_h, yes_row = _settle(h, row, _ids(batch), False)
+        h, row = _gather(parts, 2)
+        ask_h, _, ask_row, yes_h, yes_row = _settle(h, np.zeros(len(h), np.uint64), row, _ids(batch), False)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("mark"), pa.array(np.concatenate(count) if count else [], pa.int64()), pa.array(sha, pa.string()), _as_lists(ask_h, ask_row, n), _as_lists(yes_h, yes_row, n)], ["doc_id", "mark", "n_words", "kept_sha256", "ask", "known"])
 
 
@@ -125,11 +133,8 @@ def _repeated(batch: pa.RecordBatch, column: str, block: Block, h: np.ndarray, r
     have = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     size = np.diff(np.asarray(col.offsets)) if not col.null_count else np.array([len(x) if x is not None else 0 for x in col])
     owner = np.repeat(np.arange(len(col)), size)
-    return np.isin(_with_row(h, rows), _with_row(have, owner))
-
-
-def _with_row(h: np.ndarray, row: np.ndarray) -> np.ndarray:
-    return h ^ (row.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    number = np.unique(np.r_[h, have], return_inverse=True)[1] * np.int64(len(col) + 1)
+    return np.isin(number[: len(h)] + rows, number[len(h) :] + owner)
 
 
 def _next_level(batches: Iterator[pa.RecordBatch], size: int, start: int, last: bool) -> Iterator[pa.RecordBatch]:
@@ -145,10 +150,11 @@ def _next_level(batches: Iterator[pa.RecordBatch], size: int, start: int, last:
             else:
                 yes = _repeated(batch, "known", block, h, row)
                 ok[: len(h) - size] &= yes[: len(h) - size] & yes[size:]
-            parts.append((longer[ok], row[ok] + block.lo))
-        h, row = _gather(parts)
-        ask_h, ask_row, yes_h, yes_row = _settle(h, row, _ids(batch), last)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("mark"), batch.column("text"), _as_lists(ask_h, ask_row, n), _as_lists(yes_h, yes_row, n)], ["doc_id", "mark", "text", "ask", "known"])
+            second = block.windows(mix(words + _SECOND), 2 * size)[0] if last else longer
+            parts.append((longer[ok], second[ok], row[ok] + block.lo))
+        h, second, row = _gather(parts, 3)
+        ask_h, ask_second, ask_row, yes_h, yes_row = _settle(h, second, row, _ids(batch), last)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("mark"), batch.column("text"), _as_lists(ask_h, ask_row, n), _as_lists(ask_second, ask_row, n), _as_lists(yes_h, yes_row, n)], ["doc_id", "mark", "text", "ask", "second", "known"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -171,7 +177,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("mark"), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], ["doc_id", "mark", "n_removed", "kept_text", "kept_sha256"])
 
 
-_STATE = "doc_id long, mark long, text string, ask array<long>, known array<long>"
+_STATE = "doc_id long, mark long, text string, ask array<long>, second array<long>, known array<long>"
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, start: int = 25) -> tuple[DataFrame, DataFrame]:
@@ -187,19 +193,19 @@ def remove_repeats(docs: DataFrame, window: int = 50, start: int = 25) -> tuple[
     if window < 2 * start or window % start or (window // start) & (window // start - 1):
         raise ValueError("window must be start times two, four, eight ...")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"), "text")
-    base = staged(docs.mapInArrow(lambda it: _first_level(it, start), "doc_id long, mark long, n_words long, kept_sha256 string, ask array<long>, known array<long>"), "level")
-    state, size, used = base, start, []
+    first = staged(docs.mapInArrow(lambda it: _first_level(it, start), "doc_id long, mark long, n_words long, kept_sha256 string, ask array<long>, known array<long>"), "level")
+    base = staged(first.select("doc_id", "mark", "n_words", "kept_sha256"), "whole")
+    state, size = first, start
     while size < window:
         known = _joined(state, _answers(state, False), ["doc_id", "mark", "known"]).dropDuplicates(["doc_id", "mark"])
         texts = docs if size == start else state.select("doc_id", "mark", "text").distinct()
         joined = texts.join(known, ["doc_id", "mark"]).select("doc_id", "mark", "text", "known")
-        state = staged(joined.mapInArrow(lambda it, s=size: _next_level(it, s, start, 2 * s == window), _STATE), "level")
-        used.append(state)
-        size *= 2
-    found = _answers(state, True)
-    lost = _joined(state, found, ["doc_id", "mark", "text", "known"])
+        after = staged(joined.mapInArrow(lambda it, s=size: _next_level(it, s, start, 2 * s == window), _STATE), "level")
+        discard(state)
+        state, size = after, 2 * size
+    lost = _joined(state, _answers(state, True), ["doc_id", "mark", "text", "known"])
     cut = staged(lost.mapInArrow(lambda it: _cut(it, window), "doc_id long, mark long, n_removed long, kept_text string, kept_sha256 string").filter("n_removed > 0"), "cut").dropDuplicates(["doc_id", "mark"])
-    discard(*used)
+    discard(state)
     slim = cut.select("doc_id", "mark", "n_removed", F.col("kept_sha256").alias("cut_sha256"))
-    out = base.select("doc_id", "mark", "n_words", "kept_sha256").join(slim, ["doc_id", "mark"], "left")
+    out = base.join(slim, ["doc_id", "mark"], "left")
     return out.select("doc_id", "mark", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256")), cut
