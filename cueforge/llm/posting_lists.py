@@ -164,12 +164,15 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, list_size: int = 1
     """vectors(vec_id, embedding, ...) -> (query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by `every`, among all other rows, by Euclidean distance in double precision; ties to the smaller vec_id.
 
     Centroids: one for `list_size` vectors, `most_lists` at most, from the first `sample` vectors by hash; all vectors
-    are indexed. closure, replicas: how much farther a further list of a vector may be, and how many it has at most.
+    are indexed, of equal ones those that some query can find. Beyond most_lists * list_size vectors lists grow with the
+    table; they are then cut into parts of `part` vectors, which are what tasks work on, and a query reads all parts of
+    its lists. closure, replicas: how much farther a further list of a vector may be, and how many it has at most.
     spread: a further list is left out where it is nearer to one already chosen than this part of its distance to the
     vector. target, trials: as many lists are read as hold this share of the true neighbours of so many queries, which
     are compared with the whole table; vectors without structure take most of the lists for 0.99.
     ratio: lists within (1 + ratio) of the nearest list's distance are read, `least` of them at least (a query close to a
-    centroid would read one alone), among the `beam` nearest, and as many more as hold k vectors. Vectors
+    centroid would read one alone), among the `beam` nearest (or as many as the recall needs, if these are more), and as
+    many more as hold k vectors. The search of the graph keeps `beam` candidates. Vectors
     that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do null
     vec_ids. Rows that repeat a vec_id and its vector count once, and with different vectors the nearer one counts.
     Fewer candidates than k give them all; no rows give none.
@@ -204,7 +207,10 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, list_size: int = 1
                 yield pa.RecordBatch.from_arrays([pa.array(near[r, j].astype(np.int32)), pa.array(j == 0), piece.column("vec_id").take(pa.array(r)), piece.column("embedding").take(pa.array(r))], ["list", "own", "vec_id", "embedding"])
 
     element = rows.schema["embedding"].dataType.simpleString()
-    postings = staged(rows.mapInArrow(assign, f"list int, own boolean, vec_id long, embedding {element}"), "postings")
+    # of equal vectors no query can find more than those of the k + 1 smallest ids (one may be its own); the rest need no place
+    alike = Window.partitionBy("embedding").orderBy("vec_id")
+    indexed = rows.withColumn("copy", F.dense_rank().over(alike)).filter(F.col("copy") <= k + 1).drop("copy")
+    postings = staged(indexed.mapInArrow(assign, f"list int, own boolean, vec_id long, embedding {element}"), "postings")
     sizes = {r["list"]: (r["n"], r["own"]) for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("long")).alias("own")).collect()}
     parts = np.array([max(1, -(-sizes.get(i, (0, 0))[0] // part)) for i in range(len(centroids))])
     own = np.array([sizes.get(i, (0, 0))[1] for i in range(len(centroids))])
