@@ -1,19 +1,28 @@
 """SimHash near-dedup by a byte-position inverted index with count filtering.
 
 A fingerprint is cut into bytes; two fingerprints that differ in d bits share at least (bytes - d) positional bytes.
-The index is keyed by several positional bytes together, as a single byte has only 256 values and its posting lists
-would grow with the square of the corpus. With 64 bits and d = 2 the 28 choices of 6 positions form the keys: a pair
-reaches the guaranteed 6 matches exactly if it meets in a posting list. Inside a list shared bytes are tallied, pairs
-below the minimum fall, the rest is verified by their differing bits, and only a spanning forest is emitted.
-Where a similarity of shingle sets is asked for, bits are an estimate only, and links are found on the sets themselves:
-two sets of n and m shingles and a similarity t share ceil(t * max(n, m)) at least, so in any common order of all shingles
-they share one among the first n - ceil(t * n) + 1 and m - ceil(t * m) + 1. These prefixes are indexed, and each link is
-verified. The order puts what is frequent in a sample last; that keeps lists short and has no part in what is found.
+The index is keyed by several positional bytes together, as a single byte has only 256 values and its posting lists would
+grow with the square of the corpus. Positions are dealt into d + 2 groups and two groups make a key, so whichever d bytes
+differ, some key is left whole: six keys of four bytes each for 64 bits and d = 2. In a posting list the shared positional
+bytes of a pair are tallied over all positions; pairs below the guaranteed minimum fall, the rest is verified by its
+differing bits, and a spanning forest of verified links is passed on, never all pairs. Lists that are too long for one task are
+keyed anew, by all sets of as many positions as the minimum; what such a key leaves open is d bytes, so its lists hold
+256 ** d fingerprints at most.
+
+Where a similarity of shingle sets is asked for, byte positions guarantee nothing: two sets of a Jaccard similarity of
+0.8 differ in 15 % of their bits on average, and a shared byte is certain below one bit in eight only. So candidates come
+from the sets there: two sets of n and m shingles and a similarity t share ceil(t * max(n, m)) at least, hence in any
+common order of all shingles they share one among the first n - ceil(t * n) + 1 and m - ceil(t * m) + 1. These prefixes are
+indexed; the order puts what is frequent in a sample last, which keeps lists short and has no part in what is found. In
+a list, SimHash fingerprints of 256 bits tell sets that are far apart: pairs that differ in more bits than the limit's
+mean and six deviations are no candidates (a pair at the limit does so once in 10 ** 9 times; sets of fewer than 48
+shingles, where bits are few votes, are kept by size alone). What the rest connects is a group, in which every link is verified
+on the sets.
 """
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import staged
+from .storage import discard, staged
 from .words import LOWER, Block, blocks, lists, mix, whole_groups
 
-_RUN = 96
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
+_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(block: Block, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +63,22 @@ def shingle_hashes(block: Block, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, np.uint64), np.cumsum(count)
 
 
+def shingle_sets(block: Block, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each row's distinct shingles of lower-cased words, ascending, and the first of each row. Texts with fewer words have one shingle, those with none have none."""
+    h, row, count = block.hashes(LOWER[block.data]), block.row_of_word(), block.counts
+    whole, ok = block.windows(h, words)
+    found, rows = [whole[ok]], [row[ok]]
+    for n in range(1, words):
+        at = np.flatnonzero(count == n)
+        found.append(block.windows(h, n)[0][block.first[at]] if len(at) else h[:0])
+        rows.append(at)
+    h, row = np.concatenate(found), np.concatenate(rows)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
+    return h[new], np.searchsorted(row[new], np.arange(len(count) + 1))
+
+
 def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each row the 64 bits that are set in over half of its hashes."""
     n = np.diff(first)
@@ -73,158 +98,219 @@ def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int, hashes: int) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, mark: xxhash64 of the text, fp array<long> of `hashes` times 64 bits). Null and empty texts have all bits zero."""
+def _prints(h: np.ndarray, first: np.ndarray, hashes: int) -> np.ndarray:
+    return np.stack([majority(h if k == 0 else mix(h + np.uint64(_GOLDEN * k % 2**64)), first) for k in range(hashes)], axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for block in blocks(batch.column("text")):
-                h, first = shingle_hashes(block, words)
-                made.append(np.stack([majority(h if k == 0 else mix(h + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)), first) for k in range(hashes)], axis=1))
-            flat = np.concatenate(made).reshape(-1).view(np.int64) if made else np.zeros(0, np.int64)
-            fp = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * hashes, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("mark"), fp], ["doc_id", "mark", "fp"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, fp array<long>")
+def _listed(prints: np.ndarray) -> pa.ListArray:
+    n, k = prints.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(prints.reshape(-1).view(np.int64)))
 
 
-def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """texts(node, text) -> (node, shingles array<long>): hashes of the distinct shingles of each text."""
+def fingerprints(docs: DataFrame, words: int, hashes: int) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, mark: xxhash64 of the text, fp array<long> of `hashes` times 64 bits). Null and empty texts have all bits zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
-                h, first = shingle_hashes(block, words)
-                sets = [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                flat = np.concatenate(sets).view(np.int64) if len(row) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(block.lo, len(sets)), lists(flat, row, len(sets), pa.int64())], ["node", "shingles"])
+                own = _listed(_prints(*shingle_hashes(block, words), hashes))
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(block.lo, len(own)) for c in ("doc_id", "mark")] + [own], ["doc_id", "mark", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, fp array<long>")
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
+def byte_keys(positions: int, differing: int) -> list[tuple[int, ...]]:
+    """Sets of byte positions of which one is whole, whichever `differing` positions are not: two groups of differing + 2, or where there are not as many positions, each alone."""
+    if differing + 2 > positions:
+        return [(p,) for p in range(positions)]
+    groups = [tuple(range(g, positions, differing + 2)) for g in range(differing + 2)]
+    return [tuple(sorted(a + b)) for a, b in combinations(groups, 2)]
 
-def byte_keys(hashes: int, key_bytes: int, keys: int | None) -> list[tuple[int, ...]]:
-    """The sets of byte positions that form index keys: all of them, or `keys` of them spread evenly over the positions."""
-    n = 8 * hashes
-    if keys is None:
-        return list(combinations(range(n), key_bytes))
-    rng, out = np.random.Generator(np.random.PCG64(7)), []
-    while len(out) < keys:
-        order = rng.permutation(n)
-        out += [tuple(sorted(order[i : i + key_bytes].tolist())) for i in range(0, n - key_bytes + 1, key_bytes)]
-    return out[:keys]
 
+def finer_keys(positions: int, differing: int, key: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """All sets of as many positions as two fingerprints are sure to share that hold those of key."""
+    rest = [p for p in range(positions) if p not in key]
+    return [tuple(sorted((*key, *more))) for more in combinations(rest, max(0, positions - differing - len(key)))]
 
-def _key(positions: tuple[int, ...], number: int):
-    parts = [F.lit(number)]
+
+def _key(positions: tuple[int, ...]):
+    parts = [F.lit(sum(1 << p for p in positions))]
     for word in sorted({p // 8 for p in positions}):
         mask = sum(0xFF << (8 * (p % 8)) for p in positions if p // 8 == word)
         parts.append(F.col("fp")[word].bitwiseAND(F.lit(mask - 2**64 if mask >= 2**63 else mask)))
     return F.xxhash64(*parts)
 
 
-def forest(fp: np.ndarray, max_bits: int, min_bytes: int) -> list[tuple[int, int]]:
-    """Spanning edges of the graph that links rows of fp (n x words) at max_bits differing bits or fewer; each row found is compared with the rows not yet reached only."""
-    left, edges = np.arange(len(fp)), []
-    while len(left):
-        todo, left = [int(left[0])], left[1:]
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Edges (least node of a component, node) of the graph over 0 ... n-1 whose links `near(one, others)` tells; each node found is compared with those not yet reached only."""
+    left, edges = np.arange(n), []
+    while len(left) > 1:
+        root, left = int(left[0]), left[1:]
+        todo = [root]
         while todo and len(left):
             at = todo.pop()
-            differ = fp[left] ^ fp[at]
-            shared = (differ.view(np.uint8).reshape(len(left), -1) == 0).sum(axis=1)
-            near = shared >= min_bytes
-            near[near] = np.bitwise_count(differ[near]).sum(axis=1, dtype=np.int64) <= max_bits
-            found = left[near]
-            edges += [(at, int(x)) for x in found]
+            hit = near(at, left)
+            found = left[hit]
+            edges += [(root, x) for x in found.tolist()]
             todo += found.tolist()
-            left = left[~near]
-    return edges
+            left = left[~hit]
+    return np.array(edges, np.int64).reshape(-1, 2)
+
+
+def tallied(fp: np.ndarray, max_bits: int) -> np.ndarray:
+    """Spanning edges of the graph that links rows of fp (n x words) at max_bits differing bits or fewer. The equal positional bytes of a pair are tallied first: fewer than the guaranteed minimum rule it out."""
+    minimum = 8 * fp.shape[1] - max_bits
+
+    def near(at: int, others: np.ndarray) -> np.ndarray:
+        differ = fp[others] ^ fp[at]
+        hit = (differ.view(np.uint8).reshape(len(others), -1) == 0).sum(axis=1) >= minimum
+        hit[hit] = np.bitwise_count(differ[hit]).sum(axis=1, dtype=np.int64) <= max_bits
+        return hit
+
+    return forest(len(fp), near)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of keys that two nodes share at least."""
-    for table in whole_groups(batches, "key"):
-        keys = table.column("key").to_numpy()
-        same = keys[1:] == keys[:-1]
-        keep = np.zeros(len(keys), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if keep.any():
-            yield from table.filter(pa.array(keep)).to_batches()
+def _cuts(table: pa.Table, keys: tuple[str, ...] = ("key",)) -> np.ndarray:
+    """Where each list of a sorted table begins, and its end."""
+    new = np.zeros(max(0, table.num_rows - 1), bool)
+    for c in keys:
+        key = table.column(c).to_numpy()
+        new |= key[1:] != key[:-1]
+    return np.flatnonzero(np.r_[True, new, True])
 
 
-def links(nodes: DataFrame, hashes: int, limits: tuple[int, ...], key_bytes: int, keys: int | None) -> DataFrame:
-    """nodes(node long, fp), one row a fingerprint -> (a, b, bits), edges that connect what is within each of the limits, in bits."""
-    chosen = byte_keys(hashes, key_bytes, keys)
-    # fewer matches than the guaranteed minimum can't be within max_bits; what met in the index shares key_bytes anyway
-    min_bytes = max(key_bytes if keys is not None else 0, 8 * hashes - max(limits))
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def links(nodes: DataFrame, hashes: int, max_bits: int, long: int = 10_000) -> DataFrame:
+    """nodes(node long, fp), one row a fingerprint -> (a, b), edges that connect what links of max_bits differing bits or fewer connect. Lists of over `long` nodes are keyed anew."""
+    positions = 8 * hashes
+    if max_bits >= positions:
+        raise ValueError("byte positions guarantee a match for fewer differing bits than bytes only")
+    chosen = byte_keys(positions, max_bits)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key"):
-            key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
+            node, cut = table.column("node").to_numpy(), _cuts(table)
             fp = table.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, hashes)
-            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            pairs = [(lo + i, lo + j) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if hi - lo > 1 for most in limits for i, j in forest(fp[lo:hi], most, min_bytes)]
-            if pairs:
-                p = np.array(pairs)
-                bits = np.bitwise_count(fp[p[:, 0]] ^ fp[p[:, 1]]).sum(axis=1, dtype=np.int32)
-                ends = np.sort(node[p], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(bits)], ["a", "b", "bits"])
-
-    columns = [_key(c, i) for i, c in enumerate(chosen)]
-    # in runs, as the code of more keys is too long for one compiled method
-    runs = [nodes.select("node", F.explode(F.array(*columns[i : i + _RUN])).alias("key")) for i in range(0, len(columns), _RUN)]
-    postings = reduce(DataFrame.union, runs)
-    met = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "node long, key long")
-    full = met.withColumn("fp", F.array("node")) if hashes == 1 else met.join(nodes.select("node", "fp"), "node")
-    return full.repartition("key").sortWithinPartitions("key").mapInArrow(grouped, "a long, b long, bits int").distinct()
-
-
-def frequent(docs: DataFrame, words: int, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+            edges = [lo + tallied(fp[lo:hi], max_bits) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if hi - lo > 1]
+            if edges:
+                edges = np.concatenate(edges)
+                yield _pairs(node[edges[:, 0]], node[edges[:, 1]])
+
+    def met(postings: DataFrame) -> DataFrame:
+        return postings.select("node", "fp", "key").repartition("key").sortWithinPartitions("key", "node").mapInArrow(grouped, "a long, b long")
+
+    keyed = F.array(*[F.struct(_key(c).alias("key"), F.lit(i).alias("number")) for i, c in enumerate(chosen)])
+    postings = nodes.select("node", "fp", F.inline(keyed))
+    hot = staged(postings.groupBy("key").count().filter(F.col("count") > long).select("key"), "hot")
+    if not hot.count():
+        return met(postings).distinct()
+    finer = F.when(F.lit(False), F.array().cast("array<long>"))
+    for i, c in enumerate(chosen):
+        finer = finer.when(F.col("number") == i, F.array(*[_key(x) for x in finer_keys(positions, max_bits, c)]))
+    parted = postings.join(hot, "key", "left_semi").select("node", "fp", F.explode(finer).alias("key"))
+    return met(postings.join(hot, "key", "left_anti")).union(met(parted)).distinct()
+
+
+def frequent(docs: DataFrame, words: int, sample: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles, ascending, that at least three of about `sample` texts have, and in how many; `most` of them."""
     rate = max(1, docs.count() // sample)
-    some = docs.select("text", F.xxhash64("doc_id", "text").alias("node")).filter(F.pmod("node", F.lit(rate)) == 0)
-    counts = shingle_sets(some, words).select(F.explode("shingles").alias("key")).groupBy("key").count().filter("count >= 3")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(block, words)[0].view(np.int64))], ["key"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rate)) == 0).select("text")
+    counts = some.mapInArrow(run, "key long").groupBy("key").count().filter("count >= 3")
     table = counts.orderBy(F.desc("count"), "key").limit(most).toArrow()
     keys, n = table["key"].to_numpy().view(np.uint64), table["count"].to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
 
 
-def _prefixes(docs: DataFrame, words: int, hashes: int, similarity: float) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, mark, fp of the distinct shingles, node: hash of their set, prefix array<long>)."""
-    known, often = frequent(docs, words)
+def prefixes(docs: DataFrame, words: int, hashes: int, similarity: float, sample: int) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, mark, node: hash of the set of distinct shingles, n: how many, fp: of these, prefix array<long>)."""
+    known, often = frequent(docs, words, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
-                rows = block.hi - block.lo
-                h, first = shingle_hashes(block, words)
-                row = np.repeat(np.arange(rows), np.diff(first))
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
-                h, row = h[new], row[new]
-                first = np.searchsorted(row, np.arange(rows + 1))
+                h, first = shingle_sets(block, words)
                 n = np.diff(first)
-                fp = np.stack([majority(h if k == 0 else mix(h + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)), first) for k in range(hashes)], axis=1)
-                node = np.zeros(rows, np.uint64)
+                row = np.repeat(np.arange(len(n)), n)
+                node = np.zeros(len(n), np.uint64)
                 if len(h):
                     node[n > 0] = mix(np.add.reduceat(mix(h), first[:-1][n > 0]) + n[n > 0].astype(np.uint64))
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 times = np.where(known[at] == h, often[at], 0) if len(known) else np.zeros(len(h), np.int64)
                 order = np.lexsort((h, times, row))
                 take = np.arange(len(h)) - first[row] <= (n - np.ceil(similarity * n - 1e-6).astype(np.int64))[row]
-                prefix = lists(h[order][take].view(np.int64), row[take], rows, pa.int64())
-                doc, mark = (batch.column(c).slice(block.lo, rows) for c in ("doc_id", "mark"))
-                yield pa.RecordBatch.from_arrays([doc, mark, lists(fp.reshape(-1).view(np.int64), np.repeat(np.arange(rows), hashes), rows, pa.int64()), pa.array(node.view(np.int64)), prefix], ["doc_id", "mark", "fp", "node", "prefix"])
+                prefix = lists(h[order][take].view(np.int64), row[take], len(n), pa.int64())
+                doc, mark = (batch.column(c).slice(block.lo, len(n)) for c in ("doc_id", "mark"))
+                yield pa.RecordBatch.from_arrays([doc, mark, pa.array(node.view(np.int64)), pa.array(n), _listed(_prints(h, first, hashes)), prefix], ["doc_id", "mark", "node", "n", "fp", "prefix"])
+
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    return marked.mapInArrow(run, "doc_id long, mark long, node long, n long, fp array<long>, prefix array<long>")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, fp array<long>, node long, prefix array<long>")
 
+def shared_lists(nodes: DataFrame) -> DataFrame:
+    """nodes(node, prefix) -> (key, node): the lists that hold two nodes at least. Lists of the same nodes get the same key and so are one, with its rows repeated."""
 
-def set_forest(flat: np.ndarray, offs: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Spanning edges of the graph that links sets (flat[offs[i]:offs[i + 1]]) of this Jaccard similarity or more; each set found is compared with those not yet reached only."""
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key"):
+            node, cut = table.column("node").to_numpy(), _cuts(table)
+            n = np.diff(cut)
+            members = mix(np.add.reduceat(mix(node.view(np.uint64)), cut[:-1]) + n.astype(np.uint64))
+            _, once = np.unique(members, return_index=True)  # once from here
+            keep = np.zeros(len(n), bool)
+            keep[once] = n[once] > 1
+            keep = np.repeat(keep, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(members, n)[keep].view(np.int64)), pa.array(node[keep])], ["key", "node"])
+
+    postings = nodes.select("node", F.explode("prefix").alias("key"))
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, node long")
+
+
+def bits_apart(similarity: float, hashes: int, deviations: float = 6.0) -> int:
+    """Differing bits that sets of this similarity have at most: the mean and so many deviations."""
+    p = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+    return ceil(64 * hashes * p + deviations * sqrt(64 * hashes * p * (1 - p)))
+
+
+def candidates(nodes: DataFrame, hashes: int, similarity: float, small: int = 48) -> DataFrame:
+    """nodes(node, n, fp, prefix) -> (a, b), edges that connect at least what sets of this similarity connect: nodes of one list whose sizes and fingerprints allow it."""
+    most = bits_apart(similarity, hashes)
+
+    def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key"):
+            node = table.column("node").to_numpy()
+            table = table.take(pa.array(_cuts(table, ("key", "node"))[:-1]))
+            node, n, cut = table.column("node").to_numpy(), table.column("n").to_numpy(), _cuts(table)
+            fp = table.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, hashes)
+
+            def like(a, b):
+                size = (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9)
+                return size & ((np.bitwise_count(fp[a] ^ fp[b]).sum(axis=-1, dtype=np.int64) <= most) | (np.minimum(n[a], n[b]) < small))
+
+            two = cut[:-1][np.diff(cut) == 2]
+            hit = two[like(two, two + 1)]
+            edges = [np.c_[hit, hit + 1]]
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if hi - lo > 2:
+                    edges.append(lo + forest(hi - lo, lambda at, others, lo=lo: like(lo + at, lo + others)))
+            edges = np.concatenate(edges)
+            if len(edges):
+                yield _pairs(node[edges[:, 0]], node[edges[:, 1]])
+
+    listed = shared_lists(nodes).join(nodes.select("node", "n", "fp"), "node")
+    return listed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(screened, "a long, b long").distinct()
+
+
+def set_forest(flat: np.ndarray, offs: np.ndarray, similarity: float) -> np.ndarray:
+    """Edges (least node of a component, node) of the graph that links sets (flat[offs[i]:offs[i + 1]]) of this Jaccard similarity or more; each set found is compared with those not yet reached only."""
     sizes = np.diff(offs)
     _, token = np.unique(flat, return_inverse=True)
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -239,7 +325,7 @@ def set_forest(flat: np.ndarray, offs: np.ndarray, similarity: float) -> list[tu
         while todo:
             remain = int(open_.sum())
             if not remain:
-                return edges
+                break
             if 2 * remain < indexed:  # only what is not reached stays in the index
                 keep = open_[holders]
                 holders, tokens, indexed = holders[keep], tokens[keep], remain
@@ -250,104 +336,85 @@ def set_forest(flat: np.ndarray, offs: np.ndarray, similarity: float) -> list[tu
             place = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             shared = np.bincount(holders[place], minlength=len(sizes))
             found = np.flatnonzero(open_ & (shared > 0) & (shared >= similarity * (sizes[at] + sizes - shared) - 1e-9))
-            edges += [(at, int(x)) for x in found]
+            edges += [(seed, x) for x in found.tolist()]
             open_[found] = False
             todo += found.tolist()
-    return edges
+    return np.array(edges, np.int64).reshape(-1, 2)
 
 
-def similar(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, short: int = 16, together: tuple[int, int] = (20_000, 800_000)) -> DataFrame:
-    """nodes(node, some, prefix) -> (a, b), links that connect just what sets of this similarity or more connect.
+def similar(nodes: DataFrame, docs: DataFrame, words: int, hashes: int, similarity: float, together: tuple[int, int] = (20_000, 4_000_000)) -> DataFrame:
+    """nodes(node, n, some, fp, prefix) -> (node, root): the components of the graph that links sets of this similarity or more; nodes without a link have no row.
 
-    some: doc_id and mark of a text of the node. What lists connect is a candidate group; where it has no more nodes and
-    prefix entries than `together`, each of its sets is sent once and the forest of verified links is found over all of
-    it. Larger groups go list by list: of `short` nodes or fewer every pair is verified once, in longer ones the forest
-    is found with the sets sent to each list.
+    some: doc_id and mark of a text of the node. What candidates connect is a group. A group of no more nodes and
+    shingles than `together` is settled in one task, each of its texts sent once. A larger one goes list by list: the texts
+    of a list are sent to its task, and the links found there are joined up.
     """
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "key"):
-            key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
-            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            n = np.diff(cut)
-            keep = np.repeat(n > 1, n)
-            hub = np.repeat(node[cut[:-1]], n)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (hub, node, key)], ["hub", "node", "key"])
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "key"):
-            key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
-            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            n = np.diff(cut)
-            ones, twos = [], []
-            for size in range(2, short + 1):
-                at = cut[:-1][n == size]
-                i, j = np.triu_indices(size, 1)
-                ones.append(node[at[:, None] + i].ravel())
-                twos.append(node[at[:, None] + j].ravel())
-            a, b = np.concatenate(ones), np.concatenate(twos)
-            long = np.repeat(n > short, n)
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none], ["a", "b", "key"])
-            yield pa.RecordBatch.from_arrays([pa.array(node[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(key[long])], ["a", "b", "key"])
-
     def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key"):
-            key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
-            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            table = table.take(pa.array(_cuts(table, ("key", "node"))[:-1]))  # a text that rows repeat counts once
+            node, cut = table.column("node").to_numpy(), _cuts(table)
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                sets = table.column("shingles").slice(lo, hi - lo).combine_chunks()
-                sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
-                offs = np.r_[0, np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))]
-                edges = np.array(set_forest(sets.flatten().to_numpy(zero_copy_only=False), offs, similarity), np.int64).reshape(-1, 2)
-                ends = np.sort(node[lo:hi][edges], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
-
-    postings = nodes.select("node", F.explode("prefix").alias("key"))
-    lists_ = staged(postings.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "hub long, node long, key long"), "lists")
-    groups = staged(components(lists_.select("hub", "node").distinct().toDF("a", "b")).join(nodes.select("node", "some", F.size("prefix").alias("entries")), "node"), "groups")
-    sizes = groups.groupBy("root").agg((F.count("*") > together[0]).alias("many"), (F.sum("entries") > together[1]).alias("wide"))
-    large = staged(sizes.filter("many or wide").select("root"), "large")
+                flat, sizes = [], []
+                for block in blocks(table.column("text").slice(lo, hi - lo)):
+                    h, first = shingle_sets(block, words)
+                    flat.append(h)
+                    sizes.append(np.diff(first))
+                edges = lo + set_forest(np.concatenate(flat), np.r_[0, np.cumsum(np.concatenate(sizes))], similarity)
+                if len(edges):
+                    yield _pairs(node[edges[:, 0]], node[edges[:, 1]])
+
+    def forests(keyed: DataFrame) -> DataFrame:
+        return keyed.select("key", "node", "text").repartition("key").sortWithinPartitions("key", "node").mapInArrow(spanned, "a long, b long")
+
+    edges = staged(candidates(nodes, hashes, similarity), "candidates")
+    groups = staged(components(edges).join(nodes.select("node", "n", "some"), "node"), "groups")
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     same = F.col("some.doc_id").eqNullSafe(F.col("doc_id")) & F.col("some.mark").eqNullSafe(F.col("mark"))
-    sets = staged(shingle_sets(groups.join(marked, same).dropDuplicates(["node"]), words), "shingles")
-    grouped = groups.join(large, "root", "left_anti").select("node", F.col("root").alias("key")).join(sets, "node")
-    whole = grouped.repartition("key").sortWithinPartitions("key").mapInArrow(spanned, "a long, b long")
-    if not large.count():
-        return whole
-    kept = lists_.select("node", "key").join(groups.join(large, "root", "left_semi").select("node"), "node")
-    found = staged(kept.repartition("key").sortWithinPartitions("key").mapInArrow(met, "a long, b long, key long"), "met")
-    pairs = staged(found.filter("key is null").select("a", "b").distinct(), "pairs")
-    listed = found.filter("key is not null").select(F.col("a").alias("node"), "key")
-    one, two = (sets.select(F.col("node").alias(e), F.col("shingles").alias(f"of_{e}")) for e in ("a", "b"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
-    true = both.filter(F.col("shared") >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - F.col("shared")) - F.lit(1e-9)).select("a", "b")
-    return whole.union(true).union(listed.join(sets, "node").repartition("key").sortWithinPartitions("key").mapInArrow(spanned, "a long, b long"))
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, hashes: int = 4, max_bits: int = 54, key_bytes: int = 3, keys: int | None = 192, similarity: float | None = 0.8) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, fp array<long>, component_id): one row a row of docs.
-
-    words: of a shingle. component_id is the smallest doc_id that links reach. With a similarity, texts link whose sets of
-    distinct shingles (by 64-bit hashes) have that Jaccard similarity or more, all of them; fp is made of the distinct
-    shingles, and max_bits, key_bytes and keys have no part. Without one, fingerprints of 64 x hashes bits, in which
-    repeated shingles count, link at max_bits differing bits or fewer; with hashes=1, max_bits=2, key_bytes=6, keys=None
-    every such link is found.
+    sizes = groups.groupBy("root").agg((F.count("*") > together[0]).alias("many"), (F.sum("n") > together[1]).alias("wide"))
+    large = staged(sizes.filter("many or wide").select("root"), "large")
+    some = large.count() > 0
+    whole = groups.join(large, "root", "left_anti") if some else groups
+    found = forests(whole.join(marked, same).select(F.col("root").alias("key"), "node", "text"))
+    # a group in one task gives the least node of each of its components with every other
+    rooted = staged(found, "found")
+    out = rooted.select(F.col("b").alias("node"), F.col("a").alias("root")).union(rooted.select(F.col("a"), F.col("a")).distinct())
+    if some:
+        rest = groups.join(large, "root", "left_semi")
+        texts = staged(rest.join(marked, same).select("node", "text"), "texts")
+        listed = shared_lists(nodes.join(rest.select("node"), "node", "left_semi")).join(texts, "node")
+        out = out.union(components(forests(listed)))
+    discard(edges)
+    return out
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, hashes: int = 4, similarity: float | None = 0.8, max_bits: int = 2, sample: int = 20_000) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, mark, fp array<long>, root, component_id): one row a row of docs.
+
+    words: of a shingle. root is a component's own number, component_id the smallest doc_id that links reach; mark is
+    xxhash64 of the text. With a similarity, texts link whose sets of distinct shingles (by 64-bit hashes) have that Jaccard
+    similarity or more, and fp is made of the distinct shingles; sample: of about so many texts frequent shingles are
+    counted. Without one, fingerprints of 64 x hashes bits, in which repeated shingles count, link at max_bits differing bits
+    or fewer, all of them.
     Equal sets, or fingerprints, are one node, so copies cost one index entry. Null text: as empty; texts without words
     are equal to each other. Null doc_id: its row stays, and it never names a component unless all of it has none (then null).
     Repeated rows stay repeated. Other columns are ignored. Empty tables give empty tables.
     """
     if similarity is None:
-        fps = staged(fingerprints(docs, words, hashes), "fingerprints")
-        fps = fps.withColumn("node", F.col("fp")[0] if hashes == 1 else F.xxhash64("fp"))
+        fps = fingerprints(docs, words, hashes)
+        fps = staged(fps.withColumn("node", F.col("fp")[0] if hashes == 1 else F.xxhash64("fp")), "fingerprints")
         nodes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "nodes")
-        roots = components(links(nodes, hashes, (max_bits,), key_bytes, keys))
+        roots = components(links(nodes, hashes, max_bits))
     else:
-        fps = staged(_prefixes(docs, words, hashes, similarity), "fingerprints")
-        nodes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("some"), F.first("prefix").alias("prefix")), "nodes")
-        roots = components(similar(nodes, docs, words, similarity))
+        sets = staged(prefixes(docs, words, hashes, similarity, sample), "sets")
+        first = [F.first(c).alias(c) for c in ("n", "fp", "prefix")]
+        nodes = staged(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("some"), *first), "nodes")
+        fps = sets.select("doc_id", "mark", "fp", "node")
+        roots = staged(similar(nodes, docs, words, hashes, similarity), "roots")
     linked = roots.join(nodes.select("node", "least"), "node")
     names = linked.groupBy("root").agg(F.min("least").alias("named"))
-    named = roots.join(names, "root").select("node", "named")
-    classes = nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("named", "least").alias("component_id"))
-    return fps.join(classes, "node").select("doc_id", "fp", "component_id")
+    named = roots.join(names, "root").select("node", "root", "named")
+    classes = nodes.select("node", "least").join(named, "node", "left")
+    # both sides are read from tables, so a fingerprint of very many rows is split by the engine's skew join
+    classes = staged(classes.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("named", "least").alias("component_id")), "classes")
+    return fps.join(classes, "node").select("doc_id", "mark", "fp", "root", "component_id")
