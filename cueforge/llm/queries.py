@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import cws, mixing, packing, posting_lists, quality, sharding, simhash, substring, token_counts, toxicity
 
-#: Margins of the mix: present shares to these powers; and the share of tokens that stays, as far as no document is doubled.
+#: Margins of the mix: present shares to these powers; and the share of tokens that stays.
 TEMPERATURES = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 KEEP = 0.8
 
@@ -28,12 +28,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.calibrate(_table(spark, sf_dir, "documents"), TEMPERATURES, KEEP)
-    return rows.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"))
+    rows = mixing.calibrate(_table(spark, sf_dir, "documents"), TEMPERATURES, KEEP, carry=["doc_id"])
+    return rows.select("row.doc_id", "topic", F.col("tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), "kept")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, hashes=1, max_bits=2, key_bytes=6, keys=None, similarity=None)
+    rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, hashes=1, max_bits=2, similarity=None)
     return rows.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -54,7 +54,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), token_counts.piece_scores(tokenizer_file("piece_bpe_32k.model")))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), *token_counts.vocabulary(tokenizer_file("piece_bpe_32k.model")))
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

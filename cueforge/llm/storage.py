@@ -1,14 +1,17 @@
 """Written stages: what cuts lineage lies in the folder that the cluster shares."""
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests, a laptop), one under the warehouse."""
+    """The folder in spark.checkpoint.dir; only where it is unset on a single machine (tests, a laptop), one under the warehouse. A cluster without the setting is refused: a folder of the driver's machine would not reach its executors."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,3 +34,14 @@ def discard(*frames: DataFrame) -> None:
         if path:
             jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with as many underscores as keep it apart from the columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
