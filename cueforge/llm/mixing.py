@@ -77,7 +77,7 @@ def rake(cells: DataFrame, temperatures: dict[str, float], keep: float, toleranc
         out = out.join(targets(cells, d, t, keep, total).withColumnRenamed("target", f"to_{d}"), d)
     out = staged(out.coalesce(1) if small else out, "raked")
     for _ in range(blocks):
-        after = out
+        after = out.coalesce(1) if small else out  # one task needs no exchange between its steps
         for _ in range(_BLOCK):
             for d in temperatures:
                 after = step(after, d)
