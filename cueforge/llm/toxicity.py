@@ -139,11 +139,11 @@ def _landmarks(words: Sentences, chosen: np.ndarray) -> tuple[np.ndarray, np.nda
     return codes, base, (vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])).astype(np.float32)
 
 
-def features(words: Sentences, codes: np.ndarray, base: np.ndarray, root: np.ndarray, chunk: int = 10_000) -> np.ndarray:
-    """Nyström features of words: their kernels with the landmarks, whitened."""
+def features(words: Sentences, codes: np.ndarray, base: np.ndarray, root: np.ndarray, chunk: int = 5_000) -> np.ndarray:
+    """Nyström features of words: their kernels with the landmarks, whitened. Kept in half precision, as there are as many rows as distinct words."""
     column = np.full(_CODES, -1, np.int32)
     column[codes] = np.arange(len(codes))
-    out = np.zeros((len(words.first), root.shape[1]), np.float32)
+    out = np.zeros((len(words.first), root.shape[1]), np.float16)
     for lo in range(0, len(words.first), chunk):
         owner, code, weight = words.only(np.arange(lo, min(lo + chunk, len(words.first)))).vectors()
         at = column[code]
@@ -157,20 +157,25 @@ def features(words: Sentences, codes: np.ndarray, base: np.ndarray, root: np.nda
     return out
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
-    """A linear machine with squared hinge loss, by Newton steps; the last weight is the bias."""
-    w = np.zeros(x.shape[1] + 1)
+def decisions(x: np.ndarray, w: np.ndarray, chunk: int = 5_000) -> np.ndarray:
+    return np.concatenate([x[i : i + chunk].astype(np.float64) @ w[:-1] for i in range(0, len(x), chunk)] or [np.zeros(0)]) + w[-1]
+
+
+def squared_hinge(parts: list[tuple[np.ndarray, int, np.ndarray]], penalty: float, chunk: int = 5_000) -> np.ndarray:
+    """A linear machine with squared hinge loss over parts of (rows, their class 1 or -1, their weights), by Newton steps; the last weight is the bias."""
+    w = np.zeros(parts[0][0].shape[1] + 1)
     ridge = np.eye(len(w)) * penalty
     ridge[-1, -1] = 1e-6
     for _ in range(30):
-        inside = np.flatnonzero(y * (x @ w[:-1] + w[-1]) < 1)
         left, right = ridge.copy(), np.zeros(len(w))
-        for i in range(0, len(inside), 20_000):
-            part = inside[i : i + 20_000]
-            a = np.c_[x[part], np.ones(len(part))]
-            b = a.T * weight[part]
-            left += b @ a
-            right += b @ y[part]
+        for x, y, weight in parts:
+            for i in range(0, len(x), chunk):
+                a = np.c_[x[i : i + chunk].astype(np.float64), np.ones(len(x[i : i + chunk]))]
+                inside = (y * (a @ w) < 1) & (weight[i : i + chunk] > 0)
+                a = a[inside]
+                b = a.T * weight[i : i + chunk][inside]
+                left += b @ a
+                right += y * b.sum(axis=1)
         new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-9):
             break
@@ -273,17 +278,17 @@ def learn(texts: list[str | None], labels: list[int], landmarks: int = 480, turn
     often = np.argsort(-toxic, kind="stable")
     made = [v for i in often[toxic[often] > 0].tolist() for w in (spelt[i],) for v in (w[:1] + b"\0".join(bytes([c]) for c in w[1:]), *(w[:j] + bytes([24]) + w[j:] for j in range(3, len(w) - 1)))]
     spread = Sentences.of_words(made)
-    near, good = np.zeros(n), np.flatnonzero(clean)
+    held, near, good = words.only(np.flatnonzero(toxic)), np.zeros(n), (clean > 0).astype(float)
     for _ in range(turns):
         top = often[: landmarks // 2][toxic[often[: landmarks // 2]] > 0]
         common = np.setdiff1d(np.argsort(-clean, kind="stable")[: landmarks // 4], top)
         alike = np.setdiff1d(np.argsort(-near, kind="stable")[: landmarks // 4], np.r_[top, common])
         codes, base, root = _landmarks(words, np.r_[top, common, alike])
         x = features(words, codes, base, root)
-        bad_x = np.r_[x[toxic > 0], features(spread, codes, base, root)]
+        bad_x = np.concatenate([features(held, codes, base, root), features(spread, codes, base, root)])
         weight = np.r_[np.sqrt(toxic[toxic > 0]), np.ones(len(made))]
-        w = squared_hinge(np.r_[bad_x, x[good]], np.r_[np.ones(len(bad_x)), -np.ones(len(good))], np.r_[weight * (share * len(good) / weight.sum()), np.ones(len(good))], penalty)
-        near[good] = np.where(toxic[good] > 0, 0, x[good] @ w[:-1] + w[-1] + 2)
+        w = squared_hinge([(bad_x, 1, weight * (share * good.sum() / weight.sum())), (x, -1, good)], penalty)
+        near = np.where((toxic > 0) | (clean == 0), 0, decisions(x, w) + 2)
     table = np.zeros(_CODES, np.float32)
     table[codes] = base @ (root @ w[:-1])
     model = Model(table, float(w[-1]), np.zeros(4))

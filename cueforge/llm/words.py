@@ -106,7 +106,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(column: pa.Array, limit: int = 1 << 21) -> Iterator[Block]:
+def blocks(column: pa.Array, limit: int = 1 << 18) -> Iterator[Block]:
     """The batch in runs of rows of about `limit` bytes; a longer text is a block of its own."""
     data, offs = text_bytes(column)
     lo, n = 0, len(offs) - 1
