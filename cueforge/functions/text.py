@@ -31,6 +31,16 @@ def milliseconds(seconds: Column) -> Column:
     return F.rint(seconds * 1000).cast("long")
 
 
+def thousandth(x: Column) -> Column:
+    """x to the nearest thousandth, by its exact binary value: where 1000 x is rounded to a tie, the product's error tells on which side x lies."""
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of x's bits; both halves times 1000 are exact
+    product = x * 1000.0
+    error = (high * 1000.0 - product) + (x - high) * 1000.0
+    below = F.floor(product).cast("double")
+    tie = (product - below == 0.5) & (error != 0)
+    return F.when(tie, F.when(error < 0, below).otherwise(below + 1)).otherwise(F.rint(product)) / 1000.0
+
+
 def timecode(seconds: Column, separator: str = ",") -> Column:
     """HH:MM:SS,mmm; hours take as many digits as they need."""
     ms = milliseconds(seconds)

@@ -3,11 +3,13 @@
 import json
 import urllib.request
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cueforge.functions import text as X
 
@@ -46,14 +48,27 @@ class HttpClient:
         self.host, self.model, self.timeout = host, model, timeout
 
     def ask(self, prompt: str) -> str | None:
-        body = json.dumps({"model": self.model, "prompt": prompt, "stream": False, "options": {"temperature": 0.3}}).encode()
-        request = urllib.request.Request(f"{self.host}/api/generate", body, {"Content-Type": "application/json"})
         try:
-            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-                return json.loads(answer.read()).get("response", "")
+            return self.generate(prompt=prompt, options={"temperature": 0.3})
         except OSError:
             return None
 
+    def generate(self, **fields) -> str:
+        """One answer, without a stream and without thinking aloud."""
+        body = json.dumps({"model": self.model, "stream": False, "think": False} | fields).encode()
+        request = urllib.request.Request(f"{self.host}/api/generate", body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return json.loads(answer.read()).get("response", "")
+
+    def reachable(self, timeout: float = 10) -> bool:
+        """Whether the server answers at all."""
+        try:
+            with urllib.request.urlopen(f"{self.host}/api/tags", timeout=timeout) as answer:
+                json.loads(answer.read())
+        except (OSError, ValueError):
+            return False
+        return True
+
 
 def prompts(spark: SparkSession) -> DataFrame:
     rows = [(lang, i, field, text, LABELS[lang]) for lang, texts in INSTRUCTIONS.items() for i, (field, text) in enumerate(zip(FIELDS, texts, strict=True))]
@@ -79,6 +94,29 @@ def infer(tasks: DataFrame, client: Callable[[], InferenceClient]) -> DataFrame:
     return tasks.select("video_id", "field", "prompt").mapInPandas(ask, f"video_id {kind}, field string, response string")
 
 
+def answers(tasks: DataFrame, client: Callable[[], InferenceClient], model: str, folder: str) -> DataFrame:
+    """tasks(video_id, field, prompt) -> (video_id, field, response), kept in folder by model and prompt: what is there is not asked again, and what is used twice is asked once."""
+    spark = tasks.sparkSession
+    keyed = tasks.withColumn("key", F.sha2(F.concat_ws("\n", F.lit(model), "prompt"), 256))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        new = keyed.join(spark.read.parquet(folder), "key", "left_anti")
+    else:
+        new = keyed
+    once = new.dropDuplicates(["key"]).select(F.col("key").alias("video_id"), "field", "prompt")
+    infer(once, client).select(F.col("video_id").alias("key"), "response").write.mode("append").parquet(folder)
+    known = spark.read.schema("key string, response string").parquet(folder).groupBy("key").agg(F.max("response").alias("response"))
+    return keyed.join(known, "key").select("video_id", "field", "response")
+
+
+def analyse(transcripts: DataFrame, lang: str, wanted: str, client: Callable[[], InferenceClient] | None, model: str, folder: str) -> DataFrame:
+    """transcripts(video_id, raw_text) -> (video_id, the five fields). Without a client, or where it says that its server can't be reached, no model is asked."""
+    one = client() if client else None
+    if one is None or not getattr(one, "reachable", lambda: True)():
+        return transcripts.select("video_id", *[c.alias(f) for f, c in fallback(F.col("raw_text")).items()])
+    return wide(transcripts, answers(fan_out(transcripts, lang, wanted), client, model, folder))
+
+
 def fallback(raw_text: Column) -> dict[str, Column]:
     first = F.coalesce(F.get(X.splitlines(raw_text), F.lit(0)), F.lit(""))
     return {
@@ -105,3 +143,34 @@ def wide(transcripts: DataFrame, answers: DataFrame) -> DataFrame:
 
 def shown(field: Column) -> Column:
     return F.coalesce(F.nullif(field, F.lit("")), F.lit(NOTHING))
+
+
+def as_markdown(value: Column) -> Column:
+    """What a field shows, by its form: a JSON array as a list (texts, or objects as `question: answer`), a JSON object as a list of its entries, anything else as it is; what is empty as nothing."""
+    v = F.try_parse_json(value)
+    part = lambda i, *keys: F.coalesce(*[F.nullif(F.try_variant_get(i, f"$.{k}", "string"), F.lit("")) for k in keys], F.lit(""))
+    item = lambda i: F.when(F.schema_of_variant(i) == "STRING", F.try_variant_get(i, "$", "string")).otherwise(F.concat(part(i, "q", "question"), F.lit(": "), part(i, "a", "answer")))
+    bullets = F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda i: F.concat(F.lit("- "), item(i))), "\n")
+    entries = F.map_entries(F.from_json(value, "map<string,string>"))
+    pairs = F.array_join(F.transform(entries, lambda e: F.concat(F.lit("- **"), e["key"], F.lit("**: "), F.coalesce(e["value"], F.lit("None")))), "\n")
+    kind = F.schema_of_variant(v)
+    return shown(F.when(kind.startswith("ARRAY"), bullets).when(kind.startswith("OBJECT"), pairs).otherwise(value))
+
+
+@F.pandas_udf(T.StringType())
+def first_object(texts: pd.Series) -> pd.Series:
+    """The first stretch from an opening brace to where as many are closed that is a JSON object; braces within strings count too."""
+
+    def found(text: str | None) -> str | None:
+        for start in (i for i, c in enumerate(text or "") if c == "{"):
+            depth = accumulate((c == "{") - (c == "}") for c in text[start:])
+            end = next((i for i, d in enumerate(depth) if not d), None)
+            if end is not None:
+                try:
+                    json.loads(text[start : start + end + 1])
+                    return text[start : start + end + 1]
+                except ValueError:
+                    pass
+        return None
+
+    return texts.map(found)

@@ -38,3 +38,19 @@ def notes(cards: DataFrame, deck: str, by_position: bool = True) -> DataFrame:
     key = F.concat_ws("|", "question", F.col("ord").cast("string")) if by_position else F.col("question")
     fields = F.array(*[F.coalesce(c, F.lit("")) for c in ("question", "answer", "tags", "timestamp", "source")])
     return cards.select(X.deck_id(F.lit(deck)).alias("deck_id"), F.lit(MODEL_ID).cast("long").alias("model_id"), F.sha2(key, 256).alias("guid"), fields.alias("fields"))
+
+
+def qa_cards(answers: DataFrame) -> DataFrame:
+    """answers(video_id, qa) -> cards of whatever form qa has: a JSON array of objects (q, question or Q; a, answer or A; the first that is not empty) and of texts, each read by its own lines; or one text. Other JSON values are texts too."""
+    v = F.try_parse_json("qa")
+    elements = F.try_variant_get(v, "$", "array<variant>")
+    parts = answers.select("video_id", F.posexplode(F.coalesce(elements, F.array(F.try_parse_json(F.to_json(F.struct(F.col("qa").alias("text"))))))).alias("item", "v"), elements.isNotNull().alias("listed"))
+    get = lambda key: F.nullif(F.try_variant_get("v", f"$.{key}", "string"), F.lit(""))
+    is_object = F.schema_of_variant("v").startswith("OBJECT")
+    objects = parts.filter(F.col("listed") & is_object).select("video_id", "item", F.lit(0).cast("long").alias("at"), F.coalesce(get("q"), get("question"), get("Q")).alias("question"), F.coalesce(get("a"), get("answer"), get("A"), F.lit("")).alias("answer"))
+    objects = objects.filter(F.col("question").isNotNull()).withColumns({"question": X.strip(F.col("question")), "answer": X.strip(F.col("answer"))})
+    text = F.when(F.col("listed"), F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))).otherwise(get("text"))
+    lines = parts.filter(~F.col("listed") | ~is_object).select(F.struct("video_id", "item").alias("video_id"), F.posexplode(X.splitlines(text)).alias("n", "line"))
+    texts = parse_qa(lines).select("video_id.video_id", "video_id.item", F.col("ord").alias("at"), "question", "answer")
+    ord_ = F.row_number().over(Window.partitionBy("video_id").orderBy("item", "at")) - 1
+    return objects.unionByName(texts).select("video_id", ord_.cast("long").alias("ord"), "question", "answer")

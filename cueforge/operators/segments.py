@@ -16,7 +16,7 @@ def even_spacing(frames: DataFrame) -> DataFrame:
     by_video = Window.partitionBy("video_id")
     n = F.count("*").over(by_video)
     idx = F.row_number().over(by_video.orderBy("file")) - 1
-    return frames.withColumns({"n": n, "idx": idx}).withColumn("t", F.rint(F.col("idx") * (F.col("duration") / F.col("n")) * 1000) / 1000)
+    return frames.withColumns({"n": n, "idx": idx}).withColumn("t", X.thousandth(F.col("idx") * (F.col("duration") / F.col("n"))))
 
 
 def intervals(frames: DataFrame, interval: float) -> DataFrame:
@@ -45,6 +45,13 @@ def transcript(segments: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.withColumn("raw_text", F.substring("raw_text", 1, limit))
 
 
+def summaries(segments: DataFrame) -> DataFrame:
+    """(video_id, raw_text, duration, n_segments) of videos with segments, by one aggregation."""
+    rows = segments.select("video_id", "idx", "end", F.concat(F.lit("["), X.mmss(F.col("start")), F.lit("] "), "text").alias("line"))
+    own = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("lines"), F.max_by("end", "idx").alias("duration"), F.count("*").alias("n_segments"))
+    return own.select("video_id", F.array_join(F.transform("lines", lambda p: p["line"]), "\n").alias("raw_text"), "duration", "n_segments")
+
+
 def durations(videos: DataFrame, segments: DataFrame) -> DataFrame:
     """(video_id, duration, n_segments): the end of the last segment by idx, not the greatest end; 0 without segments."""
     last = segments.groupBy("video_id").agg(F.max_by("end", "idx").alias("last"), F.count("*").alias("n"))

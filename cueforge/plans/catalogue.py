@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cueforge.functions import text as X
 from cueforge.operators import analysis as A
+from cueforge.operators import captions, hosts
 from cueforge.operators import cards as C
 from cueforge.operators import profiles as P
 from cueforge.operators import render as R
@@ -213,12 +214,8 @@ _VALUES = {"title": "'conv ' || d.video_id::VARCHAR", "source": V.sql_escape(_SO
 
 
 def _knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = V.segments(spark, sf_dir)
-    raw = S.transcript(segments)
-    videos = segments.select("video_id").distinct()
-    sources = videos.withColumn("source", F.concat(F.lit("conv_"), F.col("video_id").cast("string"), F.lit(".json")))
-    analysis = raw.select("video_id", *[c.alias(k) for k, c in A.fallback(F.col("raw_text")).items()])
-    return R.knowledge(segments, S.durations(videos, segments), analysis, sources, MODEL, RUN_DATE)
+    videos = S.summaries(V.segments(spark, sf_dir)).withColumn("source", F.concat(F.lit("conv_"), F.col("video_id").cast("string"), F.lit(".json")))
+    return R.filled(videos.select("*", *[c.alias(k) for k, c in A.fallback(F.col("raw_text")).items()]), MODEL, RUN_DATE)
 
 
 @_query(f"WITH {V.SEGMENTS}, {_RAW}, d AS (SELECT video_id, arg_max(\"end\", idx) AS duration, count(*) AS n_segments FROM segs GROUP BY video_id) SELECT d.video_id, 'conv ' || d.video_id::VARCHAR AS title, {_SOURCE} AS source, {_sql_fill(_VALUES)} AS markdown FROM d JOIN raw USING (video_id)")
@@ -226,6 +223,8 @@ def template_fold(spark, sf_dir):
     return _knowledge(spark, sf_dir)
 
 
+_PAGE_MD = f"SELECT d.video_id, 'conv ' || d.video_id::VARCHAR AS title, {_SOURCE} AS source, {_sql_fill(_VALUES)} AS markdown FROM d JOIN raw USING (video_id)"
+
 _BODY = f"""CASE WHEN regexp_matches(s, '^#{{1,6}} ') THEN '<h' || lv || '>' || substring(s, lv + 2) || '</h' || lv || '>' WHEN item THEN '<li>' || regexp_replace(substring(s, 3), '\\[(\\d{{2}}:\\d{{2}})\\]', '[<a class=''ts'' href=''#t-\\1''>\\1</a>]', 'g') || '</li>'
  WHEN {V.sql_strip('s')} = '' THEN '' ELSE '<p>' || regexp_replace(s, '\\*\\*(.+?)\\*\\*', '<strong>\\1</strong>', 'g') || '</p>' END"""
 
@@ -237,6 +236,50 @@ def html_list_runs(spark, sf_dir):
     return R.html_bodies(V.markdown_lines(spark, sf_dir))
 
 
+_RENDERED = f"""k AS (SELECT *, length(regexp_extract(s, '^(#{{1,6}}) ', 1)) AS lv, starts_with(s, '- ') AS item FROM e),
+ w AS (SELECT *, coalesce(lag(item) OVER o, false) AS pi, coalesce(lead(item) OVER o, false) AS ni FROM k WINDOW o AS (PARTITION BY video_id ORDER BY n)),
+ b AS (SELECT video_id, string_agg(CASE WHEN item AND NOT pi THEN '<ul>' || chr(10) ELSE '' END || {_BODY} || CASE WHEN item AND NOT ni THEN chr(10) || '</ul>' ELSE '' END, chr(10) ORDER BY n) AS body FROM w GROUP BY video_id)"""
+
+
+@_query(f"""WITH {V.SEGMENTS}, {_RAW}, d AS (SELECT video_id, arg_max("end", idx) AS duration, count(*) AS n_segments FROM segs GROUP BY video_id), docs AS ({_PAGE_MD}),
+ l AS (SELECT video_id, {V.sql_lines('markdown')} AS lines FROM docs), u AS (SELECT video_id, generate_subscripts(lines, 1) AS n, unnest(lines) AS line FROM l), e AS (SELECT video_id, n, {V.sql_escape('line')} AS s FROM u), {_RENDERED}
+ SELECT video_id, title, source, markdown, {_quoted(R.HEAD[0])} || {V.sql_escape('title')} || {_quoted(R.HEAD[1])} || body || {_quoted(R.TAIL)} AS html FROM docs JOIN b USING (video_id)""")
+def knowledge_page(spark, sf_dir):
+    return R.pages(_knowledge(spark, sf_dir))
+
+
+@_query(f"WITH {V.FRAMES} SELECT video_id, idx::BIGINT AS idx, t AS \"start\", coalesce(lead(t) OVER (PARTITION BY video_id ORDER BY idx), t + 2.0e0) AS \"end\", length(event_type) || ' bytes' AS text FROM spaced JOIN (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, event_type FROM events) USING (video_id, idx)")
+def caption_join(spark, sf_dir):
+    frames = S.even_spacing(V.frames(spark, sf_dir)).select("video_id", F.col("idx").cast("long").alias("idx"), "t", F.encode("event_type", "utf-8").alias("content"))
+    return captions.captioned(frames, captions.SizeDescriber, 2.0)
+
+
+@_query(f"WITH {V.SEGMENTS} SELECT video_id, idx, round(\"start\" + idx / 8 + 0.0001, 3) AS \"start\", round(\"end\" + idx / 8 + 0.0001, 3) AS \"end\", {V.sql_strip('text')} AS text FROM segs")
+def segment_projection(spark, sf_dir):
+    shift = F.col("idx") / 8 + 0.0001
+    spoken = V.segments(spark, sf_dir).select("video_id", "idx", (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"), F.concat(F.lit(" \n"), "text", F.lit("\t")).alias("text"), F.lit("words").alias("words"))
+    return captions.projected(spoken)
+
+
+@_query(f"""WITH t AS (SELECT conv_id AS video_id, turn, {V.sql_lines('text')}[1] AS head FROM conversations)
+ SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY turn) - 1)::BIGINT AS ord, {V.sql_strip('head')} AS question, CASE WHEN turn % 4 = 3 THEN '' ELSE 'a' || turn END AS answer FROM t WHERE turn % 4 = 3 OR head <> ''""")
+def qa_list_cards(spark, sf_dir):
+    head = F.coalesce(F.get(X.splitlines(F.col("text")), F.lit(0)), F.lit(""))
+    turn = V.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), "turn", head.alias("head"), F.concat(F.lit("a"), F.col("turn").cast("string")).alias("a"))
+    k = F.col("turn") % 4
+    item = F.when(k == 0, F.to_json(F.struct(F.col("head").alias("q"), F.col("a").alias("answer")))).when(k == 1, F.to_json(F.struct(F.lit("").alias("q"), F.col("head").alias("question"), "a"))).when(k == 2, F.to_json(F.struct(F.col("head").alias("Q"), F.col("a").alias("A")))).otherwise(F.get_json_object(F.to_json(F.struct(F.concat(F.lit("Q: "), "head").alias("x"))), "$"))
+    text = F.when(k == 3, F.regexp_replace(item, "^\\{\"x\":|\\}$", "")).otherwise(item)
+    lists = S.joined(turn.withColumn("item", text), "video_id", "turn", "item", ",", "items")
+    return C.qa_cards(lists.select("video_id", F.concat(F.lit("["), "items", F.lit("]")).alias("qa")))
+
+
+@_query("SELECT conv_id AS video_id, turn, CASE turn % 3 WHEN 0 THEN '- ' || role || chr(10) || '- ' || turn || ': ' || role WHEN 1 THEN '- **role**: ' || role || chr(10) || '- **turn**: ' || turn ELSE '(无)' END AS markdown FROM conversations")
+def field_markdown(spark, sf_dir):
+    k, turn = F.col("turn") % 3, F.col("turn").cast("string")
+    value = F.when(k == 0, F.concat(F.lit('["'), "role", F.lit('",{"question":"'), turn, F.lit('","a":"'), "role", F.lit('"}]'))).when(k == 1, F.concat(F.lit('{"role":"'), "role", F.lit('","turn":'), turn, F.lit("}"))).otherwise("[]")
+    return V.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), "turn", A.as_markdown(value).alias("markdown"))
+
+
 _PROFILE = "CASE WHEN vram >= 8 THEN 'high-gpu' WHEN ram >= 32 THEN 'max' WHEN ram >= 16 THEN 'high' WHEN apple AND ram >= 6 AND ram < 8 THEN 'low-mac' WHEN ram >= 8 THEN 'mid' WHEN ram >= 6 THEN 'low' ELSE 'tiny' END"
 
 
@@ -249,12 +292,20 @@ def hardware_profile(spark, sf_dir):
     return _profiled(spark, sf_dir).select("host", "ram", "profile")
 
 
-_TABLE = "prof AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in P.PROFILES) + ") v(profile, asr, compute, device, vlm))"
+_TABLE = "prof AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in P.PROFILES) + ") v(profile, asr, compute, device, vlm, note))"
 
 
 @_query(f"WITH {V.HOSTS}, {_TABLE} SELECT host, p.* FROM (SELECT host, {_PROFILE} AS profile FROM hosts) h JOIN prof p USING (profile)")
 def profile_lookup(spark, sf_dir):
-    return P.look_up(_profiled(spark, sf_dir).select("host", "profile")).select("host", "profile", "asr", "compute", "device", "vlm")
+    return P.look_up(_profiled(spark, sf_dir).select("host", "profile")).select("host", "profile", "asr", "compute", "device", "vlm", "note")
+
+
+@_query(f"""WITH {V.HOSTS}, {_TABLE} SELECT host, 'linux' AS os, 'x86_64' AS arch, round_even(ram * 1048576 / 1048576, 1) AS ram_gb, CASE WHEN apple THEN 'chip' END AS apple_chip, CASE WHEN vram <> 0 THEN round_even(vram, 1) END AS nvidia_vram_gb, h.profile,
+ p.asr AS asr_model, p.compute AS compute_type, p.device, p.vlm AS vlm_model, p.note FROM (SELECT *, {_PROFILE} AS profile FROM hosts) h JOIN prof p USING (profile)""")
+def host_profile(spark, sf_dir):
+    kilobytes = (F.col("ram") * F.lit(1048576)).cast("long")
+    found = V.hosts(spark, sf_dir).select("host", F.lit("linux").alias("os"), F.lit("x86_64").alias("arch"), hosts.gigabytes(kilobytes, "kB").alias("ram"), F.when(F.col("apple"), "chip").alias("apple_chip"), "vram")
+    return hosts.described(found, keep=["host"])
 
 
 @_query(f"WITH {V.HOSTS}, h AS (SELECT host, ram, {_PROFILE} AS profile FROM hosts) SELECT host, m AS model, m IN ('large', 'large-v1', 'large-v2', 'large-v3', 'medium') AND ram <> 0 AND ram < 16 AND profile <> 'high-gpu' AS warn FROM h CROSS JOIN (VALUES ('small'), ('medium'), ('large-v3')) v(m)")

@@ -33,7 +33,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     span = (F.max(us).over(by_user) - F.min(us).over(by_user)) / F.lit(1e6)
     number = F.row_number().over(by_user.orderBy("ts", "event_id"))
-    return e.select(F.col("user_id").alias("video_id"), F.format_string("frame_%06d.jpg", number).alias("file"), span.alias("duration"))
+    return e.select(F.col("user_id").alias("video_id"), F.format_string("frame_%06d.jpg", number).alias("file"), span.alias("duration"), "event_type")
 
 
 def qa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,9 @@ def sql_escape(x: str) -> str:
 
 DOCUMENT_LINES = f"""dlines AS (SELECT doc_id AS video_id, unnest({sql_lines('text')}) AS text, generate_subscripts({sql_lines('text')}, 1) - 1 AS idx FROM documents)"""
 FRAMES = """fr AS (SELECT user_id AS video_id, (max(epoch_us(ts)) OVER (PARTITION BY user_id) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS duration, count(*) OVER (PARTITION BY user_id) AS n,
- row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events), spaced AS (SELECT *, round_even(idx * (duration / n) * 1000, 0) / 1000 AS t FROM fr)"""
+ row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events), raw AS (SELECT *, idx * (duration / n) AS x FROM fr),
+ split AS (SELECT *, x * 134217729.0e0 - (x * 134217729.0e0 - x) AS h FROM raw), err AS (SELECT * EXCLUDE (h), x * 1000e0 AS p, (h * 1000e0 - x * 1000e0) + (x - h) * 1000e0 AS e FROM split),
+ spaced AS (SELECT * EXCLUDE (x, p, e), CASE WHEN p - floor(p) = 0.5 AND e <> 0 THEN floor(p) + (e > 0)::INT ELSE round_even(p, 0) END / 1000e0 AS t FROM err)"""
 QA_TEXT = "qa AS (SELECT conv_id AS video_id, turn, CASE role WHEN 'user' THEN 'Q: ' || text WHEN 'assistant' THEN 'A: ' || text ELSE text END AS t FROM conversations)"
 QA_LINES = f"""{QA_TEXT}, ql AS (SELECT video_id, turn * 1000000 + generate_subscripts({sql_lines('t')}, 1) - 1 AS n, unnest({sql_lines('t')}) AS line FROM qa)"""
 HOSTS = "hosts AS (SELECT p_partkey AS host, p_size::DOUBLE AS ram, CASE WHEN p_partkey % 5 = 0 THEN (p_partkey % 17)::DOUBLE END AS vram, p_partkey % 3 = 0 AS apple FROM part)"

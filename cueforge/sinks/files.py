@@ -1,9 +1,16 @@
 """Texts of subtitle files and card files, and their writers."""
 
+import os
+import uuid
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueforge.functions import text as X
+from cueforge.operators.render import BACK, CARD_STYLE, FRONT
 from cueforge.operators.segments import joined, numbered
 
 
@@ -41,6 +48,55 @@ def write_cards(cards: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", lineSep="\r\n")
 
 
+def write_files(documents: DataFrame, folder: str, names: dict[str, str]) -> int:
+    """For each row of documents(video_id, ...) a folder under `folder`, which all executors share, with a file for each column in names (column -> file name). A file appears whole or not at all, so a task may be run again. Gives the number of files."""
+    columns = list(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                own = os.path.join(folder, quote(str(row.video_id), safe=" "))
+                os.makedirs(own, exist_ok=True)
+                for c in columns:
+                    part = os.path.join(own, f".{names[c]}.{uuid.uuid4().hex}")
+                    with open(part, "w", encoding="utf-8", newline="") as f:
+                        f.write(getattr(row, c) or "")
+                    os.replace(part, os.path.join(own, names[c]))
+            yield pd.DataFrame({"n": [len(batch) * len(columns)]})
+
+    return documents.select("video_id", *columns).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def cards_csv(cards: DataFrame, videos: DataFrame) -> DataFrame:
+    """(video_id, document): a card file a video, with its header even where there is no card; fields are quoted as needed."""
+    quoted = lambda c: F.when(F.col(c).rlike("[\",\r\n]"), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
+    names = ("question", "answer", "tags", "timestamp", "source")
+    line = F.concat(F.concat_ws(",", *map(quoted, names)), F.lit("\r\n"))
+    rows = joined(cards.withColumn("line", line), "video_id", "ord", "line", "", "rows")
+    return videos.select("video_id").join(rows, "video_id", "left").select("video_id", F.concat(F.lit(",".join(names) + "\r\n"), F.coalesce("rows", F.lit(""))).alias("document"))
+
+
+def write_deck(notes: DataFrame, path: str, deck: str, packager: Callable[[str, str, Iterator], int] | None = None) -> int:
+    """One deck's notes as a package, put together on the driver row by row; gives their number. packager(path, deck, rows) stands for the library."""
+    rows = notes.orderBy("guid").toLocalIterator()
+    return (packager or _library_package)(path, deck, rows)
+
+
+def _library_package(path: str, deck: str, rows: Iterator) -> int:
+    import genanki  # where it is not installed, this is the error that callers see
+
+    first, n, model = None, 0, None
+    for n, row in enumerate(rows, 1):
+        if first is None:
+            first = genanki.Deck(row.deck_id, deck)
+            fields = [{"name": f} for f in ("Question", "Answer", "Tags", "Timestamp", "Source")]
+            model = genanki.Model(row.model_id, "Knowledge card", fields=fields, templates=[{"name": "Card", "qfmt": FRONT, "afmt": BACK}], css=CARD_STYLE)
+        first.add_note(genanki.Note(model=model, fields=list(row.fields), guid=row.guid))
+    if first is not None:
+        genanki.Package(first).write_to_file(path)
+    return n
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
     """Documents as a table, a row a video."""
     documents.write.mode("overwrite").parquet(path)

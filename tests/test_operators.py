@@ -1,12 +1,18 @@
 """Traps of text, rounding and order, and small goldens."""
 
+import http.server
+import json
+import threading
+from collections import defaultdict
+
 import pytest
 from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cueforge import cli
 from cueforge.functions import text as X
-from cueforge.operators import analysis, cards, profiles, render, segments
+from cueforge.operators import analysis, captions, cards, hosts, profiles, render, segments
 from cueforge.sinks import files
 from cueforge.sources import media, subtitles
 from cueforge.streaming import drop_folder
@@ -106,12 +112,190 @@ def test_media(spark):
     assert "fps=3" in " ".join(media.frames_command("v", "o", 2.0, 3)) and "fps=1/2.0" in media.frames_command("v", "o", 2.0, None)
 
 
+def media_tool():
+    """Stand-in of the media tools: three frames, or a sound file, where they would be written."""
+
+    def tool(command):
+        if command[0] == "ffprobe":
+            return '{"format": {"duration": "6.0"}}'
+        for name in [command[-1] % i for i in (1, 2, 3)] if "%06d" in command[-1] else [command[-1]]:
+            with open(name, "wb") as f:
+                f.write(b"x" * len(name.rsplit("/", 1)[1]))
+        return ""
+
+    return tool
+
+
+def test_frames_to_captions(spark, tmp_path):
+    videos = spark.createDataFrame([("a b", "v.mp4")], "video_id string, path string")
+    for _ in range(2):  # a second try leaves no frame of the first
+        spaced = segments.even_spacing(media.extracted_frames(videos, str(tmp_path / "f"), runner=media_tool()))
+        assert [r.t for r in spaced.orderBy("idx").collect()] == [0.0, 2.0, 4.0]
+    document = json.loads(media.manifests(spaced, videos, 2.0, None).first().document)
+    assert (document["video"], document["interval"], document["fps"], document["count"]) == ("v.mp4", 2.0, None, 3) and [f["t"] for f in document["frames"]] == [0.0, 2.0, 4.0]
+    pictures = spaced.join(media.images(spark, str(tmp_path / "f" / "*" / "*.jpg")), "file")
+    found = captions.captioned(pictures, captions.SizeDescriber, 2.0).orderBy("idx").collect()
+    assert [(r.start, r.end, r.text) for r in found] == [(0.0, 2.0, "16 bytes"), (2.0, 4.0, "16 bytes"), (4.0, 6.0, "16 bytes")]
+    none = media.manifests(spaced.filter("false"), videos, 2.0, 1.0).first().document
+    assert json.loads(none) == {"video": "v.mp4", "interval": 2.0, "fps": 1.0, "count": 0, "frames": []}
+
+
+def test_speech(spark, tmp_path):
+    class Speech:
+        def transcribe(self, path, language):
+            cues = [(0.0005, 1.0015, " a "), (2.0, 2.9996, "b")] if path.endswith("audio_16k.wav") else []
+            return (captions.Spoken(*c) for c in cues), (language, 0.5, 3.0)
+
+    videos = spark.createDataFrame([(7, "v.mp4")], "video_id long, path string")
+    sounds = media.extracted_audio(videos, str(tmp_path), media_tool())
+    rows = captions.transcribed(sounds, Speech, "en").orderBy("idx").collect()
+    assert [tuple(r)[:5] for r in rows] == [(7, 0, round(0.0005, 3), round(1.0015, 3), "a"), (7, 1, 2.0, 3.0, "b")] and rows[0].language == "en"
+    assert captions.transcribed(sounds.withColumn("path", F.lit("silent")), Speech).count() == 0
+
+
+def test_thousandths(spark):
+    values = [k / 2000 for k in range(1, 4001, 2)] + [0.0, 1e-4, 2.0005, 1e6 + 0.0015, 123456.7895]
+    assert column(spark, values, X.thousandth, "double") == [round(v, 3) for v in values]
+
+
+@pytest.fixture
+def server():
+    asked = []
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def reply(self, value):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(value).encode())
+
+        def do_GET(self):  # noqa: N802
+            self.reply({"models": []})
+
+        def do_POST(self):  # noqa: N802
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.reply({"response": f" answer {len(asked[-1]['prompt'])} "})
+
+        def log_message(self, *_):
+            pass
+
+    own = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=own.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{own.server_port}", asked
+    own.shutdown()
+
+
+def test_http_clients(server):
+    host, asked = server
+    client = analysis.HttpClient(host, "m")
+    assert client.reachable() and client.ask("abc") == " answer 3 "
+    assert captions.HttpDescriber(host, "v").describe(b"img").startswith(" answer")
+    assert asked[0] == {"model": "m", "stream": False, "think": False, "prompt": "abc", "options": {"temperature": 0.3}}
+    assert asked[1]["images"] == ["aW1n"] and asked[1]["options"] == {"temperature": 0.2, "num_predict": 160}
+    gone = analysis.HttpClient("http://127.0.0.1:9", "m", 1)
+    assert not gone.reachable(1) and gone.ask("x") is None
+    with pytest.raises(OSError):
+        captions.HttpDescriber("http://127.0.0.1:9", "m", 1).describe(b"")
+
+
+def test_answers_are_asked_once(spark, tmp_path, server):
+    host, asked = server
+    raw = spark.createDataFrame([(1, "[00:00] a"), (2, "[00:00] a"), (3, "[00:00] b")], "video_id long, raw_text string")
+    client = lambda: analysis.HttpClient(host, "m")
+    folder = str(tmp_path / "answers")
+    out = analysis.analyse(raw, "en", "csv", client, "m", folder)
+    assert out.filter("qa like 'answer%'").count() == 3 and out.count() == 3 and len(asked) == 2
+    analysis.analyse(raw, "en", "all", client, "m", folder).collect()
+    assert len(asked) == 10
+    assert analysis.analyse(raw, "en", "all", client, "other", folder).count() == 3 and len(asked) == 20
+    away = analysis.analyse(raw, "en", "all", lambda: analysis.HttpClient("http://127.0.0.1:9", "m"), "m", folder)
+    assert away.first().qa == analysis.FALLBACK_QA and len(asked) == 20
+
+
+def test_forms_of_answers(spark):
+    forms = ['[{"q": "", "question": " b ", "A": "c"}, {"Q": "d"}, {"a": "no question"}, "Q: e\\nA: f\\nQ: g", 5, null]', "Q: plain\nA: x", '{"q": "an object"}', "", None, "[]"]
+    rows = spark.createDataFrame(list(enumerate(forms)), "video_id int, qa string")
+    got = defaultdict(list)
+    for r in cards.qa_cards(rows).orderBy("video_id", "ord").collect():
+        got[r.video_id].append((r.ord, r.question, r.answer))
+    assert got == {0: [(0, "b", "c"), (1, "d", ""), (2, "e", "f"), (3, "g", "")], 1: [(0, "plain", "x")]}
+    assert column(spark, ['["a", {"q": "b", "answer": "c"}]', '{"z": "1", "a": 2}', "[]", "{}", "", None, "plain [x]"], analysis.as_markdown) == ["- a\n- b: c", "- **z**: 1\n- **a**: 2", "(无)", "(无)", "(无)", "(无)", "plain [x]"]
+    assert column(spark, ['```json\n{"a": {"b": 1}} x```', 'x {no} {"c": 2}', '{"}": 1}', "none", None], analysis.first_object) == ['{"a": {"b": 1}}', '{"c": 2}', None, None, None]
+
+
+def test_pages(spark, tmp_path):
+    """A document's page, files of videos, and a source that is escaped twice in the page."""
+    own = spark.createDataFrame([("a/b", "x_<y>.srt", 6.0, 3, *["- [00:02] s"] * 5), ("c", "n.json", 0.0, 0, *[""] * 5)], "video_id string, source string, duration double, n_segments long, summary string, timeline string, key_points string, qa string, glossary string")
+    pages = render.pages(render.filled(own, "m", "2024-01-01"))
+    rows = {r.video_id: r for r in pages.collect()}
+    assert rows["a/b"].title == "x <y>" and "`x_&lt;y&gt;.srt`" in rows["a/b"].markdown
+    lines = rows["a/b"].html.split("\n")
+    assert lines[0].startswith("<!doctype html><html lang='zh'>") and lines[1] == "<title>x &lt;y&gt;</title>" and lines[-1] == "</body></html>"
+    assert "<h1>x <y></h1>".replace("<y>", "&lt;y&gt;") in lines and "<p>&gt; 来源: `x_&amp;lt;y&amp;gt;.srt` | 时长: 00:06 | 生成日期: 2024-01-01</p>" in lines
+    assert "<li>[<a class='ts' href='#t-00:02'>00:02</a>] s</li>" in lines and "<p>(无)</p>" in rows["c"].html
+    anchored = render.pages(render.filled(own, "m", "d"), anchors=True).filter("video_id = 'a/b'").first().html
+    assert "<li id='t-00:02'>" in anchored
+    assert files.write_files(pages, str(tmp_path), {"markdown": "knowledge.md", "html": "knowledge.html"}) == 4
+    assert (tmp_path / "a%2Fb" / "knowledge.html").read_text() == rows["a/b"].html and sorted(p.name for p in (tmp_path / "c").iterdir()) == ["knowledge.html", "knowledge.md"]
+    made = spark.createDataFrame([("c", 0, 'q "1"', "a,b", "", "", "s"), ("c", 1, "q2", "", "", "", "s")], "video_id string, ord long, question string, answer string, tags string, timestamp string, source string")
+    texts = {r.video_id: r.document for r in files.cards_csv(made, own).collect()}
+    assert texts == {"a/b": "question,answer,tags,timestamp,source\r\n", "c": 'question,answer,tags,timestamp,source\r\n"q ""1""","a,b",,,s\r\nq2,,,,s\r\n'}
+
+
+def test_deck_package(spark, tmp_path):
+    rows = spark.createDataFrame([("q", "a", "", "", "s", 0)], "question string, answer string, tags string, timestamp string, source string, ord long")
+    seen = []
+    assert files.write_deck(cards.notes(rows, "d"), "p", "d", lambda path, deck, notes: seen.extend(notes) or len(seen)) == 1
+    assert seen[0].fields == ["q", "a", "", "", "s"] and "{{Question}}" in render.FRONT and "{{Answer}}" in render.BACK
+
+
+def test_hosts(spark):
+    def mac(command):
+        return {"sysctl": str(7 * 2**30), "system_profiler": "  Hardware:\n      Chip: Apple M2 Pro\n"}[command[0]] if command[0] != "nvidia-smi" else "x"
+
+    def linux(command):
+        if command[0] == "cat":
+            return "MemTotal:       16461000 kB\nMemFree: 1 kB\n"
+        if command[0] == "nvidia-smi":
+            return "12288\n8192\n"
+        raise OSError
+
+    def nothing(command):
+        raise OSError
+
+    assert hosts.facts(mac, "Darwin", "arm64") == ("darwin", "arm64", 7.0, "Apple M2 Pro", None)
+    assert hosts.facts(linux, "Linux", "x86_64") == ("linux", "x86_64", 16461000 / 2**20, None, 12.0)
+    assert hosts.facts(nothing, "Plan9", "mips") == ("plan9", "mips", 0.0, None, None)
+    rows = hosts.described(spark.createDataFrame([hosts.facts(mac, "Darwin", "arm64"), hosts.facts(linux, "Linux", "x86_64"), hosts.facts(nothing, "Linux", "x")], hosts.FACTS)).collect()
+    assert [(r.profile, r.ram_gb, r.nvidia_vram_gb, r.asr_model) for r in rows] == [("low-mac", 7.0, None, "small"), ("high-gpu", 15.7, 12.0, "large-v3"), ("tiny", 0.0, None, "tiny")]
+    assert hosts.field(rows[0], "compute_type") == "int8" and "Apple M2 Pro" in hosts.as_text(rows[0]) and json.loads(hosts.as_json(rows[1]))["device"] == "cuda"
+    assert hosts.default(lambda: rows[0], "device", "x") == "cpu" and hosts.default(lambda: 1 / 0, "device", "x") == "x"
+    with pytest.raises(hosts.UnknownField):
+        hosts.field(rows[0], "colour")
+    assert hosts.detect(spark, linux).os
+
+
+def test_commands(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "my_talk.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nhi\n")
+    (tmp_path / "in" / "none.json").write_text("[]")
+    out = tmp_path / "out"
+    assert cli.main(["knowledge", "--subtitles", str(tmp_path / "in"), "--out-dir", str(out), "--model", "", "--date", "2024-01-01"], spark) == 0
+    page = (out / "my_talk.srt" / "knowledge.html").read_text()
+    assert "<title>my talk</title>" in page and "segments=1 model=none" in page and (out / "none.json" / "cards.csv").read_bytes() == b"question,answer,tags,timestamp,source\r\n"
+    assert cli.main(["knowledge", "--subtitles", str(tmp_path / "no"), "--out-dir", "x"], spark) == 2
+    assert cli.main(["frames", "--video", str(tmp_path / "no"), "--out-dir", "x"], spark) == 2
+    assert cli.main(["profile", "--key", "colour"], spark) == 2 and cli.main(["profile", "--key", "os"], spark) == 0
+    (tmp_path / "c.csv").write_text("question,answer,tags,timestamp,source\nq,a,,,s\n")
+    assert cli.main(["deck", "--csv", str(tmp_path / "c.csv"), "--out", str(tmp_path / "d")], spark) == 3
+    assert "not installed: genanki" in capsys.readouterr().err
+
+
 def test_drop_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nhi\n")
     query = drop_folder.watch_srt(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"))
     assert query.awaitTermination(60)
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a.srt", "[00:01] hi")]
+    assert [tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a.srt", "[00:01] hi")]
 
 
 def test_sql_functions(spark):
