@@ -15,10 +15,13 @@ class Remembered(dict):
 
     def __missing__(self, word):
         found = self.made(word)
+        self.keep(word, found)
+        return found
+
+    def keep(self, word, found) -> None:
         if len(word) <= _LONG:
             if self.used > self.most:
                 self.clear()
                 self.used = 0
             self[word] = found
             self.used += 180 + len(word) + (len(found) if isinstance(found, bytes) else 0)  # a dict's place and the heads of two objects
-        return found
