@@ -23,7 +23,7 @@ _MARK = "▁"
 class Counter(Remembered):
     """Tokens of a word (white space stands as one mark before it)."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], bytewise: bool = False, most: int = 32 << 20):
+    def __init__(self, vocabulary: list[tuple[str, float]], bytewise: bool = False, most: int = 72 << 20):
         import ahocorasick
 
         super().__init__(most)
