@@ -116,7 +116,7 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--" + name.replace("_", "-"), **given)
 
     need, server = {"required": True}, {"default": os.environ.get("OLLAMA_HOST", HOST)}
-    command(knowledge, subtitles=need, out_dir=need, template={}, format={"choices": list(analysis.NEEDED), "default": "all"}, model={"default": os.environ.get("V2K_TEXT_MODEL", "openbmb/minicpm5:Q4_K_M")}, title={}, lang={"choices": list(analysis.INSTRUCTIONS), "default": "zh"}, host=server, date={})
+    command(knowledge, subtitles=need, out_dir=need, template={}, format={"choices": list(analysis.NEEDED), "default": "all"}, model={"default": os.environ.get("CUEFORGE_TEXT_MODEL", "openbmb/minicpm5:Q4_K_M")}, title={}, lang={"choices": list(analysis.INSTRUCTIONS), "default": "zh"}, host=server, date={})
     command(frames, video=need, out_dir=need, interval={"type": float, "default": 2.0}, fps={"type": float})
     command(caption, video=need, out_dir=need, model={"default": "openbmb/minicpm-v4.6:latest"}, interval={"type": float, "default": 2.0}, host=server)
     command(transcribe, video=need, out_dir=need, model={}, language={"default": "zh"}, device={}, compute_type={})
