@@ -8,8 +8,7 @@ At the last level the least doc_id of each window decides who keeps it.
 
 Before a shuffle every batch settles what repeats inside it and sends one row a window, so a passage in a third of all
 documents sends a row of 24 bytes a batch. Candidates are windows of equal 64-bit hashes; at the last level, which decides
-what is removed, windows are compared by 128 bits of two independent hashes of their words (among 10 ** 12 windows two
-different ones are taken for equal with a chance of 10 ** -14).
+what is removed, windows are compared by BLAKE2b digests (128 bits) of their words themselves.
 """
 
 import hashlib
@@ -21,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, staged
-from .words import Block, blocks, lists, mix, whole_groups
+from .words import Block, blocks, lists, whole_groups
 
 _LAST = np.iinfo(np.int64).max
-_SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 def _least(h: np.ndarray, span: int) -> np.ndarray:
@@ -150,8 +148,11 @@ def _next_level(batches: Iterator[pa.RecordBatch], size: int, start: int, last:
             else:
                 yes = _repeated(batch, "known", block, h, row)
                 ok[: len(h) - size] &= yes[: len(h) - size] & yes[size:]
-            second = block.windows(mix(words + _SECOND), 2 * size)[0] if last else longer
-            parts.append((longer[ok], second[ok], row[ok] + block.lo))
+            if last:
+                digest = block.digests(np.flatnonzero(ok), 2 * size)
+                parts.append((digest[:, 0], digest[:, 1], row[ok] + block.lo))
+            else:
+                parts.append((longer[ok], longer[ok], row[ok] + block.lo))
         h, second, row = _gather(parts, 3)
         ask_h, ask_second, ask_row, yes_h, yes_row = _settle(h, second, row, _ids(batch), last)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("mark"), batch.column("text"), _as_lists(ask_h, ask_row, n), _as_lists(ask_second, ask_row, n), _as_lists(yes_h, yes_row, n)], ["doc_id", "mark", "text", "ask", "second", "known"])
@@ -161,10 +162,10 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
     for batch in batches:
         removed, kept, sha = [], [], []
         for block in blocks(batch.column("text")):
-            words, row = block.hashes(), block.row_of_word()
-            h, ok = block.windows(words, window)
+            row = block.row_of_word()
+            ok = np.repeat(block.first[1:], block.counts) - np.arange(len(row)) >= window
             hit = ok.copy()
-            hit[ok] = _repeated(batch, "known", block, h[ok], row[ok])
+            hit[ok] = _repeated(batch, "known", block, block.digests(np.flatnonzero(ok), window)[:, 0], row[ok])
             seen = np.cumsum(hit)
             seen[window:] -= seen[:-window].copy()
             gone = seen > 0

@@ -4,18 +4,20 @@ A block is a run of rows of one Arrow column. Words are what `[^\\x20\\x09-\\x0D
 Null texts have no words.
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE = np.random.Generator(np.random.PCG64(20240601)).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_SEED, _ALL = np.uint64(0x5851F42D4C957F2D), np.uint64(2**64 - 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -68,29 +70,70 @@ class Block:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.hi - self.lo), self.counts)
 
+    def numbers(self, data: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array]:
+        """The number of each word among the distinct ones, told apart by their bytes, and these."""
+        data = self.data if data is None else data
+        offs = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum(self.ends - self.starts, out=offs[1:])
+        letters = np.ascontiguousarray(data[~SPACE[data]])
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offs), pa.py_buffer(letters)]).dictionary_encode()
+        return words.indices.to_numpy(), words.dictionary
+
     def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+        """A 64-bit hash of each word's bytes: eight at a time, mixed after each step; words of over 32 bytes by XXH3."""
         data = self.data if data is None else data
-        p, inverse = powers(len(data) + 1, 0)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * p[:-1], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        size = self.ends - self.starts
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+        out = mix(size.astype(np.uint64) + _SEED)
+        left = np.flatnonzero(size <= 32)
+        for at in (0, 8, 16, 24):
+            left = left[size[left] > at]
+            if not len(left):
+                break
+            rest = np.minimum(size[left] - at, 8).astype(np.uint64)
+            letters = np.ascontiguousarray(eight[self.starts[left] + at]).view("<u8").ravel() & (_ALL >> (np.uint64(64) - np.uint64(8) * rest))
+            out[left] = mix(mix(out[left] ^ letters) + _SEED)
+        for i in np.flatnonzero(size > 32).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(data[self.starts[i] : self.ends[i]].tobytes(), 7)
+        return out
 
     def windows(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of the `size` words from each word on, and which of these windows lie in one text."""
+        """A hash of the `size` words from each word on, and which of these windows lie in one text.
+
+        Short windows are mixed word by word. Longer ones are sums in powers of a base, which some orders of two words
+        defeat: they tell candidates only, and what they call equal is compared by other means.
+        """
         n = len(h)
         ok = np.zeros(n, bool)
         if n < size:
             return np.zeros(n, np.uint64), ok
-        p, inverse = powers(n + 1, 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * p[:-1], out=sums[1:])
-        out = np.zeros(n, np.uint64)
         m = n - size + 1
-        out[:m] = mix((sums[size:] - sums[:m]) * inverse[:m])
+        out = np.zeros(n, np.uint64)
+        if size <= 8:
+            out[:m] = h[:m]
+            for k in range(1, size):
+                out[:m] = mix(out[:m] * np.uint64(_BASE[1]) + h[k : k + m])
+        else:
+            p, inverse = powers(n + 1, 1)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(h * p[:-1], out=sums[1:])
+            out[:m] = mix((sums[size:] - sums[:m]) * inverse[:m])
         ok[:m] = np.repeat(self.first[1:], self.counts)[:m] - np.arange(m) >= size
         return out, ok
 
+    def digests(self, at: np.ndarray, size: int) -> np.ndarray:
+        """BLAKE2b (128 bits, as two numbers) of the `size` words from each word of `at` on, joined by one space."""
+        length = self.ends - self.starts
+        begin = np.zeros(len(length) + 1, np.int64)
+        np.cumsum(length + 1, out=begin[1:])
+        joined = np.full(int(begin[-1]), 32, np.uint8)
+        joined[np.arange(int(length.sum())) + np.repeat(np.arange(len(length)), length)] = self.data[~SPACE[self.data]]
+        text, digest = memoryview(joined.tobytes()), hashlib.blake2b
+        found = [digest(text[a:b], digest_size=16).digest() for a, b in zip(begin[at].tolist(), (begin[at + size] - 1).tolist(), strict=True)]
+        return np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+
     def word_bytes(self, row: int) -> list[bytes]:
         return self.data[self.offs[row] : self.offs[row + 1]].tobytes().split()
 

@@ -69,6 +69,27 @@ def test_substring_dedup(docs, none):
         substring.remove_repeats(docs, window=50, start=20)
 
 
+def test_words_of_equal_sums_are_not_equal(spark):
+    """Two long words in letters of Thue-Morse order and its complement, which sums in powers of any odd base modulo 2**64 take for one; also as windows of words in these orders."""
+    order = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[x ^ k] for x in order) for k in (0, 1))
+    shared = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, shared + " " + one), (2, shared + " " + two), (3, " ".join("ab"[x] for x in order)), (4, " ".join("ba"[x] for x in order))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for d, t in rows:
+        w = t.split()
+        windows = {tuple(w[i : i + 50]) for i in range(len(w) - 49)}
+        earlier = {tuple(v[i : i + 50]) for e, u in rows for v in [u.split()] if e < d for i in range(len(v) - 49)}
+        gone = {j for i in range(len(w) - 49) if tuple(w[i : i + 50]) in earlier for j in range(i, i + 50)}
+        want[d] = (len(w), len(gone))
+        assert d != 2 or windows.isdisjoint(earlier)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(docs)[0].collect()}
+    assert got == want and got[2] == (50, 0)
+    pair = spark.createDataFrame([(1, one + " x"), (2, two + " x")], "doc_id long, text string")
+    assert {r.component_id for r in simhash.near_duplicates(pair).collect()} == {1, 2}
+
+
 def root_of(n, pairs):
     up = list(range(n))
 
