@@ -1,11 +1,11 @@
-"""The queries op1 to op10 over whole tables, with production parameters."""
+"""The queries op1 to op13 over whole tables, with production parameters."""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, mixing, packing, posting_lists, quality, sharding, simhash, substring, token_counts, toxicity
+from . import conversations, cws, hard_negatives, mixing, packing, posting_lists, quality, rules, sharding, simhash, substring, token_counts, toxicity
 
 #: Margins of the mix: present shares to these powers; and the share of tokens that stays.
 TEMPERATURES = {"source": 0.7, "lang": 0.8, "topic": 0.9}
@@ -65,6 +65,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audited(_table(spark, sf_dir, "conversations"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.relabelled(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_simhash_near_dedup,
         op10_best_fit_packing,
+        op11_conversation_repair,
+        op12_hard_negatives,
+        op13_quality_rules,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle_sql(TEMPERATURES, KEEP)}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle_sql(TEMPERATURES, KEEP), "op12_hard_negatives": hard_negatives.ORACLE_SQL}
