@@ -8,8 +8,9 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cueforge.operators import analysis, captions, cards, hosts, profiles, render, segments
+from cueforge.operators import analysis, captions, cards, decks, hosts, metrics, profiles, render, segments
 from cueforge.sinks import files
+from cueforge.sinks.video_files import write_files
 from cueforge.sources import media, subtitles
 
 HOST = "http://localhost:11434"
@@ -37,12 +38,13 @@ def knowledge(spark: SparkSession, o) -> None:
     """Documents, pages and cards of every subtitle file under a path."""
     _present(o.subtitles, "subtitles")
     template = subtitles.read_template(_present(o.template, "template")) if o.template else render.TEMPLATE
-    rows = subtitles.read_subtitles(spark, o.subtitles)
+    counted = metrics.RunMetrics()
+    rows = subtitles.read_subtitles(spark, o.subtitles, o.vtt, counted)
     files_ = spark.read.format("binaryFile").load(o.subtitles).select(F.element_at(F.split("path", "/"), -1).alias("video_id"))
     own = files_.join(segments.summaries(rows), "video_id", "left")
     own = own.withColumns({"raw_text": F.coalesce("raw_text", F.lit("")), "duration": F.coalesce("duration", F.lit(0.0)), "n_segments": F.coalesce("n_segments", F.lit(0)), "source": F.col("video_id"), "title": F.lit(o.title).cast("string")})
     client = (lambda: analysis.HttpClient(o.host, o.model)) if o.model else None
-    fields = analysis.analyse(own, o.lang, o.format, client, o.model, os.path.join(o.out_dir, ".answers"))
+    fields = analysis.analyse(own, o.lang, o.format, client, o.model, os.path.join(o.out_dir, ".answers"), counted)
     names = {}
     documents = render.filled(own.join(fields, "video_id"), o.model or "none", o.date or datetime.date.today().isoformat(), template)
     if o.format != "csv":
@@ -50,30 +52,36 @@ def knowledge(spark: SparkSession, o) -> None:
     if o.format in ("html", "all"):
         documents, names["html"] = render.pages(documents), "knowledge.html"
     if o.format in ("csv", "all"):
-        made = cards.card_rows(cards.qa_cards(fields.select("video_id", "qa")), own.select("video_id", "source"))
+        found = cards.qa_cards(fields.select("video_id", "qa"))
+        made = cards.card_rows(cards.timed(found, rows) if o.card_times else found, own.select("video_id", "source"))
         documents, names["document"] = documents.join(files.cards_csv(made, own), "video_id"), "cards.csv"
-    say(f"[ok] {files.write_files(documents, o.out_dir, names)} files -> {o.out_dir}")
+    written = write_files(documents, o.out_dir, names)
+    say(f"[ok] {written} files -> {o.out_dir}; " + ", ".join(f"{k}={n}" for k, n in counted.told().items()))
 
 
 def frames(spark: SparkSession, o) -> None:
     """Frames of a video and their manifest."""
     videos = _videos(spark, _present(o.video, "video"))
     spaced = segments.even_spacing(media.extracted_frames(videos, o.out_dir, o.interval, o.fps))
-    files.write_files(media.manifests(spaced, videos, o.interval, o.fps), o.out_dir, {"document": "frames.json"})
+    write_files(media.manifests(spaced, videos, o.interval, o.fps), o.out_dir, {"document": "frames.json"})
 
 
 def caption(spark: SparkSession, o) -> None:
     """Captions of a video's frames by a vision model."""
     videos = _videos(spark, _present(o.video, "video"))
-    if not captions.HttpDescriber(o.host, o.model).reachable():
+    describer, host, model = captions.HttpDescriber, o.host, o.model
+    if not describer(host, model).reachable():
         raise Missing(f"no answer from {o.host}")
-    spaced = segments.even_spacing(media.extracted_frames(videos, os.path.join(o.out_dir, "frames"), o.interval))
+    frames_ = media.extracted_frames(videos, os.path.join(o.out_dir, "frames"), o.interval, o.fps)
+    frames_.write.mode("overwrite").parquet(os.path.join(o.out_dir, ".frames"))  # videos are taken apart once
+    spaced = segments.even_spacing(spark.read.schema(frames_.schema).parquet(os.path.join(o.out_dir, ".frames")))
     pictures = spaced.join(media.images(spark, os.path.join(o.out_dir, "frames", "*", "*.jpg")), "file")
-    found = captions.captioned(pictures, lambda: captions.HttpDescriber(o.host, o.model), o.interval)
+    found = captions.captioned(pictures, lambda: describer(host, model), o.interval)
     found.write.mode("overwrite").parquet(os.path.join(o.out_dir, ".captions"))  # the model is asked once
     found = spark.read.parquet(os.path.join(o.out_dir, ".captions"))
-    both = files.srt(found).join(files.captions_json(found).withColumnRenamed("document", "json"), "video_id")
-    files.write_files(both, o.out_dir, {"document": "captions.srt", "json": "captions.json"})
+    texts = files.srt(found, videos).join(files.captions_json(found, videos).withColumnRenamed("document", "json"), "video_id")
+    texts = texts.join(media.manifests(spaced, videos, o.interval, o.fps).withColumnRenamed("document", "frames"), "video_id")
+    say(f"[ok] {write_files(texts, o.out_dir, {'document': 'captions.srt', 'json': 'captions.json', 'frames': 'frames.json'})} files -> {o.out_dir}")
 
 
 def transcribe(spark: SparkSession, o) -> None:
@@ -85,11 +93,13 @@ def transcribe(spark: SparkSession, o) -> None:
     if heavy:
         say(f"[warn] model '{model}' may need more memory than {own.ram_gb} GB; '{own.asr_model}' suits profile {own.profile}")
     sounds = media.extracted_audio(videos, os.path.join(o.out_dir, "audio"))
-    found = captions.transcribed(sounds, lambda: captions.WhisperRecognizer(model, device, compute), o.language)
+    recognizer = captions.WhisperRecognizer
+    found = captions.transcribed(sounds, lambda: recognizer(model, device, compute), o.language)
     found.write.mode("overwrite").parquet(os.path.join(o.out_dir, ".subtitles"))
     found = spark.read.parquet(os.path.join(o.out_dir, ".subtitles"))
-    texts = files.srt(found).withColumnRenamed("document", "srt").join(files.vtt(found).withColumnRenamed("document", "vtt"), "video_id").join(files.subtitles_json(found).withColumnRenamed("document", "json"), "video_id")
-    files.write_files(texts, o.out_dir, {"srt": "subtitles.srt", "vtt": "subtitles.vtt", "json": "subtitles.json"})
+    cues, about = captions.cues_of(found), captions.files_of(found)
+    texts = files.srt(cues, about).withColumnRenamed("document", "srt").join(files.vtt(cues, about).withColumnRenamed("document", "vtt"), "video_id").join(files.subtitles_json(cues, about).withColumnRenamed("document", "json"), "video_id")
+    say(f"[ok] {write_files(texts, o.out_dir, {'srt': 'subtitles.srt', 'vtt': 'subtitles.vtt', 'json': 'subtitles.json'})} files -> {o.out_dir}")
 
 
 def deck(spark: SparkSession, o) -> None:
@@ -99,6 +109,14 @@ def deck(spark: SparkSession, o) -> None:
     say(f"[ok] {n} notes -> {o.out}")
 
 
+def merge(spark: SparkSession, o) -> None:
+    """The notes of a card file, merged by question into a table of notes."""
+    rows = subtitles.read_cards(spark, _present(o.csv, "csv")).coalesce(1).withColumn("ord", F.monotonically_increasing_id())
+    table = decks.NoteTable(spark, o.table)
+    version = table.merge(cards.notes(rows, o.deck, by_position=False, keep=["ord"]))
+    say(f"[ok] version {version} of {o.table}: {table.read().count()} notes")
+
+
 def profile(spark: SparkSession, o) -> None:
     """The profile of this machine."""
     own = hosts.detect(spark)
@@ -116,11 +134,12 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--" + name.replace("_", "-"), **given)
 
     need, server = {"required": True}, {"default": os.environ.get("OLLAMA_HOST", HOST)}
-    command(knowledge, subtitles=need, out_dir=need, template={}, format={"choices": list(analysis.NEEDED), "default": "all"}, model={"default": os.environ.get("CUEFORGE_TEXT_MODEL", "openbmb/minicpm5:Q4_K_M")}, title={}, lang={"choices": list(analysis.INSTRUCTIONS), "default": "zh"}, host=server, date={})
+    command(knowledge, subtitles=need, out_dir=need, template={}, format={"choices": list(analysis.NEEDED), "default": "all"}, model={"default": os.environ.get("CUEFORGE_TEXT_MODEL", "openbmb/minicpm5:Q4_K_M")}, title={}, lang={"choices": list(analysis.INSTRUCTIONS), "default": "zh"}, host=server, date={}, vtt={"action": "store_true"}, card_times={"action": "store_true"})
     command(frames, video=need, out_dir=need, interval={"type": float, "default": 2.0}, fps={"type": float})
-    command(caption, video=need, out_dir=need, model={"default": "openbmb/minicpm-v4.6:latest"}, interval={"type": float, "default": 2.0}, host=server)
+    command(caption, video=need, out_dir=need, model={"default": "openbmb/minicpm-v4.6:latest"}, interval={"type": float, "default": 2.0}, fps={"type": float}, host=server)
     command(transcribe, video=need, out_dir=need, model={}, language={"default": "zh"}, device={}, compute_type={})
     command(deck, csv=need, out=need, deck={"default": "视频知识卡"})
+    command(merge, csv=need, table=need, deck={"default": "视频知识卡"})
     command(profile, json={"action": "store_true"}, key={})
     return top
 

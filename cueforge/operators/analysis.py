@@ -1,9 +1,9 @@
 """Analysis of transcripts: prompts, inference clients, fallback, wide table."""
 
 import json
+import re
 import urllib.request
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 from typing import Protocol
 
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueforge.functions import text as X
+from cueforge.operators.metrics import RunMetrics, watched
 
 FIELDS = ("summary", "timeline", "key_points", "qa", "glossary")
 PROMPT_CHARACTERS = 8000
@@ -95,26 +96,29 @@ def infer(tasks: DataFrame, client: Callable[[], InferenceClient]) -> DataFrame:
 
 
 def answers(tasks: DataFrame, client: Callable[[], InferenceClient], model: str, folder: str) -> DataFrame:
-    """tasks(video_id, field, prompt) -> (video_id, field, response), kept in folder by model and prompt: what is there is not asked again, and what is used twice is asked once."""
+    """tasks(video_id, field, prompt) -> (video_id, field, response), kept in folder by model and prompt: what is there is not asked again, and what is used twice is asked once. A prompt without an answer has a null response; it is not kept, so the next run asks it again."""
     spark = tasks.sparkSession
     keyed = tasks.withColumn("key", F.sha2(F.concat_ws("\n", F.lit(model), "prompt"), 256))
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    kept = spark.read.schema("key string, response string")
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        new = keyed.join(spark.read.parquet(folder), "key", "left_anti")
+        new = keyed.join(kept.parquet(folder).filter("response is not null"), "key", "left_anti")
     else:
         new = keyed
     once = new.dropDuplicates(["key"]).select(F.col("key").alias("video_id"), "field", "prompt")
-    infer(once, client).select(F.col("video_id").alias("key"), "response").write.mode("append").parquet(folder)
-    known = spark.read.schema("key string, response string").parquet(folder).groupBy("key").agg(F.max("response").alias("response"))
-    return keyed.join(known, "key").select("video_id", "field", "response")
+    infer(once, client).filter("response is not null").select(F.col("video_id").alias("key"), "response").write.mode("append").parquet(folder)
+    known = kept.parquet(folder).groupBy("key").agg(F.max("response").alias("response"))
+    return keyed.join(known, "key", "left").select("video_id", "field", "response")
 
 
-def analyse(transcripts: DataFrame, lang: str, wanted: str, client: Callable[[], InferenceClient] | None, model: str, folder: str) -> DataFrame:
-    """transcripts(video_id, raw_text) -> (video_id, the five fields). Without a client, or where it says that its server can't be reached, no model is asked."""
+def analyse(transcripts: DataFrame, lang: str, wanted: str, client: Callable[[], InferenceClient] | None, model: str, folder: str, metrics: RunMetrics | None = None) -> DataFrame:
+    """transcripts(video_id, raw_text) -> (video_id, the five fields). Without a client, or where it says that its server can't be reached, no model is asked. metrics: counts answers_accepted, answers_refused and answers_missing."""
     one = client() if client else None
     if one is None or not getattr(one, "reachable", lambda: True)():
         return transcripts.select("video_id", *[c.alias(f) for f, c in fallback(F.col("raw_text")).items()])
-    return wide(transcripts, answers(fan_out(transcripts, lang, wanted), client, model, folder))
+    found = answers(fan_out(transcripts, lang, wanted), client, model, folder)
+    good, none = F.coalesce(F.length(X.strip(F.col("response"))) > 3, F.lit(False)), F.col("response").isNull()
+    return wide(transcripts, watched(metrics, found, answers_accepted=good, answers_refused=~good & ~none, answers_missing=none))
 
 
 def fallback(raw_text: Column) -> dict[str, Column]:
@@ -159,18 +163,23 @@ def as_markdown(value: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def first_object(texts: pd.Series) -> pd.Series:
-    """The first stretch from an opening brace to where as many are closed that is a JSON object; braces within strings count too."""
+    """The first stretch from an opening brace to where as many are closed that is a JSON object; braces within strings count too. Braces are paired in one pass."""
 
     def found(text: str | None) -> str | None:
-        for start in (i for i, c in enumerate(text or "") if c == "{"):
-            depth = accumulate((c == "{") - (c == "}") for c in text[start:])
-            end = next((i for i, d in enumerate(depth) if not d), None)
-            if end is not None:
-                try:
-                    json.loads(text[start : start + end + 1])
-                    return text[start : start + end + 1]
-                except ValueError:
-                    pass
+        open_, closed, opening = [], {}, re.compile(r'\{\s*["}]')
+        for hit in re.finditer("[{}]", text or ""):
+            if hit[0] == "{":
+                open_.append(hit.start())
+            elif open_:
+                closed[open_.pop()] = hit.end()
+        for start in sorted(closed):
+            if not opening.match(text, start):
+                continue
+            try:
+                json.loads(text[start : closed[start]])
+                return text[start : closed[start]]
+            except (ValueError, RecursionError):
+                pass
         return None
 
     return texts.map(found)

@@ -87,17 +87,28 @@ def projected(spoken: DataFrame) -> DataFrame:
 
 
 def transcribed(sounds: DataFrame, recognizer: Callable[[], Recognizer], language: str = "zh") -> DataFrame:
-    """sounds(video_id, path) -> segments with language, language_probability and duration of their file; one recognizer a task. A file without speech has no row."""
+    """sounds(video_id, path) -> for each file a row of language, language_probability and duration, with a null idx, and its segments; one recognizer a task. files_of and cues_of tell them apart. Write the result before it is used twice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = recognizer()
         for batch in batches:
             for video, path in zip(batch["video_id"], batch["path"], strict=True):
                 found, info = one.transcribe(path, language)
-                rows = [(video, i, float(s.start), float(s.end), s.text, *info) for i, s in enumerate(found)]
-                yield pd.DataFrame(rows, columns=["video_id", "idx", "start", "end", "text", "language", "language_probability", "duration"])
+                rows = [(video, i, float(s.start), float(s.end), s.text, None, None, None) for i, s in enumerate(found)]
+                frame = pd.DataFrame([(video, None, None, None, None, *info), *rows], columns=["video_id", "idx", "start", "end", "text", "language", "language_probability", "duration"])
+                yield frame.astype({"idx": "Int32"})
 
     kind = sounds.schema["video_id"].dataType.simpleString()
     spoken = sounds.select("video_id", "path").mapInPandas(run, f"video_id {kind}, idx int, start double, end double, text string, language string, language_probability double, duration double")
     about = ("language", "language_probability", "duration")
     return spoken.select("video_id", "idx", X.thousandth(F.col("start")).alias("start"), X.thousandth(F.col("end")).alias("end"), X.strip(F.col("text")).alias("text"), *about)
+
+
+def files_of(found: DataFrame) -> DataFrame:
+    """transcribed rows -> (video_id, language, language_probability, duration), a row a file, whether anything is said in it or not."""
+    return found.filter("idx is null").select("video_id", "language", "language_probability", "duration")
+
+
+def cues_of(found: DataFrame) -> DataFrame:
+    """transcribed rows -> segments."""
+    return found.filter("idx is not null").select("video_id", "idx", "start", "end", "text")

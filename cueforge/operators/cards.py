@@ -1,6 +1,6 @@
 """Question-and-answer cards and notes."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueforge.functions import text as X
@@ -28,16 +28,51 @@ def parse_qa_items(items: DataFrame) -> DataFrame:
     return kept.select("video_id", ord_.cast("long").alias("ord"), X.strip(F.col("q")).alias("question"), X.strip(F.coalesce("a", F.lit(""))).alias("answer"))
 
 
-def card_rows(cards: DataFrame, sources: DataFrame) -> DataFrame:
-    """The five columns of a card file, and its order; tags and timestamp are empty."""
-    return cards.join(sources, "video_id").select("video_id", "ord", "question", "answer", F.lit("").alias("tags"), F.lit("").alias("timestamp"), "source")
+def card_rows(cards: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """The five columns of a card file, and its order; tags are empty, and timestamp is unless `timed` put one in. sources(video_id, source), unless cards have a source."""
+    when = F.col("timestamp") if "timestamp" in cards.columns else F.lit("")
+    rows = cards.join(sources, "video_id") if sources else cards
+    return rows.select("video_id", "ord", "question", "answer", F.lit("").alias("tags"), when.alias("timestamp"), "source")
 
 
-def notes(cards: DataFrame, deck: str, by_position: bool = True) -> DataFrame:
-    """Notes with ids: guid from the question and, unless by_position is off, the place in the deck."""
+def grams(text: Column, size: int) -> Column:
+    """Distinct stretches of `size` characters of a text in small letters, its white space made single spaces; a shorter text is one."""
+    plain = F.lower(X.strip(F.regexp_replace(text, "[ \\t\\n\\x0b\\f\\r]+", " ")))
+
+    def cut(letters: Column) -> Column:  # a lambda's argument, so the text is taken apart once
+        long = F.transform(F.sequence(F.lit(0), F.size(letters) - size), lambda i: F.concat(*[F.get(letters, i + k) for k in range(size)]))
+        whole = F.array_join(letters, "")
+        return F.when(F.size(letters) >= size, F.array_distinct(long)).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(F.split(plain, "")), cut), F.lit(0))
+
+
+def timed(cards: DataFrame, cues: DataFrame, size: int = 4) -> DataFrame:
+    """cards(video_id, ord, question, answer) and cues(video_id, idx, start, text) -> cards with `timestamp`, the mm:ss of the cue that an answer comes from; empty where no cue shares anything with it.
+
+    An inverted index of the stretches of `size` characters, within each video. An answer's candidates are the cues on the
+    shortest list among its own (ties by the stretch), so common stretches come last: they find no candidate where a rarer one
+    does. Of the candidates the one that shares most distinct stretches with the answer wins, of equal ones the earlier.
+    """
+    asked = cards.select("video_id", "ord", grams(F.col("answer"), size).alias("wanted"))
+    said = cues.select("video_id", "idx", "start", grams(F.col("text"), size).alias("held"))
+    wanted = asked.select("video_id", "ord", F.explode("wanted").alias("gram"))
+    lists = said.select("video_id", "idx", F.explode("held").alias("gram"))
+    known = lists.join(wanted.select("video_id", "gram").distinct(), ["video_id", "gram"], "left_semi")
+    lengths = known.groupBy("video_id", "gram").agg(F.count("*").alias("length"))
+    rarest = wanted.join(lengths, ["video_id", "gram"]).groupBy("video_id", "ord").agg(F.min(F.struct("length", "gram")).alias("least"))
+    candidates = rarest.select("video_id", "ord", F.col("least.gram").alias("gram")).join(known, ["video_id", "gram"]).select("video_id", "ord", "idx")
+    shared = candidates.join(asked, ["video_id", "ord"]).join(said, ["video_id", "idx"]).select("video_id", "ord", "idx", "start", F.size(F.array_intersect("wanted", "held")).alias("shared"))
+    best = shared.groupBy("video_id", "ord").agg(F.min(F.struct((-F.col("shared")).alias("least"), "start", "idx")).alias("best"))
+    found = best.select("video_id", "ord", X.mmss(F.col("best.start")).alias("timestamp"))
+    return cards.join(found, ["video_id", "ord"], "left").withColumn("timestamp", F.coalesce("timestamp", F.lit("")))
+
+
+def notes(cards: DataFrame, deck: str, by_position: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Notes with ids, and columns to keep: guid from the question and, unless by_position is off, the place in the deck."""
     key = F.concat_ws("|", "question", F.col("ord").cast("string")) if by_position else F.col("question")
     fields = F.array(*[F.coalesce(c, F.lit("")) for c in ("question", "answer", "tags", "timestamp", "source")])
-    return cards.select(X.deck_id(F.lit(deck)).alias("deck_id"), F.lit(MODEL_ID).cast("long").alias("model_id"), F.sha2(key, 256).alias("guid"), fields.alias("fields"))
+    return cards.select(*(keep or []), X.deck_id(F.lit(deck)).alias("deck_id"), F.lit(MODEL_ID).cast("long").alias("model_id"), F.sha2(key, 256).alias("guid"), fields.alias("fields"))
 
 
 def qa_cards(answers: DataFrame) -> DataFrame:

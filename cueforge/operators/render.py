@@ -31,7 +31,7 @@ TEMPLATE = """# {{title}}
 ## 元数据
 {{meta}}
 """
-_STYLE = "main{width:min(46rem,92vw);margin:2rem auto;font:1.05rem/1.6 Georgia,serif}h2{border-bottom:1px solid #ccc}a.ts{font-variant-numeric:tabular-nums}"
+_STYLE = "body{width:min(46rem,92vw);margin:2rem auto;font:1.05rem/1.6 Georgia,serif}h2{border-bottom:1px solid #ccc}a.ts{font-variant-numeric:tabular-nums}"
 #: Faces of a card, and their look.
 FRONT = "<p class='ask'>{{Question}}</p><p class='when'>{{Timestamp}}</p>"
 BACK = "{{FrontSide}}<hr id=answer><div class='reply'>{{Answer}}</div><p class='from'>{{Source}}</p>"
@@ -87,11 +87,6 @@ def html_page(title: Column, body: Column) -> Column:
     return F.concat(F.lit(HEAD[0]), X.html_escape(title), F.lit(HEAD[1]), body, F.lit(TAIL))
 
 
-def knowledge(segments: DataFrame, durations: DataFrame, analysis: DataFrame, sources: DataFrame, model: str, run_date: str, template: str = TEMPLATE) -> DataFrame:
-    """sources(video_id, source) and the rest -> (video_id, title, source, markdown), the whole document of each video."""
-    return filled(sources.join(durations, "video_id").join(analysis, "video_id"), model, run_date, template)
-
-
 def filled(videos: DataFrame, model: str, run_date: str, template: str = TEMPLATE) -> DataFrame:
     """videos(video_id, source, duration, n_segments, the five fields, title if it has one) -> (video_id, title, source, markdown)."""
     title = F.coalesce("title", X.title_of(F.col("source"))) if "title" in videos.columns else X.title_of(F.col("source"))

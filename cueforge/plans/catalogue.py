@@ -3,10 +3,12 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cueforge.functions import tables
 from cueforge.functions import text as X
 from cueforge.operators import analysis as A
-from cueforge.operators import captions, hosts
+from cueforge.operators import captions, decks, hosts
 from cueforge.operators import cards as C
+from cueforge.operators import overlaps as O
 from cueforge.operators import profiles as P
 from cueforge.operators import render as R
 from cueforge.operators import segments as S
@@ -176,9 +178,8 @@ _CARDS = f"""{V.QA_LINES}, st AS (SELECT video_id, n, {V.sql_strip('line')} AS s
 
 @_query(f"WITH {_CARDS} SELECT video_id, ord, question, answer, '' AS tags, '' AS \"timestamp\", 'conv' || video_id::VARCHAR || '.json' AS source FROM cards")
 def qa_cards(spark, sf_dir):
-    lines = V.qa_lines(spark, sf_dir)
-    sources = lines.select("video_id").distinct().withColumn("source", F.concat(F.lit("conv"), F.col("video_id").cast("string"), F.lit(".json")))
-    return C.card_rows(C.parse_qa(lines), sources)
+    cards = C.parse_qa(V.qa_lines(spark, sf_dir))
+    return C.card_rows(cards.withColumn("source", F.concat(F.lit("conv"), F.col("video_id").cast("string"), F.lit(".json"))))
 
 
 @_query(f"WITH {_CARDS} SELECT video_id, ord, sha256(question || '|' || ord::VARCHAR) AS guid FROM cards")
@@ -261,11 +262,10 @@ def segment_projection(spark, sf_dir):
     return captions.projected(spoken)
 
 
-@_query(f"""WITH t AS (SELECT conv_id AS video_id, turn, {V.sql_lines('text')}[1] AS head FROM conversations)
- SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY turn) - 1)::BIGINT AS ord, {V.sql_strip('head')} AS question, CASE WHEN turn % 4 = 3 THEN '' ELSE 'a' || turn END AS answer FROM t WHERE turn % 4 = 3 OR head <> ''""")
+@_query(f"""WITH t AS (SELECT conv_id AS video_id, turn, text, coalesce({V.sql_lines('text')}[1], '') AS head FROM conversations)
+ SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY turn) - 1)::BIGINT AS ord, {V.sql_strip("CASE WHEN turn % 4 = 3 THEN head ELSE text END")} AS question, CASE WHEN turn % 4 = 3 THEN '' ELSE 'a' || turn END AS answer FROM t WHERE turn % 4 = 3 OR text <> ''""")
 def qa_list_cards(spark, sf_dir):
-    head = F.coalesce(F.get(X.splitlines(F.col("text")), F.lit(0)), F.lit(""))
-    turn = V.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), "turn", head.alias("head"), F.concat(F.lit("a"), F.col("turn").cast("string")).alias("a"))
+    turn = V.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), "turn", F.coalesce("text", F.lit("")).alias("head"), F.concat(F.lit("a"), F.col("turn").cast("string")).alias("a"))
     k = F.col("turn") % 4
     item = F.when(k == 0, F.to_json(F.struct(F.col("head").alias("q"), F.col("a").alias("answer")))).when(k == 1, F.to_json(F.struct(F.lit("").alias("q"), F.col("head").alias("question"), "a"))).when(k == 2, F.to_json(F.struct(F.col("head").alias("Q"), F.col("a").alias("A")))).otherwise(F.get_json_object(F.to_json(F.struct(F.concat(F.lit("Q: "), "head").alias("x"))), "$"))
     text = F.when(k == 3, F.regexp_replace(item, "^\\{\"x\":|\\}$", "")).otherwise(item)
@@ -280,6 +280,87 @@ def field_markdown(spark, sf_dir):
     return V.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), "turn", A.as_markdown(value).alias("markdown"))
 
 
+_MEET = 's.video_id = p.video_id AND s."start" < p."end" AND p."start" < s."end"'
+
+
+@_query(f"""WITH {V.SEGMENTS}, {V.PICTURES} SELECT s.video_id, s.idx AS spoken_idx, p.idx AS visual_idx, greatest(s."start", p."start") AS "start", least(s."end", p."end") AS "end" FROM segs s JOIN pics p ON {_MEET}""")
+def cue_overlaps(spark, sf_dir):
+    pairs = O.overlapping(V.segments(spark, sf_dir), V.pictures(spark, sf_dir))
+    return pairs.select("video_id", "spoken_idx", "visual_idx", F.greatest("spoken_start", "visual_start").alias("start"), F.least("spoken_end", "visual_end").alias("end"))
+
+
+@_query(f"""WITH {V.SEGMENTS}, {V.PICTURES}, pairs AS (SELECT s.video_id, s.idx, p.idx AS pic, p.text FROM segs s JOIN pics p ON {_MEET}),
+ seen AS (SELECT video_id, idx, string_agg(text, {_quoted(O.BETWEEN)} ORDER BY pic) AS seen FROM (SELECT video_id, idx, text, min(pic) AS pic FROM pairs GROUP BY ALL) GROUP BY ALL),
+ rows_ AS (SELECT video_id, idx, "start", "end", text || coalesce({_quoted(O.SEEN)} || seen || '〕', '') AS text, 0 AS path FROM segs LEFT JOIN seen USING (video_id, idx)
+ UNION ALL SELECT video_id, idx, "start", "end", text, 1 FROM pics WHERE (video_id, idx) NOT IN (SELECT (video_id, pic) FROM pairs))
+ SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY "start", "end", path, idx) - 1)::BIGINT AS idx, "start", "end", text FROM rows_""")
+def both_paths(spark, sf_dir):
+    return O.both_paths(V.segments(spark, sf_dir), V.pictures(spark, sf_dir))
+
+
+def _sql_grams(x: str) -> str:
+    single = f"regexp_replace({x}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')"
+    stretches = "list_distinct(list_transform(range(1, length(p) - 2), lambda i: substring(p, i, 4)))"
+    return f"(SELECT CASE WHEN length(p) >= 4 THEN {stretches} WHEN p <> '' THEN [p] ELSE [] END FROM (SELECT lower({V.sql_strip(single)}) AS p))"
+
+
+@_query(f"""WITH {V.SEGMENTS}, {_CARDS}, a AS (SELECT video_id, ord, {_sql_grams('answer')} AS g FROM cards), c AS (SELECT video_id, idx, "start", {_sql_grams('text')} AS g FROM segs),
+ ag AS (SELECT video_id, ord, unnest(g) AS gram FROM a), cg AS (SELECT video_id, idx, unnest(g) AS gram FROM c), df AS (SELECT video_id, gram, count(*) AS n FROM cg GROUP BY ALL),
+ rare AS (SELECT video_id, ord, gram FROM ag JOIN df USING (video_id, gram) QUALIFY row_number() OVER (PARTITION BY video_id, ord ORDER BY n, gram) = 1),
+ found AS (SELECT video_id, ord, "start" FROM rare JOIN cg USING (video_id, gram) JOIN a USING (video_id, ord) JOIN c USING (video_id, idx) QUALIFY row_number() OVER (PARTITION BY video_id, ord ORDER BY len(list_intersect(a.g, c.g)) DESC, "start", idx) = 1)
+ SELECT video_id, ord, question, answer, coalesce({V.sql_mmss('"start"')}, '') AS "timestamp" FROM cards LEFT JOIN found USING (video_id, ord)""")
+def card_timestamps(spark, sf_dir):
+    return C.timed(C.parse_qa(V.qa_lines(spark, sf_dir)), V.segments(spark, sf_dir)).select("video_id", "ord", "question", "answer", "timestamp")
+
+
+_DECK = "knowledge"
+_FIELDS = "[question, {answer}, '', '', 'conv' || video_id::VARCHAR]"
+
+
+@_query(f"""WITH {_CARDS}, old AS (SELECT sha256(question) AS guid, {_FIELDS.format(answer="'old'")} AS fields, 0 AS since, -1 AS ord FROM cards WHERE ord % 2 = 0),
+ new AS (SELECT sha256(question) AS guid, {_FIELDS.format(answer="answer")} AS fields, 1 AS since, ord + 1 AS ord FROM cards UNION ALL SELECT sha256('first ' || video_id::VARCHAR), ['first ' || video_id::VARCHAR, '', '', '', 'conv' || video_id::VARCHAR], 1, 0 FROM (SELECT DISTINCT video_id FROM cards))
+ SELECT {(X.DECK_ID_BASE + sum(map(ord, _DECK))) % X.DECK_ID_MODULUS}::BIGINT AS deck_id, {C.MODEL_ID}::BIGINT AS model_id, guid, array_to_string(fields, '|') AS fields FROM (SELECT * FROM old UNION ALL SELECT * FROM new) QUALIFY row_number() OVER (PARTITION BY guid ORDER BY since DESC, ord DESC, fields DESC) = 1""")
+def merged_notes(spark, sf_dir):
+    cards = C.parse_qa(V.qa_lines(spark, sf_dir)).withColumn("source", F.concat(F.lit("conv"), F.col("video_id").cast("string")))
+    first = cards.select("video_id", "source").distinct().select("video_id", F.lit(0).cast("long").alias("ord"), F.concat(F.lit("first "), F.col("video_id").cast("string")).alias("question"), F.lit("").alias("answer"), "source")
+    noted = lambda rows: C.notes(C.card_rows(rows), _DECK, by_position=False, keep=["ord"])
+    new = cards.withColumn("ord", F.col("ord") + 1).unionByName(first)
+    notes = decks.merged(noted(cards.filter("ord % 2 = 0").withColumn("answer", F.lit("old"))), noted(new))
+    return notes.withColumn("fields", F.array_join("fields", "|"))
+
+
+_VTT = subtitles.VTT_TIMES
+_VTT_AT = "coalesce(nullif(regexp_extract(lines[k], '" + _VTT + "', {i}), ''), '0')::DOUBLE"
+
+
+def _vtt_seconds(i: int) -> str:
+    parts = [_VTT_AT.replace("{i}", str(i + k)) for k in range(4)]
+    return f"({parts[0]} * 3600 + {parts[1]} * 60 + {parts[2]} + {parts[3]} / 1000)"
+
+
+@_query(f"""WITH docs AS ({SQL['vtt_document']}), parts AS (SELECT video_id, string_split_regex(substring(regexp_replace(document, '\\r\\n?', chr(10), 'g'), 7), '\\n{{2,}}') AS b FROM docs),
+ blocks AS (SELECT video_id, unnest(b) AS cue, generate_subscripts(b, 1) AS block FROM parts), ls AS (SELECT video_id, block, string_split(regexp_replace(cue, '^\\n+|\\n+$', '', 'g'), chr(10)) AS lines FROM blocks), t AS (SELECT *, CASE WHEN contains(lines[1], '-->') THEN 1 ELSE 2 END AS k FROM ls)
+ SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY block) - 1)::BIGINT AS idx, {_vtt_seconds(1)} AS "start", {_vtt_seconds(5)} AS "end", array_to_string(lines[k + 1:], ' ') AS text FROM t WHERE regexp_matches(lines[k], '{_VTT}')""")
+def vtt_parse_roundtrip(spark, sf_dir):
+    return subtitles.vtt_segments(files.vtt(V.segments(spark, sf_dir))).withColumn("idx", F.col("idx").cast("long")).drop("settings")
+
+
+@_query(SQL["srt_parse_roundtrip"])
+def srt_cues_lateral(spark, sf_dir):
+    tables.register(spark)
+    cues = spark.sql("SELECT d.video_id, c.idx, c.start, c.end, c.text FROM {docs} AS d, LATERAL srt_cues(d.document) AS c", docs=files.srt(V.segments(spark, sf_dir)))
+    return cues.withColumn("idx", F.col("idx").cast("long"))
+
+
+@_query(f"""WITH {V.SEGMENTS}, f AS (SELECT c_custkey AS video_id, CASE WHEN c_custkey % 3 <> 0 THEN 'l' || c_custkey % 3 END AS language, c_custkey % 8 / 8e0 AS p, c_custkey * 0.25e0 AS duration FROM customer),
+ l AS (SELECT video_id, string_agg('{{"start":' || "start"::VARCHAR || ',"end":' || "end"::VARCHAR || ',"text":' || to_json(text)::VARCHAR || '}}', ',' ORDER BY idx) AS items FROM segs GROUP BY video_id)
+ SELECT f.video_id, '{{"language":' || coalesce('"' || language || '"', 'null') || ',"language_probability":' || p::VARCHAR || ',"duration":' || duration::VARCHAR || ',"segments":[' || coalesce(items, '') || ']}}' AS document FROM f LEFT JOIN l USING (video_id)""")
+def subtitles_document(spark, sf_dir):
+    key = F.col("c_custkey")
+    about = V.table(spark, sf_dir, "customer").select(key.alias("video_id"), F.when(key % 3 != 0, F.concat(F.lit("l"), (key % 3).cast("string"))).alias("language"), (key % 8 / 8.0).alias("language_probability"), (key * 0.25).alias("duration"))
+    return files.subtitles_json(V.segments(spark, sf_dir), about)
+
+
 _PROFILE = "CASE WHEN vram >= 8 THEN 'high-gpu' WHEN ram >= 32 THEN 'max' WHEN ram >= 16 THEN 'high' WHEN apple AND ram >= 6 AND ram < 8 THEN 'low-mac' WHEN ram >= 8 THEN 'mid' WHEN ram >= 6 THEN 'low' ELSE 'tiny' END"
 
 

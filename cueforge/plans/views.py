@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueforge.functions import text as X
+from cueforge.operators.segments import even_spacing, intervals
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("video_id"), F.format_string("frame_%06d.jpg", number).alias("file"), span.alias("duration"), "event_type")
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as visual cues; a month of them lasts some three minutes."""
+    lasting = intervals(even_spacing(frames(spark, sf_dir)), 2.0)
+    text = F.concat(F.lit("picture "), (F.col("idx") % 3).cast("string"))
+    return lasting.select("video_id", F.col("idx").cast("long").alias("idx"), (F.col("start") / 16384.0).alias("start"), (F.col("end") / 16384.0).alias("end"), text.alias("text"))
+
+
 def qa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as question-and-answer text, by line."""
     c = table(spark, sf_dir, "conversations")
@@ -94,6 +102,7 @@ FRAMES = """fr AS (SELECT user_id AS video_id, (max(epoch_us(ts)) OVER (PARTITIO
  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events), raw AS (SELECT *, idx * (duration / n) AS x FROM fr),
  split AS (SELECT *, x * 134217729.0e0 - (x * 134217729.0e0 - x) AS h FROM raw), err AS (SELECT * EXCLUDE (h), x * 1000e0 AS p, (h * 1000e0 - x * 1000e0) + (x - h) * 1000e0 AS e FROM split),
  spaced AS (SELECT * EXCLUDE (x, p, e), CASE WHEN p - floor(p) = 0.5 AND e <> 0 THEN floor(p) + (e > 0)::INT ELSE round_even(p, 0) END / 1000e0 AS t FROM err)"""
+PICTURES = FRAMES + """, pics AS (SELECT video_id, idx::BIGINT AS idx, t / 16384e0 AS "start", coalesce(lead(t) OVER (PARTITION BY video_id ORDER BY idx), t + 2.0e0) / 16384e0 AS "end", 'picture ' || (idx % 3)::VARCHAR AS text FROM spaced)"""
 QA_TEXT = "qa AS (SELECT conv_id AS video_id, turn, CASE role WHEN 'user' THEN 'Q: ' || text WHEN 'assistant' THEN 'A: ' || text ELSE text END AS t FROM conversations)"
 QA_LINES = f"""{QA_TEXT}, ql AS (SELECT video_id, turn * 1000000 + generate_subscripts({sql_lines('t')}, 1) - 1 AS n, unnest({sql_lines('t')}) AS line FROM qa)"""
 HOSTS = "hosts AS (SELECT p_partkey AS host, p_size::DOUBLE AS ram, CASE WHEN p_partkey % 5 = 0 THEN (p_partkey % 17)::DOUBLE END AS vram, p_partkey % 3 = 0 AS apple FROM part)"

@@ -1,11 +1,7 @@
 """Texts of subtitle files and card files, and their writers."""
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
-from urllib.parse import quote
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,32 +10,43 @@ from cueforge.operators.render import BACK, CARD_STYLE, FRONT
 from cueforge.operators.segments import joined, numbered
 
 
-def srt(segments: DataFrame) -> DataFrame:
-    """(video_id, document) in SRT."""
+def _every(documents: DataFrame, videos: DataFrame | None, empty: str) -> DataFrame:
+    """documents, and for those of `videos` that have none an empty one."""
+    if videos is None:
+        return documents
+    return videos.select("video_id").join(documents, "video_id", "left").withColumn("document", F.coalesce("document", F.lit(empty)))
+
+
+def srt(segments: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+    """(video_id, document) in SRT; videos(video_id): also of those without segments."""
     cue = F.concat(F.col("number").cast("string"), F.lit("\n"), X.timecode(F.col("start")), F.lit(" --> "), X.timecode(F.col("end")), F.lit("\n"), X.strip(F.col("text")), F.lit("\n"))
-    return joined(numbered(segments).withColumn("cue", cue), "video_id", "number", "cue", "\n", "document")
+    return _every(joined(numbered(segments).withColumn("cue", cue), "video_id", "number", "cue", "\n", "document"), videos, "")
 
 
-def vtt(segments: DataFrame) -> DataFrame:
-    """(video_id, document) in WebVTT."""
+def vtt(segments: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+    """(video_id, document) in WebVTT; videos(video_id): also of those without segments."""
     cue = F.concat(X.timecode(F.col("start"), "."), F.lit(" --> "), X.timecode(F.col("end"), "."), F.lit("\n"), X.strip(F.col("text")), F.lit("\n"))
     out = joined(numbered(segments).withColumn("cue", cue), "video_id", "number", "cue", "\n", "body")
-    return out.select("video_id", F.concat(F.lit("WEBVTT\n\n"), "body").alias("document"))
+    return _every(out.select("video_id", F.concat(F.lit("WEBVTT\n\n"), "body").alias("document")), videos, "WEBVTT\n\n")
 
 
-def captions_json(segments: DataFrame) -> DataFrame:
-    """(video_id, document): the segments of a video as a JSON array."""
+def _listed(segments: DataFrame) -> DataFrame:
+    """(video_id, segments): start, end and text of each segment, in order."""
     items = F.array_sort(F.collect_list(F.struct("idx", "start", "end", "text")))
     bare = F.transform(items, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
-    return segments.groupBy("video_id").agg(F.to_json(bare).alias("document"))
+    return segments.groupBy("video_id").agg(bare.alias("segments"))
 
 
-def subtitles_json(segments: DataFrame, language: str = "zh", probability: float = 1.0) -> DataFrame:
-    """(video_id, document): an object with language, duration and segments."""
-    items = F.array_sort(F.collect_list(F.struct("idx", "start", "end", "text")))
-    bare = F.transform(items, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
-    whole = F.struct(F.lit(language).alias("language"), F.lit(probability).alias("language_probability"), F.max("end").alias("duration"), bare.alias("segments"))
-    return segments.groupBy("video_id").agg(F.to_json(whole).alias("document"))
+def captions_json(segments: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+    """(video_id, document): the segments of a video as a JSON array; videos(video_id): also of those without segments."""
+    return _every(_listed(segments).select("video_id", F.to_json("segments").alias("document")), videos, "[]")
+
+
+def subtitles_json(segments: DataFrame, files: DataFrame) -> DataFrame:
+    """(video_id, document): an object of language, language_probability and duration, as files(video_id, ...) has them, and segments. A row a file; a file without segments has none in it, an unknown language is null."""
+    none = F.array().cast("array<struct<start:double,end:double,text:string>>")
+    both = files.join(_listed(segments), "video_id", "left").withColumn("segments", F.coalesce("segments", none))
+    return both.select("video_id", F.to_json(F.struct("language", "language_probability", "duration", "segments"), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def write_cards(cards: DataFrame, path: str) -> None:
@@ -48,25 +55,6 @@ def write_cards(cards: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", lineSep="\r\n")
 
 
-def write_files(documents: DataFrame, folder: str, names: dict[str, str]) -> int:
-    """For each row of documents(video_id, ...) a folder under `folder`, which all executors share, with a file for each column in names (column -> file name). A file appears whole or not at all, so a task may be run again. Gives the number of files."""
-    columns = list(names)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                own = os.path.join(folder, quote(str(row.video_id), safe=" "))
-                os.makedirs(own, exist_ok=True)
-                for c in columns:
-                    part = os.path.join(own, f".{names[c]}.{uuid.uuid4().hex}")
-                    with open(part, "w", encoding="utf-8", newline="") as f:
-                        f.write(getattr(row, c) or "")
-                    os.replace(part, os.path.join(own, names[c]))
-            yield pd.DataFrame({"n": [len(batch) * len(columns)]})
-
-    return documents.select("video_id", *columns).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
 def cards_csv(cards: DataFrame, videos: DataFrame) -> DataFrame:
     """(video_id, document): a card file a video, with its header even where there is no card; fields are quoted as needed."""
     quoted = lambda c: F.when(F.col(c).rlike("[\",\r\n]"), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
@@ -95,8 +83,3 @@ def _library_package(path: str, deck: str, rows: Iterator) -> int:
     if first is not None:
         genanki.Package(first).write_to_file(path)
     return n
-
-
-def write_documents(documents: DataFrame, path: str) -> None:
-    """Documents as a table, a row a video."""
-    documents.write.mode("overwrite").parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cueforge import cli
 from cueforge.functions import text as X
 from cueforge.operators import analysis, captions, cards, hosts, profiles, render, segments
-from cueforge.sinks import files
+from cueforge.sinks import files, video_files
 from cueforge.sources import media, subtitles
 from cueforge.streaming import drop_folder
 
@@ -148,9 +148,11 @@ def test_speech(spark, tmp_path):
 
     videos = spark.createDataFrame([(7, "v.mp4")], "video_id long, path string")
     sounds = media.extracted_audio(videos, str(tmp_path), media_tool())
-    rows = captions.transcribed(sounds, Speech, "en").orderBy("idx").collect()
-    assert [tuple(r)[:5] for r in rows] == [(7, 0, round(0.0005, 3), round(1.0015, 3), "a"), (7, 1, 2.0, 3.0, "b")] and rows[0].language == "en"
-    assert captions.transcribed(sounds.withColumn("path", F.lit("silent")), Speech).count() == 0
+    found = captions.transcribed(sounds, Speech, "en")
+    assert [tuple(r) for r in captions.cues_of(found).orderBy("idx").collect()] == [(7, 0, round(0.0005, 3), round(1.0015, 3), "a"), (7, 1, 2.0, 3.0, "b")]
+    assert [tuple(r) for r in captions.files_of(found).collect()] == [(7, "en", 0.5, 3.0)]
+    silent = captions.transcribed(sounds.withColumn("path", F.lit("silent")), Speech)
+    assert captions.cues_of(silent).count() == 0 and captions.files_of(silent).count() == 1
 
 
 def test_thousandths(spark):
@@ -234,7 +236,7 @@ def test_pages(spark, tmp_path):
     assert "<li>[<a class='ts' href='#t-00:02'>00:02</a>] s</li>" in lines and "<p>(无)</p>" in rows["c"].html
     anchored = render.pages(render.filled(own, "m", "d"), anchors=True).filter("video_id = 'a/b'").first().html
     assert "<li id='t-00:02'>" in anchored
-    assert files.write_files(pages, str(tmp_path), {"markdown": "knowledge.md", "html": "knowledge.html"}) == 4
+    assert video_files.write_files(pages, str(tmp_path), {"markdown": "knowledge.md", "html": "knowledge.html"}) == 4
     assert (tmp_path / "a%2Fb" / "knowledge.html").read_text() == rows["a/b"].html and sorted(p.name for p in (tmp_path / "c").iterdir()) == ["knowledge.html", "knowledge.md"]
     made = spark.createDataFrame([("c", 0, 'q "1"', "a,b", "", "", "s"), ("c", 1, "q2", "", "", "", "s")], "video_id string, ord long, question string, answer string, tags string, timestamp string, source string")
     texts = {r.video_id: r.document for r in files.cards_csv(made, own).collect()}
