@@ -186,7 +186,10 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, list_size: int = 1
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total = shape
     rows = rows.filter(F.size("embedding") == dim)
-    first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
+    # the first `sample` rows by hash lie below this one, so a task passes on its share of twice as many, not `sample` rows
+    below = min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 2 * sample / total)))
+    low = rows.filter(F.xxhash64("vec_id") <= below)
+    first = low.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     x = _vectors(first["embedding"].combine_chunks(), dim)
     graph = Graph(balanced_centroids(x, min(most_lists, max(1, len(x) // 4), -(-total // list_size))))
     centroids = graph.c

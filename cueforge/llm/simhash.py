@@ -14,15 +14,13 @@ Where a similarity of shingle sets is asked for, byte positions guarantee nothin
 from the sets there: two sets of n and m shingles and a similarity t share ceil(t * max(n, m)) at least, hence in any
 common order of all shingles they share one among the first n - ceil(t * n) + 1 and m - ceil(t * m) + 1. These prefixes are
 indexed; the order puts what is frequent in a sample last, which keeps lists short and has no part in what is found. In
-a list, SimHash fingerprints of 256 bits tell sets that are far apart: pairs that differ in more bits than the limit's
-mean and six deviations are no candidates (a pair at the limit does so once in 10 ** 9 times; sets of fewer than 48
-shingles, where bits are few votes, are kept by size alone). What the rest connects is a group, in which every link is verified
-on the sets.
+a list, what is far apart is told by sketches: how many of a set's shingles fall into each of 64 bins. Two sets share at
+most the sum of the lesser counts, so a pair for which that is too little is no candidate, and no link is lost. What the
+rest connects is a group, in which every link is verified on the sets.
 """
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -232,7 +230,7 @@ def frequent(docs: DataFrame, words: int, sample: int, most: int = 200_000) -> t
 
 
 def prefixes(docs: DataFrame, words: int, hashes: int, similarity: float, sample: int) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, mark, node: hash of the set of distinct shingles, n: how many, fp: of these, prefix array<long>)."""
+    """docs(doc_id, text) -> (doc_id, mark, node: hash of the set of distinct shingles, n: how many, fp: of these, sketch array<long>, prefix array<long>)."""
     known, often = frequent(docs, words, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,10 +248,10 @@ def prefixes(docs: DataFrame, words: int, hashes: int, similarity: float, sample
                 take = np.arange(len(h)) - first[row] <= (n - np.ceil(similarity * n - 1e-6).astype(np.int64))[row]
                 prefix = lists(h[order][take].view(np.int64), row[take], len(n), pa.int64())
                 doc, mark = (batch.column(c).slice(block.lo, len(n)) for c in ("doc_id", "mark"))
-                yield pa.RecordBatch.from_arrays([doc, mark, pa.array(node.view(np.int64)), pa.array(n), _listed(_prints(h, first, hashes)), prefix], ["doc_id", "mark", "node", "n", "fp", "prefix"])
+                yield pa.RecordBatch.from_arrays([doc, mark, pa.array(node.view(np.int64)), pa.array(n), _listed(_prints(h, first, hashes)), _listed(sketches(h, row, len(n))), prefix], ["doc_id", "mark", "node", "n", "fp", "sketch", "prefix"])
 
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    return marked.mapInArrow(run, "doc_id long, mark long, node long, n long, fp array<long>, prefix array<long>")
+    return marked.mapInArrow(run, "doc_id long, mark long, node long, n long, fp array<long>, sketch array<long>, prefix array<long>")
 
 
 def shared_lists(nodes: DataFrame) -> DataFrame:
@@ -274,26 +272,32 @@ def shared_lists(nodes: DataFrame) -> DataFrame:
     return postings.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, node long")
 
 
-def bits_apart(similarity: float, hashes: int, deviations: float = 6.0) -> int:
-    """Differing bits that sets of this similarity have at most: the mean and so many deviations."""
-    p = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
-    return ceil(64 * hashes * p + deviations * sqrt(64 * hashes * p * (1 - p)))
+def sketches(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows how many of its hashes fall into each of 64 bins, as bytes in eight numbers; 255 stands for as many or more."""
+    counts = np.bincount(row * 64 + (h >> np.uint64(58)).astype(np.int64), minlength=n * 64)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(n, 64).view(np.uint64)
 
 
-def candidates(nodes: DataFrame, hashes: int, similarity: float, small: int = 48) -> DataFrame:
-    """nodes(node, n, fp, prefix) -> (a, b), edges that connect at least what sets of this similarity connect: nodes of one list whose sizes and fingerprints allow it."""
-    most = bits_apart(similarity, hashes)
+def most_shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many members sets of these sketches (bytes) share at most; where both are full in a bin, nothing is known."""
+    least = np.minimum(one, two)
+    return np.where((least == 255).any(axis=-1), np.inf, least.sum(axis=-1, dtype=np.int64))
+
+
+def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes(node, n, sketch, prefix) -> (a, b), edges that connect at least what sets of this similarity connect: nodes of one list whose sizes and sketches allow it."""
 
     def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key"):
             node = table.column("node").to_numpy()
             table = table.take(pa.array(_cuts(table, ("key", "node"))[:-1]))
             node, n, cut = table.column("node").to_numpy(), table.column("n").to_numpy(), _cuts(table)
-            fp = table.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, hashes)
+            sketch = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint8).reshape(-1, 64)
 
             def like(a, b):
-                size = (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9)
-                return size & ((np.bitwise_count(fp[a] ^ fp[b]).sum(axis=-1, dtype=np.int64) <= most) | (np.minimum(n[a], n[b]) < small))
+                # a similarity s of sets of n and m members is s / (1 + s) * (n + m) members shared
+                needed = similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6
+                return (np.minimum(n[a], n[b]) >= needed) & (most_shared(sketch[a], sketch[b]) >= needed)
 
             two = cut[:-1][np.diff(cut) == 2]
             hit = two[like(two, two + 1)]
@@ -305,7 +309,7 @@ def candidates(nodes: DataFrame, hashes: int, similarity: float, small: int = 48
             if len(edges):
                 yield _pairs(node[edges[:, 0]], node[edges[:, 1]])
 
-    listed = shared_lists(nodes).join(nodes.select("node", "n", "fp"), "node")
+    listed = shared_lists(nodes).join(nodes.select("node", "n", "sketch"), "node")
     return listed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(screened, "a long, b long").distinct()
 
 
@@ -342,8 +346,8 @@ def set_forest(flat: np.ndarray, offs: np.ndarray, similarity: float) -> np.ndar
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
-def similar(nodes: DataFrame, docs: DataFrame, words: int, hashes: int, similarity: float, together: tuple[int, int] = (20_000, 4_000_000)) -> DataFrame:
-    """nodes(node, n, some, fp, prefix) -> (node, root): the components of the graph that links sets of this similarity or more; nodes without a link have no row.
+def similar(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, together: tuple[int, int] = (20_000, 4_000_000)) -> DataFrame:
+    """nodes(node, n, some, sketch, prefix) -> (node, root): the components of the graph that links sets of this similarity or more; nodes without a link have no row.
 
     some: doc_id and mark of a text of the node. What candidates connect is a group. A group of no more nodes and
     shingles than `together` is settled in one task, each of its texts sent once. A larger one goes list by list: the texts
@@ -367,7 +371,7 @@ def similar(nodes: DataFrame, docs: DataFrame, words: int, hashes: int, similari
     def forests(keyed: DataFrame) -> DataFrame:
         return keyed.select("key", "node", "text").repartition("key").sortWithinPartitions("key", "node").mapInArrow(spanned, "a long, b long")
 
-    edges = staged(candidates(nodes, hashes, similarity), "candidates")
+    edges = staged(candidates(nodes, similarity), "candidates")
     groups = staged(components(edges).join(nodes.select("node", "n", "some"), "node"), "groups")
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     same = F.col("some.doc_id").eqNullSafe(F.col("doc_id")) & F.col("some.mark").eqNullSafe(F.col("mark"))
@@ -407,10 +411,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, hashes: int = 4, similarity
         roots = components(links(nodes, hashes, max_bits))
     else:
         sets = staged(prefixes(docs, words, hashes, similarity, sample), "sets")
-        first = [F.first(c).alias(c) for c in ("n", "fp", "prefix")]
+        first = [F.first(c).alias(c) for c in ("n", "sketch", "prefix")]
         nodes = staged(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("some"), *first), "nodes")
         fps = sets.select("doc_id", "mark", "fp", "node")
-        roots = staged(similar(nodes, docs, words, hashes, similarity), "roots")
+        roots = staged(similar(nodes, docs, words, similarity), "roots")
     linked = roots.join(nodes.select("node", "least"), "node")
     names = linked.groupBy("root").agg(F.min("least").alias("named"))
     named = roots.join(names, "root").select("node", "root", "named")
