@@ -70,14 +70,15 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int, passes:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, keep, per_class: dict[int, int]) -> DataFrame:
-    """(doc_id, text, label) of the labelled rows that `keep` allows; of each class the first by hash, as many as stated."""
+    """(doc_id, text, label) of the labelled rows that `keep` allows; of each class the first by hash, as many as stated. A doc_id that docs repeat gives its least text alone, so the sample is bounded whatever repeats."""
     rows = labels.filter(keep).filter(F.col(column).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
     parts = [rows.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in per_class.items()]
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.union(p)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(chosen), "doc_id")  # at most the sum of per_class rows
+    found = texts.join(F.broadcast(chosen), "doc_id")  # at most the sum of per_class rows
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def one_task(rows: DataFrame, made: Callable[[pa.Table], list[np.ndarray]]) -> list[np.ndarray]:
