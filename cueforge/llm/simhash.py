@@ -14,9 +14,9 @@ Where a similarity of shingle sets is asked for, byte positions guarantee nothin
 from the sets there: two sets of n and m shingles and a similarity t share ceil(t * max(n, m)) at least, hence in any
 common order of all shingles they share one among the first n - ceil(t * n) + 1 and m - ceil(t * m) + 1. These prefixes are
 indexed; the order puts what is frequent in a sample last, which keeps lists short and has no part in what is found. In
-a list, what is far apart is told by sketches: how many of a set's shingles fall into each of 64 bins. Two sets share at
-most the sum of the lesser counts, so a pair for which that is too little is no candidate, and no link is lost. What the
-rest connects is a group, in which every link is verified on the sets.
+a list, what is far apart is told by sketches: how many of a set's shingles fall into each of some bins, one for five of
+them. Two sets share at most the sum of the lesser counts, so a pair for which that is too little is no candidate, and no
+link is lost. What the rest connects is a group, in which every link is verified on the sets.
 """
 
 from collections.abc import Callable, Iterator
@@ -230,7 +230,7 @@ def frequent(docs: DataFrame, words: int, sample: int, most: int = 200_000) -> t
 
 
 def prefixes(docs: DataFrame, words: int, hashes: int, similarity: float, sample: int) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, mark, node: hash of the set of distinct shingles, n: how many, fp: of these, sketch array<long>, prefix array<long>)."""
+    """docs(doc_id, text) -> (doc_id, mark, node: hash of the set of distinct shingles, n: how many, fp: of these, sketch binary, prefix array<long>)."""
     known, often = frequent(docs, words, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,10 +248,10 @@ def prefixes(docs: DataFrame, words: int, hashes: int, similarity: float, sample
                 take = np.arange(len(h)) - first[row] <= (n - np.ceil(similarity * n - 1e-6).astype(np.int64))[row]
                 prefix = lists(h[order][take].view(np.int64), row[take], len(n), pa.int64())
                 doc, mark = (batch.column(c).slice(block.lo, len(n)) for c in ("doc_id", "mark"))
-                yield pa.RecordBatch.from_arrays([doc, mark, pa.array(node.view(np.int64)), pa.array(n), _listed(_prints(h, first, hashes)), _listed(sketches(h, row, len(n))), prefix], ["doc_id", "mark", "node", "n", "fp", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([doc, mark, pa.array(node.view(np.int64)), pa.array(n), _listed(_prints(h, first, hashes)), sketches(h, first), prefix], ["doc_id", "mark", "node", "n", "fp", "sketch", "prefix"])
 
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    return marked.mapInArrow(run, "doc_id long, mark long, node long, n long, fp array<long>, sketch array<long>, prefix array<long>")
+    return marked.mapInArrow(run, "doc_id long, mark long, node long, n long, fp array<long>, sketch binary, prefix array<long>")
 
 
 def shared_lists(nodes: DataFrame) -> DataFrame:
@@ -272,16 +272,46 @@ def shared_lists(nodes: DataFrame) -> DataFrame:
     return postings.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, node long")
 
 
-def sketches(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """For each of n rows how many of its hashes fall into each of 64 bins, as bytes in eight numbers; 255 stands for as many or more."""
-    counts = np.bincount(row * 64 + (h >> np.uint64(58)).astype(np.int64), minlength=n * 64)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(n, 64).view(np.uint64)
+_FULL = 15  # the greatest count of a bin that is kept; it stands for as many or more
 
 
-def most_shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """How many members sets of these sketches (bytes) share at most; where both are full in a bin, nothing is known."""
-    least = np.minimum(one, two)
-    return np.where((least == 255).any(axis=-1), np.inf, least.sum(axis=-1, dtype=np.int64))
+def sketches(h: np.ndarray, first: np.ndarray) -> pa.BinaryArray:
+    """For each row how many of its hashes fall into each of B bins, two bins a byte; B is a power of two near a fifth of their number, 16 at least and 2048 at most."""
+    n = np.diff(first)
+    log = np.clip(np.rint(np.log2(np.maximum(n, 1) / 5)), 4, 11).astype(np.int64)
+    at = np.r_[0, np.cumsum(1 << log)]
+    row = np.repeat(np.arange(len(n)), n)
+    counts = np.bincount(at[row] + (h >> (64 - log[row]).astype(np.uint64)).astype(np.int64), minlength=int(at[-1]))
+    counts = np.minimum(counts, _FULL).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at // 2).astype(np.int32)), pa.py_buffer(counts[::2] | counts[1::2] << 4)])
+
+
+class Sketches:
+    """Sketches of many sets, to be compared; each also at half its bins, as sets of like sizes may have twice as many."""
+
+    def __init__(self, column: pa.BinaryArray):
+        offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        raw = np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]] if len(column) else np.zeros(0, np.uint8)
+        own = np.empty(2 * len(raw), np.int16)
+        own[::2], own[1::2] = raw & 15, raw >> 4
+        own[own == _FULL] = 1000
+        self.bins, self.own = 2 * np.diff(offs), 2 * (offs[:-1] - offs[0])
+        self.half = len(own) + self.own // 2
+        self.flat = np.r_[own, own[::2] + own[1::2]]
+
+    def most_shared(self, a: np.ndarray, b: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+        """How many members the sets a and b (pair by pair) share at most; where both are full in a bin, nothing is known."""
+        out = np.full(len(a), np.inf)
+        level = np.minimum(self.bins[a], self.bins[b])
+        near = np.maximum(self.bins[a], self.bins[b]) <= 2 * level
+        for bins in np.unique(level[near]).tolist():
+            pairs = np.flatnonzero(near & (level == bins))
+            for lo in range(0, len(pairs), max(1, chunk // bins)):
+                some = pairs[lo : lo + max(1, chunk // bins)]
+                x, y = (self.flat[np.where(self.bins[z[some]] == bins, self.own[z[some]], self.half[z[some]])[:, None] + np.arange(bins)] for z in (a, b))
+                least = np.minimum(x, y)
+                out[some] = np.where((least >= 1000).any(axis=1), np.inf, least.sum(axis=1, dtype=np.int64))
+        return out
 
 
 def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -292,19 +322,22 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
             node = table.column("node").to_numpy()
             table = table.take(pa.array(_cuts(table, ("key", "node"))[:-1]))
             node, n, cut = table.column("node").to_numpy(), table.column("n").to_numpy(), _cuts(table)
-            sketch = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint8).reshape(-1, 64)
+            sketch = table.column("sketch").combine_chunks()
+            sketch = Sketches(sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch)
 
-            def like(a, b):
+            def like(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 # a similarity s of sets of n and m members is s / (1 + s) * (n + m) members shared
                 needed = similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6
-                return (np.minimum(n[a], n[b]) >= needed) & (most_shared(sketch[a], sketch[b]) >= needed)
+                hit = np.minimum(n[a], n[b]) >= needed
+                hit[hit] = sketch.most_shared(a[hit], b[hit]) >= needed[hit]
+                return hit
 
             two = cut[:-1][np.diff(cut) == 2]
             hit = two[like(two, two + 1)]
             edges = [np.c_[hit, hit + 1]]
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if hi - lo > 2:
-                    edges.append(lo + forest(hi - lo, lambda at, others, lo=lo: like(lo + at, lo + others)))
+                    edges.append(lo + forest(hi - lo, lambda at, others, lo=lo: like(np.full(len(others), lo + at), lo + others)))
             edges = np.concatenate(edges)
             if len(edges):
                 yield _pairs(node[edges[:, 0]], node[edges[:, 1]])
