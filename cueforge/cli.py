@@ -2,14 +2,17 @@
 
 import argparse
 import datetime
+import json
 import os
 import sys
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cueforge.operators import analysis, captions, cards, decks, hosts, metrics, profiles, render, segments
-from cueforge.sinks import files
+from cueforge.functions import text as X
+from cueforge.operators import analysis, captions, cards, decks, hosts, metrics, overlaps, profiles, render, segments
+from cueforge.sinks import files, packages
 from cueforge.sinks.video_files import write_files
 from cueforge.sources import media, subtitles
 
@@ -34,6 +37,15 @@ def _videos(spark: SparkSession, path: str):
     return spark.createDataFrame([(os.path.splitext(os.path.basename(path))[0], os.path.abspath(path))], "video_id string, path string")
 
 
+def _captions(spark: SparkSession, o, files_):
+    """Visual cues of the files whose names, but for what follows the last dot, are those of subtitle files; one file goes with one file whatever their names."""
+    seen = subtitles.read_subtitles(spark, _present(o.captions, "captions"))
+    if os.path.isfile(o.captions) and os.path.isfile(o.subtitles):
+        return seen.withColumn("video_id", F.lit(os.path.basename(o.subtitles)))
+    stem = F.regexp_replace("video_id", "(?<=.)\\.[^.]*$", "")
+    return seen.withColumn("stem", stem).drop("video_id").join(files_.withColumn("stem", stem), "stem").select("video_id", "idx", "start", "end", "text")
+
+
 def knowledge(spark: SparkSession, o) -> None:
     """Documents, pages and cards of every subtitle file under a path."""
     _present(o.subtitles, "subtitles")
@@ -41,6 +53,8 @@ def knowledge(spark: SparkSession, o) -> None:
     counted = metrics.RunMetrics()
     rows = subtitles.read_subtitles(spark, o.subtitles, o.vtt, counted)
     files_ = spark.read.format("binaryFile").load(o.subtitles).select(F.element_at(F.split("path", "/"), -1).alias("video_id"))
+    if o.captions:
+        rows = overlaps.both_paths(rows, _captions(spark, o, files_))
     own = files_.join(segments.summaries(rows), "video_id", "left")
     own = own.withColumns({"raw_text": F.coalesce("raw_text", F.lit("")), "duration": F.coalesce("duration", F.lit(0.0)), "n_segments": F.coalesce("n_segments", F.lit(0)), "source": F.col("video_id"), "title": F.lit(o.title).cast("string")})
     client = (lambda: analysis.HttpClient(o.host, o.model)) if o.model else None
@@ -55,6 +69,9 @@ def knowledge(spark: SparkSession, o) -> None:
         found = cards.qa_cards(fields.select("video_id", "qa"))
         made = cards.card_rows(cards.timed(found, rows) if o.card_times else found, own.select("video_id", "source"))
         documents, names["document"] = documents.join(files.cards_csv(made, own), "video_id"), "cards.csv"
+        if o.packages:
+            noted = cards.notes(made, X.title_of(F.col("source")), keep=["video_id", "ord"]).join(own.select("video_id", X.title_of(F.col("source")).alias("deck")), "video_id")
+            documents, names["package"] = documents.join(packages.packages(noted, int(time.time())), "video_id", "left"), "cards.apkg"
     written = write_files(documents, o.out_dir, names)
     say(f"[ok] {written} files -> {o.out_dir}; " + ", ".join(f"{k}={n}" for k, n in counted.told().items()))
 
@@ -94,6 +111,7 @@ def transcribe(spark: SparkSession, o) -> None:
         say(f"[warn] model '{model}' may need more memory than {own.ram_gb} GB; '{own.asr_model}' suits profile {own.profile}")
     sounds = media.extracted_audio(videos, os.path.join(o.out_dir, "audio"))
     recognizer = captions.WhisperRecognizer
+    getattr(recognizer, "check", lambda: None)()
     found = captions.transcribed(sounds, lambda: recognizer(model, device, compute), o.language)
     found.write.mode("overwrite").parquet(os.path.join(o.out_dir, ".subtitles"))
     found = spark.read.parquet(os.path.join(o.out_dir, ".subtitles"))
@@ -105,7 +123,8 @@ def transcribe(spark: SparkSession, o) -> None:
 def deck(spark: SparkSession, o) -> None:
     """A deck package of a card file."""
     rows = subtitles.read_cards(spark, _present(o.csv, "csv")).coalesce(1).withColumn("ord", F.monotonically_increasing_id())  # one file's rows in order
-    n = files.write_deck(cards.notes(rows, o.deck), o.out, o.deck)
+    notes = cards.notes(rows, o.deck, keep=["ord"]).withColumns({"video_id": F.lit(o.deck), "deck": F.lit(o.deck)})
+    n = packages.write_package(notes, os.path.abspath(o.out), int(time.time()))
     say(f"[ok] {n} notes -> {o.out}")
 
 
@@ -118,7 +137,11 @@ def merge(spark: SparkSession, o) -> None:
 
 
 def profile(spark: SparkSession, o) -> None:
-    """The profile of this machine."""
+    """The profile of this machine, or a line of JSON for each host of the cluster's executors."""
+    if o.executors:
+        for row in hosts.of_executors(spark).collect():
+            print(json.dumps(row.asDict(), ensure_ascii=False))
+        return
     own = hosts.detect(spark)
     print(hosts.field(own, o.key) if o.key else hosts.as_json(own) if o.json else hosts.as_text(own))
 
@@ -134,13 +157,13 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--" + name.replace("_", "-"), **given)
 
     need, server = {"required": True}, {"default": os.environ.get("OLLAMA_HOST", HOST)}
-    command(knowledge, subtitles=need, out_dir=need, template={}, format={"choices": list(analysis.NEEDED), "default": "all"}, model={"default": os.environ.get("CUEFORGE_TEXT_MODEL", "openbmb/minicpm5:Q4_K_M")}, title={}, lang={"choices": list(analysis.INSTRUCTIONS), "default": "zh"}, host=server, date={}, vtt={"action": "store_true"}, card_times={"action": "store_true"})
+    command(knowledge, subtitles=need, out_dir=need, captions={}, template={}, format={"choices": list(analysis.NEEDED), "default": "all"}, model={"default": os.environ.get("CUEFORGE_TEXT_MODEL", "openbmb/minicpm5:Q4_K_M")}, title={}, lang={"choices": list(analysis.INSTRUCTIONS), "default": "zh"}, host=server, date={}, vtt={"action": "store_true"}, card_times={"action": "store_true"}, packages={"action": "store_true"})
     command(frames, video=need, out_dir=need, interval={"type": float, "default": 2.0}, fps={"type": float})
     command(caption, video=need, out_dir=need, model={"default": "openbmb/minicpm-v4.6:latest"}, interval={"type": float, "default": 2.0}, fps={"type": float}, host=server)
     command(transcribe, video=need, out_dir=need, model={}, language={"default": "zh"}, device={}, compute_type={})
     command(deck, csv=need, out=need, deck={"default": "视频知识卡"})
     command(merge, csv=need, table=need, deck={"default": "视频知识卡"})
-    command(profile, json={"action": "store_true"}, key={})
+    command(profile, json={"action": "store_true"}, key={}, executors={"action": "store_true"})
     return top
 
 

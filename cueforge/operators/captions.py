@@ -2,9 +2,11 @@
 
 import base64
 from collections.abc import Callable, Iterable, Iterator
+from importlib.util import find_spec
 from typing import NamedTuple, Protocol
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,12 @@ class HttpDescriber(HttpClient):
 class WhisperRecognizer:
     """Speech recognition by an installed library; it is imported where a task first needs it."""
 
+    @staticmethod
+    def check() -> None:
+        """An ImportError where the library is missing, before any task starts."""
+        if not find_spec("faster_whisper"):
+            raise ImportError("not installed", name="faster_whisper")
+
     def __init__(self, size: str, device: str, compute_type: str):
         from faster_whisper import WhisperModel
 
@@ -61,8 +69,8 @@ class WhisperRecognizer:
         return (Spoken(s.start, s.end, s.text) for s in found), (info.language, info.language_probability, info.duration)
 
 
-def describe(frames: DataFrame, client: Callable[[], Describer], requests: int | None = None) -> DataFrame:
-    """frames(video_id, idx, t, content) -> (video_id, idx, t, text), each frame with its own caption, cleaned of thinking. requests: how many run at a time, at most. Write the result before it is used twice."""
+def describe(frames: DataFrame, client: Callable[[], Describer], requests: int | None = None, profile: ResourceProfile | None = None) -> DataFrame:
+    """frames(video_id, idx, t, content) -> (video_id, idx, t, text), each frame with its own caption, cleaned of thinking. requests: how many run at a time, at most. profile: what a task asks of an executor (resources.task_profile). Write the result before it is used twice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = client()
@@ -72,7 +80,7 @@ def describe(frames: DataFrame, client: Callable[[], Describer], requests: int |
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
     rows = frames.select("video_id", "idx", "t", "content")
     rows = rows.repartition(requests, "video_id", "idx") if requests else rows
-    said = rows.mapInPandas(run, f"video_id {kinds['video_id']}, idx {kinds['idx']}, t double, said string")
+    said = rows.mapInPandas(run, f"video_id {kinds['video_id']}, idx {kinds['idx']}, t double, said string", profile=profile)
     return said.select("video_id", "idx", "t", X.without_thinking(F.col("said")).alias("text"))
 
 
@@ -86,8 +94,8 @@ def projected(spoken: DataFrame) -> DataFrame:
     return spoken.select("video_id", "idx", X.thousandth(F.col("start")).alias("start"), X.thousandth(F.col("end")).alias("end"), X.strip(F.col("text")).alias("text"))
 
 
-def transcribed(sounds: DataFrame, recognizer: Callable[[], Recognizer], language: str = "zh") -> DataFrame:
-    """sounds(video_id, path) -> for each file a row of language, language_probability and duration, with a null idx, and its segments; one recognizer a task. files_of and cues_of tell them apart. Write the result before it is used twice."""
+def transcribed(sounds: DataFrame, recognizer: Callable[[], Recognizer], language: str = "zh", profile: ResourceProfile | None = None) -> DataFrame:
+    """sounds(video_id, path) -> for each file a row of language, language_probability and duration, with a null idx, and its segments; one recognizer a task. files_of and cues_of tell them apart. profile: what a task asks of an executor (resources.task_profile). Write the result before it is used twice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = recognizer()
@@ -99,7 +107,7 @@ def transcribed(sounds: DataFrame, recognizer: Callable[[], Recognizer], languag
                 yield frame.astype({"idx": "Int32"})
 
     kind = sounds.schema["video_id"].dataType.simpleString()
-    spoken = sounds.select("video_id", "path").mapInPandas(run, f"video_id {kind}, idx int, start double, end double, text string, language string, language_probability double, duration double")
+    spoken = sounds.select("video_id", "path").mapInPandas(run, f"video_id {kind}, idx int, start double, end double, text string, language string, language_probability double, duration double", profile=profile)
     about = ("language", "language_probability", "duration")
     return spoken.select("video_id", "idx", X.thousandth(F.col("start")).alias("start"), X.thousandth(F.col("end")).alias("end"), X.strip(F.col("text")).alias("text"), *about)
 

@@ -68,11 +68,11 @@ def timed(cards: DataFrame, cues: DataFrame, size: int = 4) -> DataFrame:
     return cards.join(found, ["video_id", "ord"], "left").withColumn("timestamp", F.coalesce("timestamp", F.lit("")))
 
 
-def notes(cards: DataFrame, deck: str, by_position: bool = True, keep: list[str] | None = None) -> DataFrame:
+def notes(cards: DataFrame, deck: str | Column, by_position: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Notes with ids, and columns to keep: guid from the question and, unless by_position is off, the place in the deck."""
     key = F.concat_ws("|", "question", F.col("ord").cast("string")) if by_position else F.col("question")
     fields = F.array(*[F.coalesce(c, F.lit("")) for c in ("question", "answer", "tags", "timestamp", "source")])
-    return cards.select(*(keep or []), X.deck_id(F.lit(deck)).alias("deck_id"), F.lit(MODEL_ID).cast("long").alias("model_id"), F.sha2(key, 256).alias("guid"), fields.alias("fields"))
+    return cards.select(*(keep or []), X.deck_id(F.lit(deck) if isinstance(deck, str) else deck).alias("deck_id"), F.lit(MODEL_ID).cast("long").alias("model_id"), F.sha2(key, 256).alias("guid"), fields.alias("fields"))
 
 
 def qa_cards(answers: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ import json
 import platform
 import re
 import subprocess
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,19 @@ def detect(spark: SparkSession, asker: Asker = ask) -> Row:
     return described(spark.createDataFrame([facts(asker)], FACTS)).first()
 
 
+def of_executors(spark: SparkSession, tasks: int | None = None, asker: Asker = ask) -> DataFrame:
+    """(host, and the eleven fields of a profile) of the hosts that executors run on, a row a host. tasks: how many ask; as many as the cluster runs at once by default, which on a busy one may leave a host unasked."""
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame([(platform.node(), *facts(asker))], columns=["host", *(f.split()[0] for f in FACTS.split(", "))])
+
+    n = tasks or spark.sparkContext.defaultParallelism
+    rows = spark.range(n).repartition(n).mapInPandas(told, f"host string, {FACTS}").dropDuplicates(["host"])
+    return described(rows, keep=["host"])
+
+
 def field(profile: Row, key: str):
     if key not in profile.__fields__:
         raise UnknownField(f"unknown key '{key}'; valid: {', '.join(sorted(profile.__fields__))}")

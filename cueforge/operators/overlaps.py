@@ -9,46 +9,65 @@ from cueforge.operators.segments import joined
 SEEN, BETWEEN = " 〔", "；"
 #: A bucket is split where one side has more rows than this and than a share of all rows; so at most HOT buckets of a side are.
 _LONG, HOT = 2000, 100_000
+#: A cue touches about so many buckets of its own level; each level's are so many times as wide as those of the one below.
+_STEP = 64
 
 
-def _bucketed(cues: DataFrame, width: float, prefix: str) -> DataFrame:
-    """A row for each bucket of time that a cue touches; what has no finite times overlaps nothing."""
+def _levelled(cues: DataFrame, width: float) -> DataFrame:
+    """cues that have finite times, with the least level at which they touch _STEP buckets or so; all others overlap nothing."""
     finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e15) for c in ("start", "end")]
-    first, last = (F.floor(x / width).cast("long") for x in (F.col("start"), F.greatest("start", "end")))
-    named = [F.col(c).alias(f"{prefix}_{c}") for c in ("idx", "start", "end", "text")]
-    return cues.filter(finite[0] & finite[1] & F.col("video_id").isNotNull()).select("video_id", F.explode(F.sequence(first, last)).alias("bucket"), *named)
+    steps = F.log((F.col("end") - F.col("start")) / (width * _STEP)) / F.log(F.lit(float(_STEP)))
+    level = F.when(F.col("end") - F.col("start") > width * _STEP, F.ceil(steps)).otherwise(0)
+    return cues.filter(finite[0] & finite[1] & F.col("video_id").isNotNull()).withColumn("level", level.cast("int"))
+
+
+def _bucketed(cues: DataFrame, width: float, levels: list[int], prefix: str) -> DataFrame:
+    """A row for each bucket that a cue touches, at its own level and at all above on which there is a cue."""
+    at = F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("level")))
+    rows = cues.select("*", at.alias("at"))
+    wide = F.lit(width) * F.pow(F.lit(float(_STEP)), F.col("at"))
+    first, last = (F.floor(x / wide).cast("long") for x in (F.col("start"), F.greatest("start", "end")))
+    named = [F.col(c).alias(f"{prefix}_{c}") for c in ("idx", "start", "end", "text", "level")]
+    return rows.select("video_id", "at", F.explode(F.sequence(first, last)).alias("bucket"), *named)
 
 
 def _crowded(spoken: DataFrame, visual: DataFrame, long: int) -> DataFrame:
-    """(video_id, bucket, spoken_parts, visual_parts) of buckets that are split. long is raised to a HOTth of all rows, which bounds their number."""
-    sides = spoken.select("video_id", "bucket", F.lit(1).alias("a"), F.lit(0).alias("b")).union(visual.select("video_id", "bucket", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    counts = sides.groupBy("video_id", "bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    """(video_id, at, bucket, spoken_parts, visual_parts) of buckets that are split. long is raised to a HOTth of all rows, which bounds their number."""
+    keys = ["video_id", "at", "bucket"]
+    sides = spoken.select(*keys, F.lit(1).alias("a"), F.lit(0).alias("b")).union(visual.select(*keys, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    counts = sides.groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     total = counts.agg(F.coalesce(F.sum(F.col("a") + F.col("b")), F.lit(0))).first()[0]
     limit = max(long, -(-total // HOT))
     crowded = counts.filter((F.col("a") > limit) | (F.col("b") > limit))
-    return crowded.select("video_id", "bucket", *[F.ceil(F.greatest(F.col(c), F.lit(1)) / limit).cast("int").alias(n) for c, n in (("a", "spoken_parts"), ("b", "visual_parts"))])
+    return crowded.select(*keys, *[F.ceil(F.greatest(F.col(c), F.lit(1)) / limit).cast("int").alias(n) for c, n in (("a", "spoken_parts"), ("b", "visual_parts"))])
 
 
 def overlapping(spoken: DataFrame, visual: DataFrame, width: float = 10.0, long: int = _LONG) -> DataFrame:
     """spoken and visual (video_id, idx, start, end, text) -> (video_id, spoken_idx, spoken_start, spoken_end, spoken_text, visual_idx, ...), each pair with spoken.start < visual.end and visual.start < spoken.end once.
 
-    An equi-join on (video, bucket of `width` seconds): a pair is told in the bucket in which the later of the two begins. A
-    bucket of over `long` cues is a grid: each side is dealt into parts by idx, and a row meets every part of the other side.
+    An equi-join on (video, level, bucket of time). Buckets of level 0 are `width` seconds wide; long cues have levels of
+    wider buckets, so that none touches very many. A pair is told at the higher level of its two cues, in the bucket in
+    which the later of them begins. A bucket of over `long` cues is a grid: each side is dealt into parts by idx, and a row
+    meets every part of the other side.
     """
-    a, b = _bucketed(spoken, width, "spoken"), _bucketed(visual, width, "visual")
+    one_side, other_side = _levelled(spoken, width), _levelled(visual, width)
+    levels = sorted(r.level for r in one_side.select("level").union(other_side.select("level")).distinct().collect()) or [0]  # eight at most
+    a, b = _bucketed(one_side, width, levels, "spoken"), _bucketed(other_side, width, levels, "visual")
     crowded = F.broadcast(_crowded(a, b, long))  # 2 HOT rows at most
     one = F.coalesce("spoken_parts", F.lit(1)), F.coalesce("visual_parts", F.lit(1))
+    keys = ["video_id", "at", "bucket"]
 
     def dealt(rows: DataFrame, idx: str, own: int) -> DataFrame:
         part = F.pmod(F.xxhash64(idx), one[own]).cast("int")
         others = F.explode(F.sequence(F.lit(0), one[1 - own] - 1))
-        kept = [c for c in rows.columns if c not in ("video_id", "bucket")]
-        return rows.join(crowded, ["video_id", "bucket"], "left").select("video_id", "bucket", part.alias(f"part{own}"), others.alias(f"part{1 - own}"), *kept)
+        kept = [c for c in rows.columns if c not in keys]
+        return rows.join(crowded, keys, "left").select(*keys, part.alias(f"part{own}"), others.alias(f"part{1 - own}"), *kept)
 
-    pairs = dealt(a, "spoken_idx", 0).join(dealt(b, "visual_idx", 1), ["video_id", "bucket", "part0", "part1"])
+    pairs = dealt(a, "spoken_idx", 0).join(dealt(b, "visual_idx", 1), [*keys, "part0", "part1"])
     meets = (F.col("spoken_start") < F.col("visual_end")) & (F.col("visual_start") < F.col("spoken_end"))
-    told = F.floor(F.greatest("spoken_start", "visual_start") / width) == F.col("bucket")
-    return pairs.filter(meets & told).drop("bucket", "part0", "part1")
+    wide = F.lit(width) * F.pow(F.lit(float(_STEP)), F.col("at"))
+    told = (F.col("at") == F.greatest("spoken_level", "visual_level")) & (F.floor(F.greatest("spoken_start", "visual_start") / wide) == F.col("bucket"))
+    return pairs.filter(meets & told).drop("at", "bucket", "part0", "part1", "spoken_level", "visual_level")
 
 
 def both_paths(spoken: DataFrame, visual: DataFrame, width: float = 10.0) -> DataFrame:

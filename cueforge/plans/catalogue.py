@@ -12,6 +12,7 @@ from cueforge.operators import overlaps as O
 from cueforge.operators import profiles as P
 from cueforge.operators import render as R
 from cueforge.operators import segments as S
+from cueforge.operators import voice
 from cueforge.plans import views as V
 from cueforge.sinks import files
 from cueforge.sources import subtitles
@@ -313,6 +314,16 @@ def card_timestamps(spark, sf_dir):
     return C.timed(C.parse_qa(V.qa_lines(spark, sf_dir)), V.segments(spark, sf_dir)).select("video_id", "ord", "question", "answer", "timestamp")
 
 
+@_query("""WITH w AS (SELECT user_id AS video_id, epoch_us(ts) // 3600000000 AS n, sum(round_even(value * 100, 0)::BIGINT)::BIGINT AS level FROM events GROUP BY ALL),
+ loud AS (SELECT video_id, n FROM w QUALIFY level * 2 * count(*) OVER (PARTITION BY video_id) > 3 * sum(level) OVER (PARTITION BY video_id)),
+ runs AS (SELECT *, sum(opens) OVER (PARTITION BY video_id ORDER BY n) AS run FROM (SELECT *, (coalesce(n - lag(n) OVER (PARTITION BY video_id ORDER BY n), 99) > 25)::INT AS opens FROM loud))
+ SELECT video_id, min(n) AS first, max(n) AS last FROM runs GROUP BY video_id, run HAVING max(n) - min(n) + 1 >= 3""")
+def voice_intervals(spark, sf_dir):
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000))
+    windows = V.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("video_id"), hour.alias("n")).agg(F.sum(F.rint(F.col("value") * 100).cast("long")).alias("level"))
+    return voice.voiced(windows, hang=24, least=3, chunk=100)
+
+
 _DECK = "knowledge"
 _FIELDS = "[question, {answer}, '', '', 'conv' || video_id::VARCHAR]"
 

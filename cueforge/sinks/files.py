@@ -1,12 +1,9 @@
 """Texts of subtitle files and card files, and their writers."""
 
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueforge.functions import text as X
-from cueforge.operators.render import BACK, CARD_STYLE, FRONT
 from cueforge.operators.segments import joined, numbered
 
 
@@ -62,24 +59,3 @@ def cards_csv(cards: DataFrame, videos: DataFrame) -> DataFrame:
     line = F.concat(F.concat_ws(",", *map(quoted, names)), F.lit("\r\n"))
     rows = joined(cards.withColumn("line", line), "video_id", "ord", "line", "", "rows")
     return videos.select("video_id").join(rows, "video_id", "left").select("video_id", F.concat(F.lit(",".join(names) + "\r\n"), F.coalesce("rows", F.lit(""))).alias("document"))
-
-
-def write_deck(notes: DataFrame, path: str, deck: str, packager: Callable[[str, str, Iterator], int] | None = None) -> int:
-    """One deck's notes as a package, put together on the driver row by row; gives their number. packager(path, deck, rows) stands for the library."""
-    rows = notes.orderBy("guid").toLocalIterator()
-    return (packager or _library_package)(path, deck, rows)
-
-
-def _library_package(path: str, deck: str, rows: Iterator) -> int:
-    import genanki  # where it is not installed, this is the error that callers see
-
-    first, n, model = None, 0, None
-    for n, row in enumerate(rows, 1):
-        if first is None:
-            first = genanki.Deck(row.deck_id, deck)
-            fields = [{"name": f} for f in ("Question", "Answer", "Tags", "Timestamp", "Source")]
-            model = genanki.Model(row.model_id, "Knowledge card", fields=fields, templates=[{"name": "Card", "qfmt": FRONT, "afmt": BACK}], css=CARD_STYLE)
-        first.add_note(genanki.Note(model=model, fields=list(row.fields), guid=row.guid))
-    if first is not None:
-        genanki.Package(first).write_to_file(path)
-    return n

@@ -57,8 +57,9 @@ class VideoFilesWriter(DataSourceArrowWriter):
                     for c, name in self.names.items():
                         if columns[c][i] is None:
                             continue
-                        with open(os.path.join(at, name), "w", encoding="utf-8", newline="") as f:
-                            f.write(columns[c][i])
+                        value = columns[c][i]
+                        with open(os.path.join(at, name), "wb") as f:
+                            f.write(value if isinstance(value, bytes) else value.encode())
                         listed.write(json.dumps([folder_of(video), name]) + "\n")
                         files += 1
         return Written(own + ".list", files)
@@ -113,7 +114,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class VideoFiles(DataSource):
-    """format("video_files"): a column `video_id`, and a file for each other column, by option("names", JSON of column -> file name). The path is a folder that the driver and all executors share. A null makes no file."""
+    """format("video_files"): a column `video_id`, and a file for each other column (a text or binary), by option("names", JSON of column -> file name). The path is a folder that the driver and all executors share. A null makes no file."""
 
     @classmethod
     def name(cls) -> str:

@@ -4,7 +4,10 @@ import json
 import os
 import random
 import stat
+import subprocess
+import sys
 import time
+import wave
 
 import pytest
 from pyspark.errors import PySparkException
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cueforge import cli
 from cueforge.functions import tables
-from cueforge.operators import analysis, captions, cards, decks, metrics, overlaps, render, segments
+from cueforge.operators import analysis, captions, cards, decks, metrics, overlaps, render, resources, segments, voice
 from cueforge.sinks import files, video_files
 from cueforge.sources import media, subtitles, videos
 from cueforge.streaming import drop_folder, growing
@@ -32,7 +35,7 @@ def test_overlaps(spark):
         out = []
         for i in range(n):
             start = rng.choice([0.0, 5.0, 10.0, 20.0, round(rng.uniform(0, 200), 2)])
-            out.append((rng.choice("ab"), i, start, start + rng.choice([0.0, 5.0, 10.0, 0.5, 500.0, -1.0]), f"{salt}{i % 3}"))
+            out.append((rng.choice("ab"), i, start, start + rng.choice([0.0, 5.0, 10.0, 0.5, 500.0, -1.0, 50_000.0, 9e13]), f"{salt}{i % 3}"))
         return out + [("a", n, None, 3.0, "x"), ("a", n + 1, float("nan"), 3.0, "x"), (None, 0, 0.0, 9.0, "x"), ("c", 0, 0.0, float("inf"), "x"), ("d" + salt, 0, 1.0, 2.0, "only")]
 
     a, b = cues(60, "s"), cues(50, "v")
@@ -342,6 +345,20 @@ def test_template_vtt_and_card_times_commands(spark, tmp_path, capsys):
     assert cli.main(["knowledge", *common[:-3], str(tmp_path / "none.md"), "--out-dir", str(tmp_path / "o")], spark) == 2
 
 
+def test_both_paths_command(spark, tmp_path):
+    for folder, name, text in (("said", "a.srt", "hello"), ("said", "b.json", None), ("seen", "a.json", "a cat")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text("[]" if text is None else f"1\n00:00:01,000 --> 00:00:02,000\n{text}\n" if name.endswith("srt") else json.dumps([{"start": 0, "end": 3, "text": text}]))
+    (tmp_path / "t.md").write_text("{{summary}}{{timeline}}{{meta}}")
+    rest = ["--model", "", "--template", str(tmp_path / "t.md"), "--format", "knowledge", "--date", "d", "--out-dir", str(tmp_path / "o")]
+    assert cli.main(["knowledge", "--subtitles", str(tmp_path / "said"), "--captions", str(tmp_path / "seen"), *rest], spark) == 0
+    assert "hello 〔a cat〕" in (tmp_path / "o" / "a.srt" / "knowledge.md").read_text() and "segments=0" in (tmp_path / "o" / "b.json" / "knowledge.md").read_text()
+    (tmp_path / "seen" / "a.json").rename(tmp_path / "captions.json")
+    assert cli.main(["knowledge", "--subtitles", str(tmp_path / "said" / "a.srt"), "--captions", str(tmp_path / "captions.json"), *rest], spark) == 0
+    assert "hello 〔a cat〕" in (tmp_path / "o" / "a.srt" / "knowledge.md").read_text()
+    assert cli.main(["knowledge", "--subtitles", str(tmp_path / "said"), "--captions", str(tmp_path / "none"), *rest], spark) == 2
+
+
 def test_drop_folders_keep_apart(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nhi\n")
@@ -350,5 +367,70 @@ def test_drop_folders_keep_apart(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_voice(spark, tmp_path):
+    """Loud stretches of a sound file; pauses within, clicks that are none, a run over two chunks."""
+    rate, size = 16000, 480
+    loud = [*range(50, 70), *range(76, 90), 200, *range(300, 420)]
+    rng = random.Random(1)
+    data = b"".join(int(rng.uniform(-1, 1) * (9000 if n in loud else 20)).to_bytes(2, "little", signed=True) for n in range(500) for _ in range(size))
+    with wave.open(str(tmp_path / "a.wav"), "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(rate)
+        f.writeframes(data + b"\x00\x00" * 7)
+    sounds = spark.createDataFrame([("v", str(tmp_path / "a.wav"))], "video_id string, path string")
+    windows = voice.levels(sounds)
+    assert windows.count() == 501
+    for chunk in (64, 4096):
+        assert sorted((r["first"], r["last"]) for r in voice.voiced(windows, chunk=chunk).collect()) == [(50, 89), (300, 419)]
+    cues = spark.createDataFrame([("v", 0, 0.0, 1.0, "hum"), ("v", 1, 2.5, 3.0, "hello"), ("v", 2, 5.9, 6.1, "click"), ("v", 3, 12.0, 13.0, "end"), ("w", 0, 2.5, 3.0, "other")], CUES)
+    assert {r.text for r in voice.only_voiced(cues, voice.voiced(windows)).collect()} == {"hello", "end"}
+    with wave.open(str(tmp_path / "b.wav"), "wb") as f:
+        f.setnchannels(2)
+        f.setsampwidth(2)
+        f.setframerate(rate)
+        f.writeframes(b"\x00" * 400)
+    with pytest.raises(PySparkException):
+        voice.levels(sounds.withColumn("path", F.lit(str(tmp_path / "b.wav")))).count()
+
+
+AT_ONCE = """
+import os, sys, time
+sys.path[:0] = [{root!r}]
+import pandas as pd
+from pyspark.sql import SparkSession
+from cueforge.operators import captions, resources
+spark = SparkSession.builder.master("local-cluster[1,4,1024]").config("spark.ui.enabled", "false").config("spark.executorEnv.PYTHONPATH", {root!r}).config("spark.sql.warehouse.dir", {folder!r}).getOrCreate()
+profile = resources.task_profile("small", "int8", "cpu", 2.4, 4)
+assert profile.taskResources["cpus"].amount == 2.0
+
+class Sees:
+    def describe(self, image):
+        own = {folder!r} + "/" + str(os.getpid())
+        open(own, "w").close()
+        n = len(os.listdir({folder!r}))
+        time.sleep(0.5)
+        os.remove(own)
+        return str(n)
+
+rows = spark.range(8).repartition(8).selectExpr("id as video_id", "0 as idx", "0d as t", "cast('x' as binary) as content")
+told = captions.describe(rows, Sees, profile=profile)
+print("PLAN", "ResourceProfile" in told._jdf.queryExecution().executedPlan().toString() or told._jdf.queryExecution().executedPlan().treeString())
+print("MOST", max(int(r.text) for r in told.collect()))
+spark.stop()
+"""
+
+
+def test_tasks_that_hold_models(tmp_path):
+    """Of tasks that ask for two cores of four, two run at once and no more."""
+    (tmp_path / "at_once").mkdir()
+    code = AT_ONCE.format(root=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), folder=str(tmp_path / "at_once"))
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=240, cwd=tmp_path)
+    assert "MOST 2" in ran.stdout, ran.stdout[-500:] + ran.stderr[-1500:]
+    assert resources.memory_of("tiny", "float16") == 1.0 and resources.memory_of("other", "int8") == 6.5
+    cuda = resources.task_profile("large-v3", "float16", "cuda", 16, 8)
+    assert cuda.taskResources["gpu"].amount == 1.0 and resources.task_profile("large-v3", "float16", "cpu", 16, 8).taskResources["cpus"].amount == 5.0
+
+
 def test_page_layout():
     assert "body{" in render.HEAD[1] and "<body>" in render.HEAD[1]

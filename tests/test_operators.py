@@ -1,8 +1,11 @@
 """Traps of text, rounding and order, and small goldens."""
 
+import hashlib
 import http.server
 import json
+import sqlite3
 import threading
+import zipfile
 from collections import defaultdict
 
 import pytest
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from cueforge import cli
 from cueforge.functions import text as X
 from cueforge.operators import analysis, captions, cards, hosts, profiles, render, segments
-from cueforge.sinks import files, video_files
+from cueforge.sinks import files, packages, video_files
 from cueforge.sources import media, subtitles
 from cueforge.streaming import drop_folder
 
@@ -244,10 +247,30 @@ def test_pages(spark, tmp_path):
 
 
 def test_deck_package(spark, tmp_path):
-    rows = spark.createDataFrame([("q", "a", "", "", "s", 0)], "question string, answer string, tags string, timestamp string, source string, ord long")
-    seen = []
-    assert files.write_deck(cards.notes(rows, "d"), "p", "d", lambda path, deck, notes: seen.extend(notes) or len(seen)) == 1
-    assert seen[0].fields == ["q", "a", "", "", "s"] and "{{Question}}" in render.FRONT and "{{Answer}}" in render.BACK
+    """Packages hold their notes in order, a card each, and the deck; one for each video, or one in all."""
+    made = [("a b", i, f"q {i}", f"a {i}", "t" if i == 1 else "", "00:01", "s") for i in range(3)] + [("c", 0, "é?", "", "", "", "s")]
+    rows = spark.createDataFrame(made, "video_id string, ord long, question string, answer string, tags string, timestamp string, source string")
+    noted = cards.notes(rows, F.col("video_id"), keep=["video_id", "ord"]).withColumn("deck", F.col("video_id")).repartition(3)
+    found = {r.video_id: r for r in packages.packages(noted, 1_700_000_000).collect()}
+
+    def opened(data, video):
+        (tmp_path / "x.apkg").write_bytes(data)
+        with zipfile.ZipFile(tmp_path / "x.apkg") as z:
+            assert sorted(z.namelist()) == ["collection.anki2", "media"]
+            z.extract("collection.anki2", tmp_path / video)
+        return sqlite3.connect(tmp_path / video / "collection.anki2")
+
+    db = opened(found["a b"].package, "a b")
+    assert found["a b"].notes == 3 and [r[0].split("\x1f") for r in db.execute("SELECT flds FROM notes ORDER BY id")] == [[f"q {i}", f"a {i}", "t" if i == 1 else "", "00:01", "s"] for i in range(3)]
+    assert [r[0] for r in db.execute("SELECT tags FROM notes ORDER BY id")] == ["", " t ", ""]
+    own = (9120451233 + sum(map(ord, "a b"))) % 2**31
+    assert db.execute("SELECT count(*), min(did), max(did) FROM cards JOIN notes ON nid = notes.id").fetchone() == (3, own, own)
+    models, decks = (json.loads(x) for x in db.execute("SELECT models, decks FROM col").fetchone())
+    assert decks[str(own)]["name"] == "a b" and [f["name"] for f in models[str(cards.MODEL_ID)]["flds"]] == ["Question", "Answer", "Tags", "Timestamp", "Source"]
+    assert opened(found["c"].package, "c").execute("SELECT count(*) FROM notes").fetchone() == (1,)
+    one = cards.notes(rows.filter("video_id = 'a b'"), "d", keep=["ord"]).withColumns({"video_id": F.lit("d"), "deck": F.lit("d")})
+    assert packages.write_package(one, str(tmp_path / "d.apkg"), 0) == 3 and opened((tmp_path / "d.apkg").read_bytes(), "d").execute("SELECT guid FROM notes ORDER BY id").fetchall() == [(hashlib.sha256(f"q {i}|{i}".encode()).hexdigest(),) for i in range(3)]
+    assert packages.write_package(one.limit(0), str(tmp_path / "none.apkg"), 0) == 0
 
 
 def test_hosts(spark):
@@ -274,6 +297,8 @@ def test_hosts(spark):
     with pytest.raises(hosts.UnknownField):
         hosts.field(rows[0], "colour")
     assert hosts.detect(spark, linux).os
+    found = hosts.of_executors(spark, 3, linux).collect()
+    assert [(r.profile, r.ram_gb) for r in found] == [("high-gpu", 15.7)] and found[0].host
 
 
 def test_commands(spark, tmp_path, capsys):
@@ -281,15 +306,17 @@ def test_commands(spark, tmp_path, capsys):
     (tmp_path / "in" / "my_talk.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nhi\n")
     (tmp_path / "in" / "none.json").write_text("[]")
     out = tmp_path / "out"
-    assert cli.main(["knowledge", "--subtitles", str(tmp_path / "in"), "--out-dir", str(out), "--model", "", "--date", "2024-01-01"], spark) == 0
+    assert cli.main(["knowledge", "--subtitles", str(tmp_path / "in"), "--out-dir", str(out), "--model", "", "--date", "2024-01-01", "--packages"], spark) == 0
     page = (out / "my_talk.srt" / "knowledge.html").read_text()
     assert "<title>my talk</title>" in page and "segments=1 model=none" in page and (out / "none.json" / "cards.csv").read_bytes() == b"question,answer,tags,timestamp,source\r\n"
     assert cli.main(["knowledge", "--subtitles", str(tmp_path / "no"), "--out-dir", "x"], spark) == 2
     assert cli.main(["frames", "--video", str(tmp_path / "no"), "--out-dir", "x"], spark) == 2
     assert cli.main(["profile", "--key", "colour"], spark) == 2 and cli.main(["profile", "--key", "os"], spark) == 0
     (tmp_path / "c.csv").write_text("question,answer,tags,timestamp,source\nq,a,,,s\n")
-    assert cli.main(["deck", "--csv", str(tmp_path / "c.csv"), "--out", str(tmp_path / "d")], spark) == 3
-    assert "not installed: genanki" in capsys.readouterr().err
+    assert cli.main(["deck", "--csv", str(tmp_path / "c.csv"), "--out", str(tmp_path / "d.apkg")], spark) == 0 and zipfile.is_zipfile(tmp_path / "d.apkg")
+    (tmp_path / "v.mp4").write_bytes(b"")
+    assert cli.main(["transcribe", "--video", str(tmp_path / "v.mp4"), "--out-dir", str(out)], spark) == 3
+    assert "not installed: faster_whisper" in capsys.readouterr().err
 
 
 def test_drop_folder(spark, tmp_path):
