@@ -8,6 +8,7 @@ bin more. Short texts have rough histograms by chance: below a number of words o
 """
 
 from collections.abc import Iterator
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,21 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(p.sum(axis=1) > 0, np.sqrt(np.clip((towards(p) + towards(np.broadcast_to(q, p.shape))) / 2, 0, 1)), 0.0)
 
 
+def by_chance(q: np.ndarray, n: float) -> float:
+    """The root of the mean Jensen-Shannon divergence between shares q and n draws from them, each count a Poisson variate."""
+    total = 0.0
+    for share in q[q > 0].tolist():
+        mean = n * share
+        x = np.arange(max(0, int(mean - 8 * np.sqrt(mean) - 10)), int(mean + 8 * np.sqrt(mean) + 10))
+        log_p = x * np.log(mean) - mean - np.array([lgamma(k + 1) for k in x.tolist()])
+        a = x / n
+        m = (a + share) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = np.where(a > 0, a * np.log2(a / m), 0.0) + share * np.log2(share / m)
+        total += float((np.exp(log_p) * part).sum()) / 2
+    return float(np.sqrt(max(0.0, total)))
+
+
 class Reference:
     """Shares of character classes and of common words in a language; the last word bin is all other words."""
 
@@ -101,6 +117,13 @@ class Reference:
         self.common = np.array(sorted(b for b, x in words.items() if x >= common * n * _UNIT), np.int64)
         own = np.array([words[b] for b in self.common.tolist()], float) / max(1, n * _UNIT)
         self.words = np.r_[own, max(0.0, 1 - own.sum())]
+        self._lengths = 2.0 ** np.arange(5, 13.5, 0.5)
+        self._chance = np.array([by_chance(self.words, x) for x in self._lengths])
+
+    def chance(self, n: np.ndarray) -> np.ndarray:
+        """The distance that n words drawn from this language have to it, about; it falls with the root of n in the end."""
+        far = self._lengths[-1] / np.maximum(n, self._lengths[-1])
+        return np.interp(np.log2(np.maximum(n, 1)), np.log2(self._lengths), self._chance) * np.sqrt(far)
 
     def word_counts(self, bins: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.common, bins), max(0, len(self.common) - 1))
@@ -162,14 +185,14 @@ def _summed(key: list[np.ndarray], value: list[np.ndarray]) -> tuple[list[np.nda
 _RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
 
 
-def judge(docs: DataFrame, words: int = 50, characters: int = 200, class_limit: float = 0.2, word_words: int = 60, word_limit: float = 0.16, noise: float = 2.0, common: float = 0.002, languages: int = 200, least: int = 30) -> DataFrame:
+def judge(docs: DataFrame, words: int = 50, characters: int = 200, class_limit: float = 0.2, word_words: int = 60, word_limit: float = 0.09, noise: float = 2.0, common: float = 0.002, languages: int = 200, least: int = 30) -> DataFrame:
     """docs(doc_id, text, lang, ...) -> (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance), one row a row of docs.
 
     base_failed: fewer than `words` words, or over half of the words in repeated windows of three. Of the rest, a text is
     not kept if its classes of characters are farther than class_limit from its language's, where it has `characters` or
-    more; or its common words farther than word_limit, where it has word_words words or more. As chance alone sets a sample of n
-    apart from its source by a part that falls with the root of n, noise / sqrt(n) is added to either limit, n being its
-    characters or words. Distances that the guards rule out are null. References are learnt from all texts of `words` words or more; a language in fewer than `least` texts, or
+    more; or its common words farther than word_limit, where it has word_words words or more. As chance alone sets a short text
+    apart from its language, noise / sqrt(n) is added to the former limit, n being its characters, and to the latter the
+    distance that as many words drawn from the reference have to it. Distances that the guards rule out are null. References are learnt from all texts of `words` words or more; a language in fewer than `least` texts, or
     than one in `languages` of all, and a null one, is compared with all texts together.
     Null text: empty. Repeated rows are judged alike. Other columns are ignored; an empty table gives an empty one.
     """
@@ -182,7 +205,7 @@ def judge(docs: DataFrame, words: int = 50, characters: int = 200, class_limit:
                 bad = (own["n_words"] < words) | (100 * own["n_repeat_words"] > 50 * own["n_words"])
                 langs = np.array([x if x in known else None for x in batch.column("lang").slice(block.lo, n).to_pylist()], object)
                 kinds, bins, row = classes(block), word_bins(block), block.row_of_word()
-                far, apart = np.zeros(n), np.zeros(n)
+                far, apart, chance = np.zeros(n), np.zeros(n), np.zeros(n)
                 for lang in set(langs.tolist()):
                     here = np.flatnonzero(langs == lang)
                     place = np.full(n, -1)
@@ -190,9 +213,10 @@ def judge(docs: DataFrame, words: int = 50, characters: int = 200, class_limit:
                     mine = place[row] >= 0
                     far[here] = distance(kinds[here], known[lang].classes)
                     apart[here] = distance(known[lang].word_counts(bins[mine], place[row][mine], len(here)), known[lang].words)
+                    chance[here] = known[lang].chance(own["n_words"][here])
                 classed, worded = kinds.sum(axis=1) >= characters, own["n_words"] >= word_words
-                more = [noise / np.sqrt(np.maximum(1, x)) for x in (kinds.sum(axis=1), own["n_words"])]
-                kept = ~bad & ~(classed & (far > class_limit + more[0])) & ~(worded & (apart > word_limit + more[1]))
+                rough = noise / np.sqrt(np.maximum(1, kinds.sum(axis=1)))
+                kept = ~bad & ~(classed & (far > class_limit + rough)) & ~(worded & (apart > word_limit + chance))
                 columns = [batch.column("doc_id").slice(block.lo, n), *(pa.array(v.astype(np.int64)) for v in own.values()), pa.array(bad), pa.array(kept), pa.array(far, mask=~classed), pa.array(apart, mask=~worded)]
                 yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _RESULT.split(", ")])
 

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -260,6 +261,27 @@ def js(p, q):
     return math.sqrt(max(0.0, total))
 
 
+@lru_cache(None)
+def on_grid(q, k):
+    return rules.by_chance(np.array(q), 2.0 ** (k / 2))
+
+
+def chance(q, n):
+    """Between two lengths of a grid, by the logarithm of n; beyond it by its root."""
+    k = min(26, max(10, 2 * math.log2(n)))
+    low, high = on_grid(q, math.floor(k)), on_grid(q, math.ceil(k))
+    return (low + (k - math.floor(k)) * (high - low)) * math.sqrt(2**13 / max(n, 2**13))
+
+
+def test_chance():
+    """What drawing words gives, on average over many draws."""
+    rng = np.random.default_rng(1)
+    q = np.r_[rng.dirichlet(np.ones(60)) * 0.6, 0.4]
+    for n in (50, 400):
+        draws = rng.multinomial(n, q, 3000)
+        assert rules.by_chance(q, n) == pytest.approx(math.sqrt((rules.distance(draws, q) ** 2).mean()), rel=0.02)
+
+
 def test_quality_rules(spark):
     rng = random.Random(8)
     words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(300)] for lang, letters in (("en", "abcdet"), ("de", "äöükln"))}
@@ -295,7 +317,7 @@ def test_quality_rules(spark):
         for b, c in bins.items():
             p[b if b in common else -1] += c
         apart = js(p, common) if n[0] >= 60 else None
-        good = not bad and not (far is not None and far > 0.2 + 2 / math.sqrt(sum(kinds))) and not (apart is not None and apart > 0.16 + 2 / math.sqrt(n[0]))
+        good = not bad and not (far is not None and far > 0.2 + 2 / math.sqrt(sum(kinds))) and not (apart is not None and apart > 0.09 + chance(tuple(common.values()), n[0]))
         want.append((doc, *n, bad, good, far, apart))
     want.sort(key=repr)
     assert [r[:8] for r in got] == [r[:8] for r in want]
