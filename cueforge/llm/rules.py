@@ -185,7 +185,7 @@ def _summed(key: list[np.ndarray], value: list[np.ndarray]) -> tuple[list[np.nda
 _RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
 
 
-def judge(docs: DataFrame, words: int = 50, characters: int = 200, class_limit: float = 0.2, word_words: int = 60, word_limit: float = 0.09, noise: float = 2.0, common: float = 0.002, languages: int = 200, least: int = 30) -> DataFrame:
+def judge(docs: DataFrame, words: int = 50, characters: int = 200, class_limit: float = 0.2, word_words: int = 60, word_limit: float = 0.12, noise: float = 2.0, common: float = 0.002, languages: int = 200, least: int = 30) -> DataFrame:
     """docs(doc_id, text, lang, ...) -> (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance), one row a row of docs.
 
     base_failed: fewer than `words` words, or over half of the words in repeated windows of three. Of the rest, a text is

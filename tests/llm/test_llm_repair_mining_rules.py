@@ -317,7 +317,7 @@ def test_quality_rules(spark):
         for b, c in bins.items():
             p[b if b in common else -1] += c
         apart = js(p, common) if n[0] >= 60 else None
-        good = not bad and not (far is not None and far > 0.2 + 2 / math.sqrt(sum(kinds))) and not (apart is not None and apart > 0.09 + chance(tuple(common.values()), n[0]))
+        good = not bad and not (far is not None and far > 0.2 + 2 / math.sqrt(sum(kinds))) and not (apart is not None and apart > 0.12 + chance(tuple(common.values()), n[0]))
         want.append((doc, *n, bad, good, far, apart))
     want.sort(key=repr)
     assert [r[:8] for r in got] == [r[:8] for r in want]
