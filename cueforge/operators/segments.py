@@ -36,11 +36,11 @@ def joined(rows: DataFrame, key: str, order: str, value: str, separator: str, na
 
 
 def transcript(segments: DataFrame, limit: int | None = None) -> DataFrame:
-    """(video_id, raw_text): lines `[mm:ss] text` in order. With a limit, its first characters: lines that start after them are dropped before they are gathered, so a long video gathers no more than a short one."""
+    """(video_id, raw_text): lines `[mm:ss] text` in order. With a limit, its first characters: lines whose separator lies after them are dropped before they are gathered, so a long video gathers no more than a short one."""
     rows = lines(segments)
     if limit is not None:
         before = Window.partitionBy("video_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))).filter(F.col("at") < limit)
+        rows = rows.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))).filter(F.col("at") <= limit)
     out = joined(rows, "video_id", "idx", "line", "\n", "raw_text")
     return out if limit is None else out.withColumn("raw_text", F.substring("raw_text", 1, limit))
 

@@ -337,3 +337,10 @@ def test_transcript_prefix(spark, limit):
     rows = spark.createDataFrame([("v", i, float(i), i + 1.0, "ab" * i) for i in range(20)], "video_id string, idx int, start double, end double, text string")
     whole = segments.transcript(rows).first().raw_text
     assert segments.transcript(rows, limit).first().raw_text == whole[:limit]
+
+
+@pytest.mark.parametrize("limit", [8, 9, 10, 20])
+def test_transcript_cut_at_a_separator(spark, limit):
+    """A line that begins right after the cut still brings the newline before it."""
+    rows = spark.createDataFrame([("v", i, 0.0, 0.0, "a") for i in range(4)], "video_id string, idx int, start double, end double, text string")
+    assert segments.transcript(rows, limit).first().raw_text == "\n".join(["[00:00] a"] * 4)[:limit]
