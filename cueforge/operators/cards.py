@@ -47,23 +47,31 @@ def grams(text: Column, size: int) -> Column:
     return F.get(F.transform(F.array(F.split(plain, "")), cut), F.lit(0))
 
 
-def timed(cards: DataFrame, cues: DataFrame, size: int = 4) -> DataFrame:
+def timed(cards: DataFrame, cues: DataFrame, size: int = 4, parts: int | None = None) -> DataFrame:
     """cards(video_id, ord, question, answer) and cues(video_id, idx, start, text) -> cards with `timestamp`, the mm:ss of the cue that an answer comes from; empty where no cue shares anything with it.
 
     An inverted index of the stretches of `size` characters, within each video. An answer's candidates are the cues on the
     shortest list among its own (ties by the stretch), so common stretches come last: they find no candidate where a rarer one
     does. Of the candidates the one that shares most distinct stretches with the answer wins, of equal ones the earlier.
+    Texts are dealt by video, once, over `parts` tasks (None: as the session has it); their stretches are listed and counted
+    where the video lies and never sent. A video is one task's work, as it is where its cues are numbered; what does not fit spills.
     """
-    asked = cards.select("video_id", "ord", grams(F.col("answer"), size).alias("wanted"))
-    said = cues.select("video_id", "idx", "start", grams(F.col("text"), size).alias("held"))
-    wanted = asked.select("video_id", "ord", F.explode("wanted").alias("gram"))
-    lists = said.select("video_id", "idx", F.explode("held").alias("gram"))
-    known = lists.join(wanted.select("video_id", "gram").distinct(), ["video_id", "gram"], "left_semi")
-    lengths = known.groupBy("video_id", "gram").agg(F.count("*").alias("length"))
-    rarest = wanted.join(lengths, ["video_id", "gram"]).groupBy("video_id", "ord").agg(F.min(F.struct("length", "gram")).alias("least"))
-    candidates = rarest.select("video_id", "ord", F.col("least.gram").alias("gram")).join(known, ["video_id", "gram"]).select("video_id", "ord", "idx")
-    shared = candidates.join(asked, ["video_id", "ord"]).join(said, ["video_id", "idx"]).select("video_id", "ord", "idx", "start", F.size(F.array_intersect("wanted", "held")).alias("shared"))
-    best = shared.groupBy("video_id", "ord").agg(F.min(F.struct((-F.col("shared")).alias("least"), "start", "idx")).alias("best"))
+    asked = cards.select("video_id", "ord", F.col("answer").alias("text"))
+    said = cues.select("video_id", "idx", "start", "text")
+    texts = asked.withColumn("idx", F.lit(None)).unionByName(said.drop("start").withColumn("ord", F.lit(None)).withColumn("held", F.lit(1)), allowMissingColumns=True)
+    dealt = texts.repartition(parts, "video_id") if parts else texts.repartition("video_id")
+    listed = dealt.select("video_id", "ord", "idx", "held", F.explode(grams(F.col("text"), size)).alias("gram"))
+    of_gram = Window.partitionBy("video_id", "gram")
+    counts = {"length": F.count("held").over(of_gram), "n": F.count("*").over(of_gram)}
+    both = listed.withColumns(counts).filter("length > 0 and n > length")
+    own = Window.partitionBy("video_id", "ord").orderBy("length", "gram")
+    chosen = both.withColumn("least", F.when(F.col("held").isNull(), F.row_number().over(own) == 1))
+    lists = chosen.withColumn("met", F.max("least").over(of_gram)).filter("met and (least or held = 1)")
+    met = lists.groupBy("video_id", "gram").agg(F.expr("collect_list(ord) filter (where held is null)").alias("ord"), F.collect_list("idx").alias("idx"))
+    pairs = met.select("video_id", F.explode("ord").alias("ord"), "idx").select("video_id", "ord", F.explode("idx").alias("idx"))
+    heard = pairs.join(said.withColumnRenamed("text", "cue"), ["video_id", "idx"]).join(asked, ["video_id", "ord"])
+    shared = F.size(F.array_intersect(grams(F.col("text"), size), grams(F.col("cue"), size)))
+    best = heard.groupBy("video_id", "ord").agg(F.min(F.struct((-shared).alias("least"), "start", "idx")).alias("best"))
     found = best.select("video_id", "ord", X.mmss(F.col("best.start")).alias("timestamp"))
     return cards.join(found, ["video_id", "ord"], "left").withColumn("timestamp", F.coalesce("timestamp", F.lit("")))
 

@@ -311,7 +311,9 @@ def _sql_grams(x: str) -> str:
  found AS (SELECT video_id, ord, "start" FROM rare JOIN cg USING (video_id, gram) JOIN a USING (video_id, ord) JOIN c USING (video_id, idx) QUALIFY row_number() OVER (PARTITION BY video_id, ord ORDER BY len(list_intersect(a.g, c.g)) DESC, "start", idx) = 1)
  SELECT video_id, ord, question, answer, coalesce({V.sql_mmss('"start"')}, '') AS "timestamp" FROM cards LEFT JOIN found USING (video_id, ord)""")
 def card_timestamps(spark, sf_dir):
-    return C.timed(C.parse_qa(V.qa_lines(spark, sf_dir)), V.segments(spark, sf_dir)).select("video_id", "ord", "question", "answer", "timestamp")
+    characters = V.table(spark, sf_dir, "conversations").agg(F.sum(F.length("text"))).first()[0] or 0
+    timed = C.timed(C.parse_qa(V.qa_lines(spark, sf_dir)), V.segments(spark, sf_dir), parts=characters // 500_000 + 1)
+    return timed.select("video_id", "ord", "question", "answer", "timestamp")
 
 
 @_query("""WITH w AS (SELECT user_id AS video_id, epoch_us(ts) // 3600000000 AS n, sum(round_even(value * 100, 0)::BIGINT)::BIGINT AS level FROM events GROUP BY ALL),

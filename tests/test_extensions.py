@@ -436,3 +436,33 @@ def test_tasks_that_hold_models(tmp_path):
 
 def test_page_layout():
     assert "body{" in render.HEAD[1] and "<body>" in render.HEAD[1]
+
+
+def _sent(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteBytes()
+    return total
+
+
+def test_card_times_send_texts_and_no_stretches(spark):
+    """What is shuffled is a few times the texts, however their stretches are spread; and neither many small tasks nor one change the times."""
+    draw, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    text = lambda: "".join(draw.choices(letters, k=400))
+    said = [(v, i, float(i), text()) for v in range(20) for i in range(20)]
+    asked = [(v, i, "", said[20 * v + 19 - i][3][100:300]) for v in range(20) for i in range(20)]
+    cues = spark.createDataFrame(said, "video_id long, idx long, start double, text string").localCheckpoint()
+    answers = spark.createDataFrame(asked, "video_id long, ord long, question string, answer string").localCheckpoint()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _sent(spark)
+        got = {(r.video_id, r.ord): r.timestamp for r in cards.timed(answers, cues).collect()}
+        time.sleep(1)
+        sent = _sent(spark) - before
+        assert sent < 8 * (sum(len(s[3]) for s in said) + sum(len(a[3]) for a in asked)), sent
+        fine = {(r.video_id, r.ord): r.timestamp for r in cards.timed(answers, cues, parts=50).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert got == fine == {(v, i): f"00:{19 - i:02d}" for v in range(20) for i in range(20)}
