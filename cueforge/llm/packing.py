@@ -30,7 +30,6 @@ _SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
-_FEW = 400
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
@@ -150,8 +149,8 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
     return [(tuple(f), n) for groups in open_bins.values() for f, n in groups]
 
 
-def fillings(largest: int, counts: np.ndarray, capacity: int, waste: int, most: int = 64, nodes: int = 4000) -> list[Filling]:
-    """Undominated fillings around `largest` that waste no more than `waste`, least waste first, then fewest pieces.
+def fillings(largest: int, counts: np.ndarray, capacity: int, waste: int, most: int = 64, nodes: int = 4000) -> tuple[list[Filling], int]:
+    """Undominated fillings around `largest` that waste no more than `waste`, least waste first, then fewest pieces; and the steps taken.
 
     Dominated: another piece still fits, or a longer piece that is left could take one piece's place. The enumeration
     goes longest first and ends after `nodes` steps.
@@ -185,44 +184,73 @@ def fillings(largest: int, counts: np.ndarray, capacity: int, waste: int, most:
     out = []
     for _, _, used in sorted(found, key=lambda f: f[:2]):
         out.append(tuple((x, used.count(x)) for x in sorted(set(used), reverse=True)))
-    return out
+    return out, steps
 
 
-def exhaust(counts: np.ndarray, capacity: int, bins: int, steps: int = 5000) -> list[tuple[Filling, int]] | None:
-    """A packing of fewer than `bins` sequences by depth-first search over all undominated fillings around the largest length; none if there is none, or none within so many steps."""
+def exhaust(counts: np.ndarray, capacity: int, bins: int, budget: list[int]) -> list[tuple[Filling, int]] | None:
+    """A packing of fewer than `bins` sequences by depth-first search over the undominated fillings around the largest length, each used as often as it can be first; none if there is none, or none within the budget of places and of steps of the enumerations, from which it takes what it uses."""
     found, lengths, left = None, np.arange(capacity + 1), counts.copy()
 
-    def place(used: int, plan: list[Filling]) -> None:
-        nonlocal found, bins, steps
-        steps -= 1
-        volume = int((left * lengths).sum())
-        if not volume and used < bins:
-            found, bins = [(f, 1) for f in plan], used
-        waste = (bins - 1 - used) * capacity - volume
-        if not volume or waste < 0 or steps <= 0:
-            return
+    def ways(waste: int) -> Iterator[tuple[Filling, int]]:
         largest = int(np.flatnonzero(left)[-1])
         left[largest] -= 1
-        ways = fillings(largest, left, capacity, waste, most=1 << 20, nodes=1 << 16)
+        some, steps = fillings(largest, left, capacity, waste, most=1 << 20, nodes=min(1 << 16, budget[1]))
         left[largest] += 1
-        for way in ways:
-            for x, k in way:
-                left[x] -= k
-            place(used + 1, [*plan, way])
-            for x, k in way:
-                left[x] += k
-            if steps <= 0:
-                return
-
-    place(0, [])
+        budget[1] -= steps
+        for way in some:
+            lost, times = capacity - sum(x * k for x, k in way), min(int(left[x]) // k for x, k in way)
+            for n in range(min(times, waste // lost) if lost else times, 0, -1):
+                yield way, n
+
+    def put(way: Filling, n: int) -> None:
+        for x, k in way:
+            left[x] -= k * n
+
+    volume, used, plan = int((left * lengths).sum()), 0, []
+    if not volume or volume > (bins - 1) * capacity:
+        return None
+    open_ = [ways((bins - 1) * capacity - volume)]
+    while open_ and min(budget) > 0:
+        if len(plan) == len(open_):  # back from below
+            way, n = plan.pop()
+            put(way, -n)
+            used, volume = used - n, volume + n * sum(x * k for x, k in way)
+        step = next(open_[-1], None)
+        if step is None:
+            open_.pop()
+            continue
+        way, n = step
+        budget[0] -= 1
+        plan.append(step)
+        put(way, n)
+        used, volume = used + n, volume - n * sum(x * k for x, k in way)
+        if not volume and used < bins:
+            found, bins = list(plan), used
+        waste = (bins - 1 - used) * capacity - volume
+        if volume and waste >= 0:
+            open_.append(ways(waste))
     return found
 
 
+def loosest(plan: list[tuple[Filling, int]], capacity: int, pieces: int = 400) -> tuple[list[tuple[Filling, int]], list[tuple[Filling, int]]]:
+    """The sequences of a plan that waste most, as many as hold so many pieces, and the others."""
+    some, rest = [], []
+    for way, times in sorted(plan, key=lambda p: sum(x * k for x, k in p[0])):
+        each = sum(k for _, k in way)
+        take = min(times, pieces // each)
+        pieces = pieces - take * each if take == times else 0
+        some += [(way, take)] if take else []
+        rest += [(way, times - take)] if take < times else []
+    return some, rest
+
+
 def complete(counts: np.ndarray, capacity: int, dives: int = 6) -> list[tuple[Filling, int]]:
     """Fillings and how often each is used. Branch and bound: each dive follows the best fillings around the largest length left; where a dive ends without reaching the bound, the next one departs from it at the place with the most waste.
 
-    The limits of the search: `dives`; 64 fillings and 4,000 steps for a largest length; for 400 pieces or fewer, 5,000 steps
-    over all fillings after that. Where they end it above the lower bound, the packing is the best found so far.
+    Where that ends above the lower bound, the sequences that waste most, of 400 pieces together, are packed anew by `exhaust`,
+    as long as this saves one; all of them, if they hold no more. The limits: `dives`; 64 fillings and 4,000 steps for a largest
+    length; then 5,000 places and two million steps over all fillings. They are the same for any number of pieces. Where they
+    end the search above the bound, the packing is the best found so far.
     """
     target, best = lower_bound(counts, capacity), best_fit(counts, capacity)
     bins = sum(n for _, n in best)
@@ -238,7 +266,7 @@ def complete(counts: np.ndarray, capacity: int, dives: int = 6) -> list[tuple[Fi
                 break
             largest = int(have[-1])
             left[largest] -= 1
-            ways = fillings(largest, left, capacity, waste)
+            ways, _ = fillings(largest, left, capacity, waste)
             left[largest] += 1
             if not ways:
                 break
@@ -261,8 +289,18 @@ def complete(counts: np.ndarray, capacity: int, dives: int = 6) -> list[tuple[Fi
                 break
             step = max(open_steps)[1]
             detour = {k: v for k, v in detour.items() if k < step} | {step: detour.get(step, 0) + 1}
-    if bins > target and counts.sum() <= _FEW:
-        best = exhaust(counts, capacity, bins) or best
+    budget = [5000, 2_000_000]
+    while bins > target:
+        some, rest = loosest(best, capacity)
+        again = np.zeros_like(counts)
+        for way, times in some:
+            for x, k in way:
+                again[x] += k * times
+        fewer = exhaust(again, capacity, sum(n for _, n in some), budget)
+        if not fewer:
+            break
+        best = rest + fewer
+        bins = sum(n for _, n in best)
     return best
 
 

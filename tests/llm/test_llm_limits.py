@@ -94,6 +94,18 @@ def test_completion_beats_best_fit():
     assert better and exact >= 59 > fitting
 
 
+def test_completion_is_the_same_at_any_size():
+    """Pieces that fill sequences of their own change nothing for the others, however many they are."""
+    rng = random.Random(1)
+    for _ in range(60):
+        counts = np.bincount([rng.randint(15, 50) for _ in range(11)], minlength=101)
+        alone = sum(t for _, t in packing.complete(counts, 100))
+        for full in (300, 500, 100_000):
+            more = counts.copy()
+            more[100] = full
+            assert sum(t for _, t in packing.complete(more, 100)) == alone + full
+
+
 @pytest.fixture(scope="module")
 def long_texts(spark):
     rng = random.Random(5)
